@@ -9,7 +9,7 @@ import re
 C1 = {i: bytes([i]).decode("cp1252", "ignore") for i in range(0x80, 0xA0)}
 _C1_SEEN = re.compile("[\x80-\x9f]")
 _MARKS = {0xA0: " ", 0xFEFF: None, 0x200B: None}
-_MARKS_SEEN = re.compile("[ ﻿​]")
+_MARKS_SEEN = re.compile("[\u00a0\ufeff\u200b]")
 WORD = re.compile(r"[^\W_]+")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
