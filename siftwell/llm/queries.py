@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.llm import neardup
+from siftwell.llm import neardup, residue
 from siftwell.runtime import table
 
 
@@ -20,6 +20,26 @@ def p1_groups(spark, d):
     return neardup.duplicate_groups(*neardup.near_duplicates(table(spark, d, "candidates"), similarity="0.8"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p2_found(spark, d):
+    """Records that hold template residue, filler or an error, refusal or script notice."""
+    return residue.template_residue(table(spark, d, "candidates")).select("doc_id")
+
+
+def p2_kept(spark, d):
+    """Records left after those with residue are taken out, counted by stratum."""
+    from pyspark.sql import functions as F
+
+    rows = table(spark, d, "candidates").select("doc_id", "stratum").distinct()
+    bad = residue.template_residue(table(spark, d, "candidates"))
+    marked = rows.join(bad.select("doc_id", F.lit(1).alias("bad")), "doc_id", "left")
+    return marked.groupBy("stratum").agg(F.count(F.lit(1)).alias("records"), F.count("bad").alias("excluded"), F.count_if(F.col("bad").isNull()).alias("kept"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_kept": p2_kept,
+}
 
 SQL: dict[str, str] = {}

@@ -1,0 +1,289 @@
+"""Template residue, filler and error-page text.
+
+Records are read once in Python workers. Each cleaned text is searched for residue; a hit carries the normalised line it
+stands on and a grade. Hard hits (unfilled slots, printed empty values, filler, failure messages) count wherever they stand.
+Soft hits are short notices that a site may also print around real content, as a request to allow scripts in a
+footer; they count only in what is left after the lines recurrent at the record's host are subtracted. Line counts per
+host are aggregated from 64-bit line keys before any shuffle, so texts never move.
+"""
+
+from __future__ import annotations
+
+import re
+from hashlib import blake2b
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftwell.functions.text import WORD, repair
+from siftwell.runtime import Scratch
+
+# Names of the fields that page, mail and form templates fill in.
+FIELDS = (
+    "address amount article author body caption case_no category chapter city company content country customer date "
+    "department description editor email event field firstname first_name footer full_name fullname header headline "
+    "heading image item lastname last_name link location message name number order org organization page phone place "
+    "post_body price product recipient respondent sender site speaker state street subject subtitle summary surname "
+    "tag text time title topic town url user username user_name value venue year zip"
+).split()
+# The words of the customary Latin filler.
+FILLER = (
+    "ad adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt do dolor "
+    "dolore duis ea eiusmod elit enim esse est et eu ex excepteur exercitation fugiat id in incididunt ipsum irure labore "
+    "laboris laborum lorem magna minim mollit nisi non nostrud nulla occaecat officia pariatur proident qui quis "
+    "reprehenderit sed sint sit sunt tempor ullamco ut velit veniam voluptate"
+).split()
+
+_FIELD = rf"(?:[a-z]+[._])*(?:{'|'.join(sorted(FIELDS, key=len, reverse=True))})"
+_IDENT = r"[a-z_][\w.\- |]{0,60}"
+_NOUNS = rf"(?:{'|'.join(sorted((f.replace('_', '[ _]') for f in FIELDS), key=len, reverse=True))})"
+
+# Slots that only template languages write.
+_SLOTS = "|".join((
+    rf"\{{\{{\{{?\s*[#/^&]?\s*{_IDENT}\s*\}}?\}}\}}",
+    rf"<%[=\-]?\s*{_IDENT}\s*%>",
+    rf"\{{%-?\s*(?:block|include|if|for|endif|endfor|endblock|extends|set|url|trans)\b[^%{{}}]{{0,80}}%\}}",
+    rf"#\{{\s*{_IDENT}\s*\}}",
+    r"%\([a-z_][\w.]{0,40}\)[sdif]",
+    rf"%%\s*{_FIELD}\s*%%",
+    rf"@@\s*{_FIELD}\s*@@",
+    rf"\[\[\s*{_FIELD}\s*\]\]",
+    rf"\$\{{\s*{_FIELD}\s*\}}",
+    rf"(?<![\w\\{{]){{\s*{_FIELD}\s*}}(?!}})",
+    rf"<<\s*{_FIELD}\s*>>",
+    rf"\*\|\s*{_FIELD}\s*\|\*",
+    rf"<\s*(?:your|insert|add|enter)\s+(?:the\s+|a\s+|an\s+|your\s+)?[\w ]{{1,30}}?(?:\s+goes)?(?:\s+here)?\s*>",
+    r"\[\s*(?:insert|your|enter|add)\s+[\w' ]{1,40}\]",
+    r"\(\s*(?:insert|add|enter)\s+" + _NOUNS + r"(?:\s+here)?\s*\)",
+    r"[\[(<]\s*[\w' ]{1,30}\s+(?:to be (?:added|announced|confirmed|determined|supplied|completed)|goes here|tbd|tbc)\s*[\])>]",
+    r"\[\s*(?:tbd|tba|tbc|todo|placeholder|fixme|tk)\s*\]",
+))
+_EMPTY = "|".join((
+    r"\[object object\]",
+    r"\b(?:by|on|in|from|categories|category|tags|author|date|posted|published|updated|dear|hello|hi|price|total|name)\s*:?\s+(?:undefined|null|nan|none|nil)\b(?=\s*(?:$|[,.;:|]|undefined|null|nan\b|on\b|by\b|at\b))",
+    r"\b(?:undefined|null)\s*,?\s+(?:undefined|null)\b",
+    r"\bnan\s+(?:min(?:utes?)?(?:\s+read)?|comments?|views?|items?|days?|hours?|%)",
+    r"\binvalid date\b",
+    r"\bdear\s*,\s+thank you for your\s*,",
+    r"\b(?:thank you for your|thanks for your)\s*[,.](?=\s|$)",
+    r"(?:^|[.!?]\s+)(?:dear|hello|hi)\s+,\s",
+))
+_REPEATED = r"\b(qwerty|qwertz|asdf|asdfgh|zxcv|blah|bla|xxx+|test|foo|bar|text|lorem|dummy|sample|placeholder|hjkl|abc)(?:[\s,.]+\1){2,}\b"
+_LEFTOVER = "|".join((
+    r"\b(?:sample|dummy|placeholder|example|filler) (?:text|copy|content)\s*[,;:.(-]*\s*(?:please )?(?:replace|to be replaced|goes here|remove|delete|change|only\b)",
+    r"\b(?:placeholder|dummy|filler) (?:copy|text|paragraph|sentence|content|words?|title|headline)\b[\s,:(-]*(?:for|standing|in place|until|goes|here|please|replace|\.)",
+    r"\breplace (?:this|the) (?:text|sentence|paragraph|line|copy|placeholder|sample|content)\b",
+    r"\b(?:type|write|enter|say|add|put) (?:something|a few words|a (?:sentence|paragraph|line)|your (?:text|content|copy|story|description)) (?:about [\w' -]{1,50} )?here\b",
+    r"\byour [\w' -]{1,40}? (?:text|copy|content|title|headline|description|story|caption|name) (?:will (?:appear|go|be shown)|goes|appears|comes) here\b",
+    r"\b(?:text|content|copy) (?:goes|will go|will appear|to come|coming) (?:here|soon)\b",
+    r"\b(?:click|tap) (?:here )?to (?:edit|add) (?:this |the |your )?(?:text|title|content|paragraph)\b",
+    r"\b(?:hier|ici|aqui|aquí|qui) (?:steht|kommt|votre texte|va el texto|vai o texto|va il testo)\b[\w' ]{0,30}",
+    r"(?:^|[.!?:]\s+|\n\s*)(?:tbd|tba|tbc|todo|fixme|to be (?:written|added|done|completed))\s*(?:[.!:]|$)",
+))
+
+_CODES = r"(?:400|401|403|404|405|408|410|429|500|501|502|503|504)"
+_REASON = r"(?:bad request|unauthori[sz]ed|forbidden|(?:page |file )?not found|request timeout|gone|too many requests|internal server error|bad gateway|(?:service )?(?:temporarily )?unavailable|gateway time-?out)"
+# Failure messages of servers and programs.
+_FAILURE = "|".join((
+    rf"\b(?:http(?:/\d(?:\.\d)?)?[ /]?\s?|error:?\s+|status:?\s+)?{_CODES}\s*[:\-–—(]?\s*(?:error\s*[:\-–—]?\s*)?{_REASON}",
+    rf"\bhttp(?:/\d(?:\.\d)?)? (?:error )?{_CODES}\b\s*[:\-–—.]",
+    rf"\berror {_CODES}\b",
+    r"\bnothing matches this address\b",
+    r"\b(?:the|this) (?:page|url|file|document|resource|address|site|content|link)\b[^.!?\n]{0,40}\b(?:you (?:requested|are looking for|were looking for|asked for|followed)|requested)\b[^.!?\n]{0,40}\b(?:not|n't|no longer|cannot|unavailable|removed|missing|moved)\b",
+    r"\b(?:page|file|url|content|resource) (?:was |is |could )?(?:not|no longer) (?:be )?(?:found|available|exist)(?:\b(?=\s*[.!:(\n]|\s*$))",
+    r"\bwe (?:can(?:not|'t|’t)|could(?: not|n't|n’t)|(?:are|were) unable to) (?:seem to )?(?:find|locate|open|load) (?:(?:the|that|this) (?:page|site|url|file)\b|(?:the|that|any) [\w' -]{1,30}? you(?: are|'re|’re| were)? (?:looking for|requested|asked for|seeking))",
+    r"\boops\b\W{1,4}(?:something|an? (?:unknown |unexpected )?error|that page|we|this page|page)\b",
+    r"\bsomething went wrong (?:while|when|on our|with (?:your|this) request|please)\b",
+    r"\b(?:an?|unknown|unexpected|internal) error (?:has )?occurred\b(?=[^.!?\n]{0,60}(?:[.!]|$))",
+    r"\btraceback \(most recent call last\)",
+    r"\b(?:fatal|parse|syntax|compile) error\s*:\s*\w",
+    r"\buncaught (?:\w*(?:exception|error))\b",
+    r"\b(?:nullpointer|runtime|sql|io)exception\b",
+    r"\b(?:database|db|server) connection (?:failed|error|refused|lost)\b|\berror establishing a database connection\b|\bconnection (?:refused|timed out|reset by peer)\s*[:.]",
+    r"\bwarning: (?:mysqli?|pg|include|require|fopen|file_get_contents|undefined|cannot modify)\w*",
+    r"\bstack ?trace\s*:",
+    r"\btoo many requests\b(?=\s*[:.(!]|\s+from\b)|\byour (?:ip )?address has been (?:limited|blocked|banned)\b|\brate limit (?:exceeded|reached)\b",
+    r"(?:^|[.!?:>]\s*|\n\s*)access (?:to this \w+ (?:is|has been) )?(?:denied|forbidden|restricted)\s*(?:[.!:]|\n|$)",
+    r"\byou (?:do not|don't|don’t) have (?:the )?(?:permission|permissions|access|rights?) to (?:access|view|see|open)\b(?=[^.!?\n]{0,60}\b(?:page|site|server|resource|content|document|file)\b)",
+    r"\b(?:your|the|this) session (?:has |is )?(?:expired|timed out|ended)\b|\b(?:please )?(?:sign|log) in again to (?:see|continue|view)\b",
+    r"\bunder (?:scheduled )?maintenance\b(?=[^.!?\n]{0,60}(?:back|later|soon|try))",
+    # other languages
+    r"página no (?:encontrada|existe|disponible)|no se (?:ha )?(?:pudo|encontr\w+) (?:encontrar )?la página",
+    r"página não (?:encontrada|existe|disponível)|pagina non (?:trovata|disponibile|esiste)|pagina (?:niet gevonden|bestaat niet)",
+    r"seite (?:wurde )?nicht gefunden|(?:die )?seite (?:existiert|ist) nicht(?: verfügbar| mehr)?|zugriff verweigert|(?:ihre )?sitzung ist abgelaufen|interner serverfehler|verbindung zur datenbank fehlgeschlagen",
+    r"page (?:introuvable|non trouvée|inexistante)|accès (?:refusé|interdit)|(?:votre )?session a expiré|erreur interne du serveur",
+    r"acceso denegado|(?:su|tu) sesión ha (?:caducado|expirado)|error interno del servidor|acesso negado|accesso negato|toegang geweigerd|(?:sua )?sessão expirou|sessione (?:è )?scaduta",
+    r"nie znaleziono strony|strona nie (?:istnieje|została znaleziona)|sidan (?:hittades|finns) inte|siden (?:ble ikke funnet|blev ikke fundet|finnes ikke)|sivua ei löydy|stránka nenalezena|az oldal nem található|sayfa bulunamadı|страница не найдена|доступ запрещ[её]н|сторінку не знайдено",
+    r"ページが見つかりません|アクセスが拒否|页面(?:不存在|未找到)|找不到(?:该)?页面|找不到網頁|访问被拒绝|페이지를 찾을 수 없|الصفحة غير موجودة|הדף לא נמצא",
+))
+_JS = r"(?:java ?scripts?|js|scripts?|scripting|cookies|active content|(?:scripts|javascript) and cookies)"
+_TURN_ON = r"(?:enable|activate|allow|switch on|turn on|permit)"
+# Notices of browsers that scripts are required.
+_SCRIPTS = "|".join((
+    rf"\b(?:please|you (?:need|have|must)(?: to)?|to (?:read|see|view|use|continue|load|open)[^.!?\n]{{0,50}},?|(?:for|with) (?:the )?full \w+[^.!?\n]{{0,50}}?) {_TURN_ON} {_JS}\b",
+    rf"(?:^|[.!?>:]\s*|\n\s*){_TURN_ON} {_JS}(?: in your browser| to (?:continue|view|see|use)|\s*[.!])",
+    rf"\byour browser (?:does not|doesn't|doesn’t|cannot|can't|has) (?:run|support|execute|disabled|blocked|allow)\s?(?:ing)? {_JS}\b",
+    rf"\b(?:this|the) (?:content|page|site|app|application|website|feature|view|form)\b[^.!?\n]{{0,20}} (?:requires?|needs|works best with|depends on) {_JS}\b",
+    rf"\b{_JS} (?:is|are|must be|has been|have been|is currently|seems to be|appears to be) (?:disabled|required|blocked here|not (?:enabled|available|supported)|switched off|turned off|enabled to)\b",
+    r"\bactive content is switched off\b",
+    r"(?:veuillez|merci d['’ e]) ?(?:activer|autoriser) (?:le )?javascript|javascript (?:est|doit être) (?:désactivé|activé|requis)",
+    r"(?:bitte )?(?:aktivieren|aktiviere|schalten) sie (?:bitte )?(?:in [\w ]{1,30} )?javascript|bitte (?:javascript|skripte) (?:aktivieren|einschalten|zulassen)|javascript (?:ist|muss) (?:deaktiviert|aktiviert|erforderlich)",
+    r"(?:por favor,? )?(?:active|activa|habilite|habilita|ative|attiva|attivare|abilita|abilitare) (?:el |o )?javascript|javascript (?:está|è) (?:desactivado|deshabilitado|desativado|disabilitato)",
+    r"(?:schakel|zet) javascript (?:in|aan)|włącz (?:obsługę )?javascript|включите javascript|aktivera javascript|aktivér javascript|javascriptを有効に|请(?:启用|开启) ?javascript|請啟用 ?javascript|javascript를 (?:활성화|사용)",
+))
+
+HARD = re.compile("|".join(f"(?P<{k}>{v})" for k, v in (("slot", _SLOTS), ("empty", _EMPTY), ("leftover", _LEFTOVER), ("failure", _FAILURE), ("script", _SCRIPTS))))
+MASHED = re.compile(_REPEATED)
+FILLER_RUN = re.compile(r"\b(?:(?:" + "|".join(sorted(FILLER, key=len, reverse=True)) + r")\b[\s,.;:]*){6,}")
+# Residue holds at least one of these; only the text near them is searched.
+TRIGGERS = (
+    "{ <% %( %% @@ [[ << *| <your [insert [your [enter [add [tb [todo (insert (add (enter <insert <add <enter tbd tba tbc todo fixme "
+    "placeholder undefined null [object javascript scripts scripting cookies uncaught traceback exception forbidden oops unavailable "
+    "permission requested occurred maintenance introuvable pagina página seite zugriff sitzung serverfehler datenbank trouvée inexistante "
+    "accès erreur acceso sesión acesso accesso toegang sessão sessione znaleziono strona sidan siden sivua stránka oldal sayfa страниц доступ "
+    "сторінку ページ アクセス 页面 網頁 访问 페이지 الصفحة הדף qwert asdf zxcv hjkl blah xxx lorem adipiscing consectetur eiusmod proident "
+    "cupidatat reprehenderit laboris incididunt voluptate pariatur excepteur ullamco commodo aliquip fugiat"
+).split() + [
+    "to be added", "to be announced", "to be confirmed", "to be determined", "to be supplied", "to be completed", "to be written", "to be done",
+    "goes here", "nan min", "nan comment", "nan view", "nan item", "nan day", "nan hour", "nan%", "by nan", "on nan", ": nan", "by none", "on none", ": none", ": nil",
+    "invalid date", "dear ,", "hello ,", "hi ,", "for your ,", "for your .", "[ insert", "< your", "sample text", "dummy ", "filler ", "example text", "sample copy",
+    "sample content", "replace th", "text here", "something about", "something here", "few words", "sentence here", "paragraph here", "appear here",
+    "go here", "shown here", "come here", "comes here", "content here", "coming soon", "to come", "to edit", "to add ", "hier steht", "hier kommt", "votre texte", "el texto", "o texto", "il testo",
+    "bad request", "unauthor", "not found", "request timeout", "too many requests", "internal server", "bad gateway", "gateway time", "http/", "http 4", "http 5", "http error", "error 4", "error 5",
+    "nothing matches", "looking for", "asked for", "followed", "no longer", "not available", "not exist", "went wrong", "error:", "connection", "warning:", "stack trace", "stacktrace",
+    "has been limited", "has been blocked", "has been banned", "rate limit", "access denied", "access to", "access forbidden", "access restricted", "session", "sign in again", "log in again",
+    "find the", "find that", "find this", "find any", "locate the", "unable to", "java script", " js", "active content", "test test", "foo foo", "bla bla", "text text", "bar bar", "dummy dummy", "sample sample", "abc abc",
+]
+# What explains a slot or a printed value instead of leaving it.
+_EXPLAINS = re.compile(
+    r"\bin (?:bash|jinja|mustache|handlebars|liquid|php|python|perl|ruby|sql|latex|javascript|java|go|rust)\b|\bin an? \w+ (?:file|template|script|shell)\b|\bexpands?\b|\btemplat(?:e|ing) (?:engine|language|syntax)\b"
+    r"|\bthe engine\b|\bformat string\b|\bprintf\b|\bsyntax\b|\bmodelled as\b|\bprinting\b|\bis no string\b|\buntil set\b|\bas in\b|\bsuch as\b|\bis written\b|\bstands for\b"
+)
+# What tells of a message near it, in the same sentence.
+_TELLS = re.compile(
+    r"\b(?:my logs?|logs? says?|says?|said|asks?|reads|wrote|you see|bore the word|the words?|the message|designers?|typesetters?|until the copy|then answers|answers \d+|chown|chmod|settings and|"
+    r"which \w+ needs|<noscript> tag|the \S+ tag|means that|is shown when|crawler|was denied|were denied|denied access to|left a todo|such as|explains?|called|when the|route is missing|times a day|caused by)\b"
+)
+_SENTENCE_END = re.compile(r"(?<=[.!?…])[\"”’')\]]*\s+|\n\s*\n|\n(?=\s*(?:[#>*<\-]|\d+\.))")
+_QUOTES = {'"': '"', "“": "”", "‘": "’", "«": "»", "„": "“", "`": "`"}
+_SOFT = {"script"}
+_LINE_WORDS = 4
+_NEAR = 260
+
+HIT_SCHEMA = "doc_id string, host string, kind string, soft boolean, line_key long"
+
+
+class Finder:
+    """Finds residue in cleaned texts. Literals are looked up by an automaton where one is installed."""
+
+    def __init__(self):
+        try:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for literal in TRIGGERS:
+                self.automaton.add_word(literal, len(literal))
+            self.automaton.make_automaton()
+        except ImportError:
+            self.automaton = None
+            self.pattern = re.compile("|".join(re.escape(x) for x in sorted(TRIGGERS, key=len, reverse=True)))
+
+    def _spots(self, text: str) -> list[tuple[int, int]]:
+        """Stretches of text near a trigger, merged."""
+        ends = (end for end, _ in self.automaton.iter(text)) if self.automaton else (m.end() for m in self.pattern.finditer(text))
+        out: list[tuple[int, int]] = []
+        for end in ends:
+            low, high = max(0, end - _NEAR), min(len(text), end + _NEAR)
+            if out and low <= out[-1][1]:
+                out[-1] = (out[-1][0], high)
+            else:
+                out.append((low, high))
+        return out
+
+    def __call__(self, text: str) -> list[tuple[str, int]]:
+        """(kind, number of the line) of each piece of residue; mentions, quotations and explanations are passed over."""
+        lines = [_BLANKS.sub(" ", line).strip() for line in text.lower().split("\n")]
+        flat = "\n".join(lines)
+        one = flat.replace("\n", " ")
+        hits: list[tuple[str, int]] = []
+        for low, high in self._spots(one):
+            for m in HARD.finditer(one, low, high):
+                if not _mentioned(flat, one, m.lastgroup, *m.span()):
+                    hits.append((m.lastgroup, flat.count("\n", 0, m.start())))
+            for pattern in (MASHED, FILLER_RUN):
+                hits.extend(("filler", flat.count("\n", 0, m.start())) for m in pattern.finditer(one, low, high))
+        return hits
+
+
+_BLANKS = re.compile(r"\s+")
+
+
+def _mentioned(flat: str, one: str, kind: str, start: int, end: int) -> bool:
+    """Whether a text quotes, explains or tells of what looks like residue."""
+    before = one[:start].rstrip(" ")[-1:]
+    close = _QUOTES.get(before)
+    if close and close in one[end : end + 120]:
+        return True
+    first, last = max(0, start - 300), min(len(flat), end + 200)
+    for m in _SENTENCE_END.finditer(flat, first, start):
+        first = m.end()
+    m = _SENTENCE_END.search(flat, max(first, end - 1), last)
+    last = m.start() if m else last
+    if kind in ("slot", "empty"):
+        return bool(_EXPLAINS.search(one, max(first, start - 100), min(last, end + 100)))
+    return bool(_TELLS.search(one, max(first, start - 50), start) or _TELLS.search(one, end, min(last, end + 60)))
+
+
+def line_key(line: str) -> int | None:
+    """Key of a normalised line (lower case, numbers as 0, words only), or None for lines under four words."""
+    found = WORD.findall(line.lower())
+    if len(found) < _LINE_WORDS:
+        return None
+    normal = " ".join("0" if w.isdigit() else w for w in found)
+    return int.from_bytes(blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _hits(batches):
+    """Worker: the hits of each record, and a row without kind for each of its lines, for the counts."""
+    finder = Finder()
+    for batch in batches:
+        rows = []
+        for doc, host, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            text = repair(raw)
+            keys = [line_key(line) for line in text.split("\n")]
+            rows.extend((doc, host, None, False, key) for key in {*keys} - {None})
+            rows.extend((doc, host, kind, kind in _SOFT, keys[line]) for kind, line in finder(text))
+        columns = [*zip(*rows, strict=True)] or [[]] * 5
+        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "host", "kind", "soft", "line_key"])
+
+
+def template_residue(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_share: float = 0.01) -> DataFrame:
+    """Records with residue: doc_id, kinds (sorted). What it does not name can be kept.
+
+    A line counts as its host's boilerplate if at least `min_docs` records and a share `min_share` of the host's records
+    hold it; soft hits on such lines are subtracted. Hosts are compared trimmed and in lower case; a null host is one of
+    its own. Null ids are left out, null and empty texts have no residue, repeated ids count once, other columns are
+    ignored, and an empty table gives an empty result.
+    """
+    scratch = Scratch(df.sparkSession, "residue")
+    host = F.lower(F.trim(F.coalesce(F.col(host_col).cast("string"), F.lit(""))))
+    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), host.alias("host"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    seen = rows.mapInArrow(_hits, HIT_SCHEMA)
+    hits = scratch.keep(seen, "hits")
+    found = hits.filter("kind is not null")
+    soft = found.filter("soft and line_key is not null")
+    lines = soft.select("host", "line_key").distinct()
+    docs = rows.groupBy("host").agg(F.countDistinct("doc_id").alias("docs"))
+    common = (
+        hits.filter("kind is null")
+        .join(lines, ["host", "line_key"], "left_semi")
+        .groupBy("host", "line_key")
+        .agg(F.countDistinct("doc_id").alias("held"))
+        .join(docs, "host")
+        .filter((F.col("held") >= min_docs) & (F.col("held") >= F.col("docs") * min_share))
+        .select("host", "line_key")
+    )
+    kept = found.filter("not soft or line_key is null").select("doc_id", "kind").unionByName(soft.join(common, ["host", "line_key"], "left_anti").select("doc_id", "kind"))
+    return kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
