@@ -41,7 +41,7 @@ def repair_c1(text: Column) -> Column:
 
 def plain_marks(text: Column) -> Column:
     """Hard spaces as spaces; byte-order marks and zero-width spaces gone."""
-    return F.translate(F.translate(text, " ", " "), "﻿​", "")
+    return F.translate(F.translate(text, "\u00a0", " "), "\ufeff\u200b", "")
 
 
 def ruler(text: Column) -> Column:
