@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.llm import neardup, residue
+from siftwell.llm import caps, cutoffs, neardup, proportions, residue
 from siftwell.runtime import table
 
 
@@ -35,11 +35,72 @@ def p2_kept(spark, d):
     return marked.groupBy("stratum").agg(F.count(F.lit(1)).alias("records"), F.count("bad").alias("excluded"), F.count_if(F.col("bad").isNull()).alias("kept"))
 
 
+def _sampled(spark, d):
+    return proportions.proportional_sample(table(spark, d, "candidates"), table(spark, d, "sample_targets"))
+
+
+def p3_found(spark, d):
+    """Targets for which fewer records exist than their minimum or share asks for."""
+    return _sampled(spark, d)[1].filter("short").select("stratum", "category")
+
+
+def p3_sample(spark, d):
+    """The records drawn."""
+    return _sampled(spark, d)[0]
+
+
+def p3_report(spark, d):
+    """Quotas, records taken and shares reached of every target."""
+    return _sampled(spark, d)[1]
+
+
+def _capped(spark, d, **how):
+    return caps.capped(table(spark, d, "candidates"), caps.latest_rating(table(spark, d, "doc_quality")), **how)
+
+
+def p4_found(spark, d):
+    """Records beyond the five best of their contributor."""
+    return _capped(spark, d).filter("not kept").select("doc_id")
+
+
+def p4_kept(spark, d):
+    """The candidates of kept records, whole."""
+    kept = _capped(spark, d).filter("kept").select("doc_id")
+    return table(spark, d, "candidates").join(kept, "doc_id", "left_semi")
+
+
+def p4_share(spark, d):
+    """Records beyond a contributor share of one percent of the stratum."""
+    return _capped(spark, d, limit=None, max_share=0.01).filter("not kept").select("doc_id")
+
+
+def _cut(spark, d):
+    return cutoffs.cutoffs(cutoffs.latest_scores(table(spark, d, "scores")), table(spark, d, "keep_targets"))
+
+
+def p5_found(spark, d):
+    """Items above the cutoff of their instance and group."""
+    return _cut(spark, d)[1].filter("not kept").select("instance", "item_id")
+
+
+def p5_report(spark, d):
+    """Cutoffs and kept sizes per instance and group."""
+    return _cut(spark, d)[0]
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_kept": p2_kept,
+    "p3_found": p3_found,
+    "p3_sample": p3_sample,
+    "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_kept": p4_kept,
+    "p4_share": p4_share,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
 }
 
 SQL: dict[str, str] = {}
