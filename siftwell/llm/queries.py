@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.llm import caps, cutoffs, neardup, proportions, residue
+from siftwell.llm import caps, cutoffs, leakage, mixing, neardup, proportions, residue, splitting
 from siftwell.runtime import table
 
 
@@ -88,6 +88,58 @@ def p5_report(spark, d):
     return _cut(spark, d)[0]
 
 
+def _leaks(spark, d, **how):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), **how)
+
+
+def p6_found(spark, d):
+    """Documents and the evaluation items with which they share twelve words in a row."""
+    return _leaks(spark, d).selectExpr("cast(doc_id as bigint) as doc_id", "cast(item_id as bigint) as item_id").distinct()
+
+
+def p6_runs(spark, d):
+    """Every shared run with its places and length."""
+    return _leaks(spark, d)
+
+
+def p6_near(spark, d):
+    """Documents in which most of an item's rarer words stand close together, in whatever order."""
+    return _leaks(spark, d, proximity_window=80)
+
+
+def _mixed(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_found(spark, d):
+    """Sources that cannot reach their share."""
+    return _mixed(spark, d)[1].filter("short").select("source")
+
+
+def p7_mixture(spark, d):
+    """The slots of the mixture with the documents' segments they hold."""
+    return _mixed(spark, d)[0]
+
+
+def p7_report(spark, d):
+    """Wanted and reached tokens and shares per source."""
+    return _mixed(spark, d)[1]
+
+
+def _split(spark, d):
+    return splitting.split_oversized(table(spark, d, "documents"), table(spark, d, "split_limits"))
+
+
+def p8_found(spark, d):
+    """Documents larger than their source's limit."""
+    return _split(spark, d).filter("piece = 0").selectExpr("cast(doc_id as bigint) as doc_id")
+
+
+def p8_pieces(spark, d):
+    """Their pieces."""
+    return _split(spark, d)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -101,6 +153,14 @@ QUERIES = {
     "p4_share": p4_share,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_runs": p6_runs,
+    "p6_near": p6_near,
+    "p7_found": p7_found,
+    "p7_mixture": p7_mixture,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_pieces": p8_pieces,
 }
 
 SQL: dict[str, str] = {}
