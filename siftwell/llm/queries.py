@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftwell.llm import caps, cutoffs, leakage, mixing, neardup, proportions, residue, splitting
+from siftwell.llm.sql import SQL as SQL
 from siftwell.runtime import table
 
 
@@ -162,5 +163,3 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
 }
-
-SQL: dict[str, str] = {}
