@@ -78,7 +78,7 @@ def cutoffs(scores: DataFrame, targets: DataFrame, *, fraction_col: str = "keep_
     key = F.to_json(F.array(F.coalesce("instance", F.lit("\u0000")), F.coalesce("group_name", F.lit("\u0000"))))
     items = scratch.keep(scores.select("instance", "item_id", "group_name", "score", key.alias("key")), "items")
     fraction = F.col(fraction_col).cast("double")
-    wanted = targets.select(F.col("instance").cast("string").alias("instance"), F.col("group_name").cast("string").alias("group_name"), F.when(~F.isnan(fraction), F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))).alias("keep_fraction"))
+    wanted = targets.select(F.col("instance").cast("string").alias("instance"), F.col("group_name").cast("string").alias("group_name"), F.when(fraction.isNotNull() & ~F.isnan(fraction), F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))).alias("keep_fraction"))
     wanted = wanted.groupBy("instance", "group_name").agg(F.max("keep_fraction").alias("keep_fraction")).withColumn("key", key)
     sizes = items.groupBy("key").agg(F.first("instance").alias("i"), F.first("group_name").alias("g"), F.count(F.lit(1)).alias("items"))
     plan = scratch.keep(
