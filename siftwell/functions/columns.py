@@ -27,7 +27,7 @@ def fold(text: Column) -> Column:
 def unescape_basic(text: Column, rounds: int = 4) -> Column:
     """The five commonest named entities and the decimal apostrophe, up to four rounds; see text.unescape for all."""
     for _ in range(rounds):
-        for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+        for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
             text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
