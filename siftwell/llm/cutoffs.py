@@ -10,26 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.scoring import latest_scores as latest_scores
 from siftwell.runtime import Scratch
 
 
-def latest_scores(df: DataFrame, *, item_col: str = "item_id", score_col: str = "score", instance_col: str = "instance", group_col: str = "group_name", run_col: str = "run_id") -> DataFrame:
-    """instance, item_id, group_name, score: per instance and item the row of the greatest run with a usable score.
-
-    Null and NaN scores and null items are passed over. A null run comes before all others; ties go to the greater group,
-    then the greater score.
-    """
-    rows = df.select(
-        F.col(instance_col).cast("string").alias("instance"),
-        F.col(item_col).cast("string").alias("item_id"),
-        F.col(group_col).cast("string").alias("group_name"),
-        F.col(score_col).cast("double").alias("score"),
-        F.col(run_col).cast("string").alias("run"),
-    ).filter(F.col("item_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
-    last = rows.groupBy("instance", "item_id").agg(F.max(F.struct("run", "group_name", "score")).alias("last"))
-    return last.select("instance", "item_id", "last.group_name", F.expr("last.score + 0.0D").alias("score"))
-
-
 def quickselect(values: DataFrame, ranks: DataFrame, scratch: Scratch, *, max_rounds: int = 200) -> DataFrame:
     """key, value: the value at position `rank` (from 1) of each key's sorted values.
 
