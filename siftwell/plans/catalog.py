@@ -1,4 +1,8 @@
-"""The registry of core queries and their SQL."""
+"""The core queries by name, with the SQL that states the same where SQL can."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from siftwell.plans import analysis, corpus, relational
+
+QUERIES: dict = corpus.QUERIES | analysis.QUERIES | relational.QUERIES
+SQL: dict[str, str] = corpus.SQL | analysis.SQL | relational.SQL
