@@ -2,41 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.functions.columns import TOKEN_PATTERN
-from siftwell.functions.text import C1
-
-_PAIRS = [(chr(k), v) for k, v in C1.items()]
-_KNOWN = "".join(a for a, b in _PAIRS if b), "".join(b for _, b in _PAIRS if b)
-_LOST = "".join(a for a, b in _PAIRS if not b)
-# The entities that occur in the tables; the operators resolve all of HTML's.
-_ENTITIES = (("&quot;", '"'), ("&#39;", "''"), ("&#40;", "("), ("&#41;", ")"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
-
-
-def cleaned(column: str) -> str:
-    expression = column
-    for _ in range(4):
-        for entity, char in _ENTITIES:
-            expression = f"replace({expression}, '{entity}', '{char}')"
-    expression = f"translate({expression}, '{_KNOWN[0]}', '{_KNOWN[1]}')"
-    for char in (*_LOST, "\ufeff", "\u200b"):
-        expression = f"replace({expression}, '{char}', '')"
-    return f"replace({expression}, '\u00a0', ' ')"
-
-
-def words(column: str) -> str:
-    return rf"regexp_extract_all(lower({cleaned(column)}), '[\p{{L}}\p{{N}}]+')"
-
-
-_SPACE = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
-
-
-def fold(column: str) -> str:
-    return f"nullif(lower(regexp_replace({column}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), '')"
-
-
-def tokens(column: str) -> str:
-    return f"len(regexp_extract_all({column}, '{TOKEN_PATTERN}'))"
-
+from siftwell.plans.sqltext import fold, tokens, words
 
 P1_PAIRS = f"""
 with d as (select distinct doc_id, stratum, text from candidates),
