@@ -1,7 +1,7 @@
 """Regressions: sums over rows in the cluster, small systems on the driver.
 
-A design is a list of named columns plus categorical terms coded against their first level. Spark adds up X'X, X'y and the
-robust middle terms in one aggregation each; only matrices of the size of the design reach the driver.
+A design is a list of named columns plus categorical terms coded against their first level. Every partition adds up X'WX and
+X'Wz over its Arrow batches, Spark adds up the partitions, and only matrices of the size of the design reach the driver.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,115 +47,156 @@ def design(df: DataFrame, numeric: list[str], categories: list[str] = ()) -> lis
     return terms
 
 
-def _moments(df: DataFrame, x: list[Column], weight: Column, y: Column, by: list[str] = ()) -> DataFrame:
-    pairs = [F.sum(weight * a * b).alias(f"a{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if j >= i]
-    return df.groupBy(*by).agg(*pairs, *(F.sum(weight * a * y).alias(f"b{i}") for i, a in enumerate(x)), F.sum(weight * y * y).alias("yy"), F.count(F.lit(1)).alias("n"))
+def _flat(df: DataFrame, terms: list[Column], y: str, by: str | None = None, cluster: str | None = None) -> DataFrame:
+    """x, y, key, cluster: the design as one array per row, for the Arrow passes."""
+    key = F.col(by).cast("string") if by else F.lit("")
+    return df.select(F.array(*(t.cast("double") for t in terms)).alias("x"), F.col(y).cast("double").alias("y"), key.alias("key"), (F.col(cluster).cast("string") if cluster else F.lit("")).alias("cluster"))
 
 
-def _unpack(row, k: int) -> tuple[np.ndarray, np.ndarray]:
-    a = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            a[i, j] = a[j, i] = row[f"a{i}_{j}"]
-    return a, np.array([row[f"b{i}"] for i in range(k)])
+def _arrays(batch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return x, batch.column(1).to_numpy(zero_copy_only=False), np.array(batch.column(2).to_pylist(), object)
+
+
+def _sums(rows: DataFrame, k: int, size: int, part) -> dict[str, np.ndarray]:
+    """Per key the sum of part(x, y, key), a vector of `size` numbers: added up in each partition, then over partitions."""
+
+    def run(batches):
+        total: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                x, y, keys = _arrays(batch, k)
+                for key in set(keys):
+                    own = keys == key
+                    total[key] = total.get(key, 0.0) + part(x[own], y[own], key)
+        for key, values in total.items():
+            columns = [pa.array([key] * size), pa.array(np.arange(size, dtype=np.int32)), pa.array(values)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "i", "value"])
+
+    summed = rows.mapInArrow(run, "key string, i int, value double").groupBy("key", "i").agg(F.sum("value").alias("value"))
+    out: dict[str, np.ndarray] = {}
+    for r in summed.collect():
+        out.setdefault(r.key, np.zeros(size))[r.i] = r.value
+    return out
+
+
+def _system(weigh):
+    """A part for _sums: X'WX, X'Wz, z'Wz and n, where weigh(x, y, key) gives W and z."""
+
+    def part(x, y, key):
+        w, z = weigh(x, y, key)
+        return np.concatenate([((x * w[:, None]).T @ x).ravel(), x.T @ (w * z), [float((w * z * z).sum()), len(y)]])
+
+    return part
+
+
+def _split(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float, int]:
+    return values[: k * k].reshape(k, k), values[k * k : k * k + k], float(values[-2]), int(values[-1])
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
+def _plain(x, y, key):
+    return np.ones(len(y)), y
+
+
+def _logit(coef: dict[str, np.ndarray]):
+    def weigh(x, y, key):
+        mu = 1 / (1 + np.exp(-(x @ coef[key])))
+        w = np.maximum(mu * (1 - mu), 1e-300)
+        return w, (y - mu) / w
+
+    return weigh
+
+
 def least_squares(df: DataFrame, y: str, numeric: list[str], categories: list[str] = (), robust: str | None = None) -> Fit:
     """Ordinary least squares; robust='HC3' weights squared residuals by (1 - leverage)^-2."""
-    rows = df.dropna(subset=[y, *numeric, *categories])
-    terms = design(rows, numeric, categories)
-    x = [c for _, c in terms]
-    row = _moments(rows, x, F.lit(1.0), F.col(y)).first()
-    a, b = _unpack(row, len(x))
+    kept = df.dropna(subset=[y, *numeric, *categories])
+    terms = design(kept, numeric, categories)
+    names, k = [n for n, _ in terms], len(terms)
+    rows = _flat(kept, [c for _, c in terms], y)
+    a, b, yy, n = _split(_sums(rows, k, k * k + k + 2, _system(_plain))[""], k)
     inverse = np.linalg.pinv(a)
     coef = inverse @ b
-    residual = max(row["yy"] - coef @ b, 0.0) / max(row["n"] - np.linalg.matrix_rank(a), 1)
-    if robust == "HC3":
-        fitted = sum((F.lit(float(c)) * v for c, v in zip(coef, x, strict=True)), F.lit(0.0))
-        leverage = sum((F.lit(float(inverse[i, j])) * x[i] * x[j] for i in range(len(x)) for j in range(len(x))), F.lit(0.0))
-        weighted = ((F.col(y) - fitted) / (1 - leverage)) ** 2
-        middle, _ = _unpack(_moments(rows, x, weighted, F.lit(0.0)).first(), len(x))
-        cov = inverse @ middle @ inverse
-    else:
-        cov = residual * inverse
-    return Fit([n for n, _ in terms], coef, cov, row["n"], residual)
-
-
-def logistic(df: DataFrame, y: str, numeric: list[str], categories: list[str] = (), cluster: str | None = None, rounds: int = 50, tolerance: float = 1e-10) -> Fit:
-    """Logistic regression by reweighted least squares, one aggregation a round; `cluster` gives the cluster-robust covariance."""
-    rows = df.dropna(subset=[y, *numeric, *categories])
-    terms = design(rows, numeric, categories)
-    x = [c for _, c in terms]
-    k = len(x)
-    coef = np.zeros(k)
+    residual = max(yy - coef @ b, 0.0) / max(n - np.linalg.matrix_rank(a), 1)
+    if robust != "HC3":
+        return Fit(names, coef, residual * inverse, n, residual)
+
+    def hc3(x, y, key):
+        leverage = np.minimum(np.einsum("ij,jk,ik->i", x, inverse, x), 1 - 1e-9)
+        return ((y - x @ coef) / (1 - leverage)) ** 2, np.zeros(len(y))
+
+    middle, *_ = _split(_sums(rows, k, k * k + k + 2, _system(hc3))[""], k)
+    return Fit(names, coef, inverse @ middle @ inverse, n, residual)
+
+
+def _iterate(rows: DataFrame, k: int, keys: list[str], rounds: int, tolerance: float) -> tuple[dict, dict]:
+    """Coefficients and last systems of a logistic regression per key, all advanced by the same pass over the rows."""
+    coef = {key: np.zeros(k) for key in keys}
+    systems: dict = {}
     for _ in range(rounds):
-        eta = sum((F.lit(float(c)) * v for c, v in zip(coef, x, strict=True)), F.lit(0.0))
-        mu = 1 / (1 + F.exp(-eta))
-        row = _moments(rows.withColumn("_mu", mu), x, F.col("_mu") * (1 - F.col("_mu")), (F.col(y) - F.col("_mu")) / (F.col("_mu") * (1 - F.col("_mu")))).first()
-        a, b = _unpack(row, k)
-        step = _solve(a, b)
-        coef = coef + step
-        if np.abs(step).max() < tolerance:
+        sums = _sums(rows, k, k * k + k + 2, _system(_logit(coef)))
+        systems = {key: _split(v, k) for key, v in sums.items()}
+        moved = 0.0
+        for key, (a, b, _, _) in systems.items():
+            step = _solve(a, b)
+            coef[key] = coef[key] + step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < tolerance:
             break
-    bread = np.linalg.pinv(a)
-    if cluster is None:
-        return Fit([n for n, _ in terms], coef, bread, row["n"])
-    eta = sum((F.lit(float(c)) * v for c, v in zip(coef, x, strict=True)), F.lit(0.0))
-    scored = rows.withColumn("_r", F.col(y) - 1 / (1 + F.exp(-eta)))
-    sums = scored.groupBy(cluster).agg(*(F.sum(F.col("_r") * v).alias(f"s{i}") for i, v in enumerate(x)))
-    meat_row = sums.agg(F.count(F.lit(1)).alias("g"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    meat = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            meat[i, j] = meat[j, i] = meat_row[f"a{i}_{j}"]
-    groups, n = meat_row["g"], row["n"]
+    return coef, systems
+
+
+def logistic(df: DataFrame, y: str, numeric: list[str], categories: list[str] = (), cluster: str | None = None, rounds: int = 25, tolerance: float = 1e-8) -> Fit:
+    """Logistic regression by reweighted least squares, one pass a round; `cluster` gives the cluster-robust covariance."""
+    kept = df.dropna(subset=[y, *numeric, *categories])
+    terms = design(kept, numeric, categories)
+    names, k = [n for n, _ in terms], len(terms)
+    rows = _flat(kept, [c for _, c in terms], y, cluster=cluster).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        coef, systems = _iterate(rows, k, [""], rounds, tolerance)
+        beta, (a, _, _, n) = coef[""], systems[""]
+        bread = np.linalg.pinv(a)
+        if cluster is None:
+            return Fit(names, beta, bread, n)
+        eta = F.aggregate(F.zip_with("x", F.array(*(F.lit(float(c)) for c in beta)), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+        scored = rows.select("cluster", "x", (F.col("y") - 1 / (1 + F.exp(-eta))).alias("r"))
+        sums = scored.groupBy("cluster").agg(*(F.sum(F.col("r") * F.col("x")[i]).alias(f"s{i}") for i in range(k)))
+        flat = sums.select(F.array(*(f"s{i}" for i in range(k))).alias("x"), F.lit(0.0).alias("y"), F.lit("").alias("key"))
+        meat, _, _, groups = _split(_sums(flat, k, k * k + k + 2, _system(_plain))[""], k)
+    finally:
+        rows.unpersist()
     correction = groups / max(groups - 1, 1) * (n - 1) / max(n - k, 1)
-    return Fit([m for m, _ in terms], coef, correction * bread @ meat @ bread, n)
+    return Fit(names, beta, correction * bread @ meat @ bread, n)
 
 
-def logistic_by(df: DataFrame, by: str, y: str, x: list[Column], rounds: int = 50, tolerance: float = 1e-10) -> dict[str, Fit]:
-    """A logistic regression of each group, all advanced by the same aggregation; x holds the columns, intercept included."""
-    k = len(x)
+def logistic_by(df: DataFrame, by: str, y: str, x: list[Column], rounds: int = 25, tolerance: float = 1e-8) -> dict[str, Fit]:
+    """A logistic regression of each group; x holds the columns, intercept included."""
     groups = [r[0] for r in df.select(by).distinct().limit(MAX_TERMS + 1).collect()]
     if len(groups) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} groups")
-    coef = {g: np.zeros(k) for g in groups}
-    for _ in range(rounds):
-        table = F.create_map(*(v for g in groups for v in (F.lit(g), F.array(*(F.lit(float(c)) for c in coef[g])))))
-        beta = table[F.col(by)]
-        eta = sum((beta[i] * v for i, v in enumerate(x)), F.lit(0.0))
-        mu = df.withColumn("_mu", 1 / (1 + F.exp(-eta)))
-        weight = F.col("_mu") * (1 - F.col("_mu"))
-        rows = {r[by]: r for r in _moments(mu, x, weight, (F.col(y) - F.col("_mu")) / weight, [by]).collect()}
-        moved = 0.0
-        info = {}
-        for g in groups:
-            info[g], b = _unpack(rows[g], k)
-            step = _solve(info[g], b)
-            coef[g] = coef[g] + step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < tolerance:
-            break
-    return {g: Fit([f"x{i}" for i in range(k)], coef[g], np.linalg.pinv(info[g]), rows[g]["n"]) for g in groups}
+    rows = _flat(df, x, y, by=by).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        coef, systems = _iterate(rows, len(x), groups, rounds, tolerance)
+    finally:
+        rows.unpersist()
+    return {g: Fit([f"x{i}" for i in range(len(x))], coef[g], np.linalg.pinv(systems[g][0]), systems[g][3]) for g in groups}
 
 
 def held_out_errors(cells: DataFrame, y: str, numeric: list[str], categories: list[str], fold: str) -> tuple[float, int]:
     """(mean absolute error, n) of leave-one-fold-out least squares: each fold's system is the total less its own sums."""
-    rows = cells.dropna(subset=[y, *numeric, *categories])
-    terms = design(rows, numeric, categories)
-    x = [c for _, c in terms]
-    k = len(x)
-    parts = {r[fold]: _unpack(r, k) for r in _moments(rows, x, F.lit(1.0), F.col(y), [fold]).collect()}
-    total = sum(a for a, _ in parts.values()), sum(b for _, b in parts.values())
-    betas = {f: _solve(total[0] - a, total[1] - b) for f, (a, b) in parts.items()}
-    table = F.create_map(*(v for f, c in betas.items() for v in (F.lit(f), F.array(*(F.lit(float(z)) for z in c)))))
-    fitted = sum((table[F.col(fold)][i] * v for i, v in enumerate(x)), F.lit(0.0))
-    row = rows.agg(F.avg(F.abs(F.col(y) - fitted)).alias("mae"), F.count(F.lit(1)).alias("n")).first()
-    return row.mae, row.n
+    kept = cells.dropna(subset=[y, *numeric, *categories])
+    terms = design(kept, numeric, categories)
+    k = len(terms)
+    rows = _flat(kept, [c for _, c in terms], y, by=fold)
+    parts = {f: _split(v, k) for f, v in _sums(rows, k, k * k + k + 2, _system(_plain)).items()}
+    total = sum(p[0] for p in parts.values()), sum(p[1] for p in parts.values())
+    beta = {f: _solve(total[0] - p[0], total[1] - p[1]) for f, p in parts.items()}
+    errors = _sums(rows, k, 2, lambda x, y, key: np.array([np.abs(y - x @ beta[key]).sum(), len(y)]))
+    n = int(sum(e[1] for e in errors.values()))
+    return float(sum(e[0] for e in errors.values()) / n), n
 
 
 def mixed_model(y: np.ndarray, x: np.ndarray, z: np.ndarray, groups: np.ndarray, reml: bool = True) -> dict:

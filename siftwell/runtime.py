@@ -22,7 +22,7 @@ def build_session(app: str = "siftwell", master: str | None = None, shuffle_part
     """A session with UTC times, adaptive execution and Arrow transfer; nothing that fixes a cluster's size."""
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master)
+        builder = builder.master(master).config("spark.driver.memory", "6g")
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import signal
 import sys
 import time
 from pathlib import Path
@@ -56,6 +57,10 @@ def compare(spark, con, folder, name, run, sql):
     return True, f"{name}: {len(ours)} rows equal, {took:.1f} s"
 
 
+def late(*_):
+    raise TimeoutError("the query took too long")
+
+
 def main():
     import __spark_entry__ as entry
     from siftwell.runtime import build_session
@@ -63,15 +68,19 @@ def main():
     folder, names = sys.argv[1], sys.argv[2:]
     spark = build_session(master=f"local[{os.cpu_count()}]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
+    signal.signal(signal.SIGALRM, late)
     con, sqls = duck(folder), entry.oracle_sql()
     bad = 0
     for name, run in entry.queries().items():
         if names and not any(name.startswith(n) for n in names):
             continue
+        signal.alarm(int(os.environ.get("EACH_S", "120")))
         try:
             fine, said = compare(spark, con, folder, name, run, sqls.get(name))
         except Exception as e:  # noqa: BLE001
             fine, said = False, f"{name}: {type(e).__name__} {str(e)[:600]}"
+        finally:
+            signal.alarm(0)
         bad += not fine
         print("ok " if fine else "BAD", said, flush=True)
     sys.exit(bool(bad))
