@@ -9,7 +9,7 @@ _PAIRS = [(chr(k), v) for k, v in C1.items()]
 _KNOWN = "".join(a for a, b in _PAIRS if b), "".join(b for _, b in _PAIRS if b)
 _LOST = "".join(a for a, b in _PAIRS if not b)
 # The entities that occur in the tables; the operators resolve all of HTML's.
-_ENTITIES = (("&quot;", '"'), ("&#39;", "''"), ("&#40;", "("), ("&#41;", ")"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+_ENTITIES = (("&quot;", '"'), ("&#39;", "''"), ("&#40;", "("), ("&#41;", ")"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
 def cleaned(column: str) -> str:

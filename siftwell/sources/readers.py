@@ -38,7 +38,7 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, name, text of each file below `path`."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     file = F.col("_metadata.file_path")
     return files.select(file.alias("path"), F.element_at(F.split(file, "/"), -1).alias("name"), F.col("value").alias("text"))
 
@@ -48,9 +48,9 @@ def texts(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
     if path.endswith(".csv"):
         items = csv(spark, path).select(F.col(text_col).alias("text"))
     elif path.endswith(".txt"):
-        items = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"\n\s*\n")).alias("text"))
+        items = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n\s*\n")).alias("text"))
     else:
-        items = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(F.col("value").alias("text"))
+        items = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.col("value").alias("text"))
     return items.select(F.trim("text").alias("text")).filter("text <> ''")
 
 
@@ -70,8 +70,8 @@ def messages_tsv(spark: SparkSession, path: str, least: float = 0.8) -> DataFram
     Lines with fewer than ten columns or malformed JSON, a score below `least` or NaN, and reposts are passed over.
     """
     cells = F.split("value", "\t")
-    text = lambda i: F.from_json(F.concat(F.lit('{"v":'), cells[i], F.lit("}")), "v string").getField("v")
-    rows = spark.read.text(path).filter(F.size(cells) >= 10).select(text(1).alias("at"), text(2).alias("author"), text(5).alias("text"), F.expr("try_cast(split(value, '\t')[6] as double)").alias("score"))
+    text = lambda i: F.from_json(F.concat(F.lit('{"v":'), F.get(cells, F.lit(i)), F.lit("}")), "v string").getField("v")
+    rows = spark.read.text(path).filter(F.size(cells) >= 10).select(text(1).alias("at"), text(2).alias("author"), text(5).alias("text"), F.get(cells, F.lit(6)).try_cast("double").alias("score"))
     return rows.filter(F.col("at").isNotNull() & F.col("author").isNotNull() & F.col("text").isNotNull() & ~F.isnan("score") & (F.col("score") >= least) & ~F.col("text").startswith("RT @"))
 
 
@@ -152,9 +152,9 @@ def book_catalogue(spark: SparkSession, path: str, prefixes: tuple[str, ...] = (
 
 def lifespan(authors):
     """struct(author, born, died) of a single author given as 'Name, 1812-1870', else null."""
-    parts = F.filter(F.transform(F.split(authors, ";"), F.trim), lambda a: a != "")
+    parts = F.filter(F.transform(F.split(authors, ";"), lambda a: F.trim(a)), lambda a: a != "")
     years = r"^(.*?)(\d{3,4})\??-(\d{3,4})\??"
-    one = parts[0]
+    one = F.get(parts, F.lit(0))
     life = F.struct(F.regexp_replace(F.regexp_extract(one, years, 1), r"^[ ,]+|[ ,]+$", "").alias("author"), F.regexp_extract(one, years, 2).try_cast("int").alias("born"), F.regexp_extract(one, years, 3).try_cast("int").alias("died"))
     return F.when((F.size(parts) == 1) & one.rlike(years), life)
 
