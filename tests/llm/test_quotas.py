@@ -56,7 +56,7 @@ def test_sample(spark):
 
 def test_caps(spark):
     rng = random.Random(2)
-    rows = [(f"d{i:05d}", "S", rng.choice([" Hot ", "hot", "HOT ", "b", "c", None, "  "]), 0.5) for i in range(3000)]
+    rows = [(f"d{i:05d}", "S", rng.choice([" Hot ", "hot", "HOT\u00a0", "b", "c", None, "  "]), 0.5) for i in range(3000)]
     rows += [rows[5], (None, "S", "hot", 0.1), ("z", None, "hot", 0.1)]
     ratings = [(r[0], rng.choice([None, float("nan"), 0.25, 0.5, 0.75]), rng.choice([1, 2, None])) for r in rows if rng.random() < 0.9] * 2
     df = spark.createDataFrame(rows, "doc_id string, stratum string, source_doc_id string, score double").repartition(7)

@@ -64,7 +64,7 @@ def test_proximity(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["word", "Two.", "# Head\n", "\n\n", "- item\n", " ", ", ", "<p>", "1. ", "é!", "\n", " ", "x;", ""]), max_size=120), st.integers(1, 20), st.integers(0, 25))
+@given(st.lists(st.sampled_from(["word", "Two.", "# Head\n", "\n\n", "- item\n", " ", ", ", "<p>", "1. ", "é!", "\n", "\u00a0", "x;", ""]), max_size=120), st.integers(1, 20), st.integers(0, 25))
 def test_pieces_hold_and_rebuild(parts, limit, overlap):
     text = "".join(parts)
     pieces = splitting.split_text(text, limit, overlap)
