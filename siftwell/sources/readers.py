@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions.columns import strip
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -51,7 +52,7 @@ def texts(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
         items = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n\s*\n")).alias("text"))
     else:
         items = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.col("value").alias("text"))
-    return items.select(F.trim("text").alias("text")).filter("text <> ''")
+    return items.select(strip(F.col("text")).alias("text")).filter("text <> ''")
 
 
 def post_rows(spark: SparkSession, path: str, year_from: int, year_to: int, last_edit: str = "9999", words: tuple[int, int] = (80, 700)) -> DataFrame:
