@@ -105,7 +105,8 @@ _FAILURE = "|".join((
     r"\bstack ?trace\s*:",
     r"\btoo many requests\b(?=\s*[:.(!]|\s+from\b)|\byour (?:ip )?address has been (?:limited|blocked|banned)\b|\brate limit (?:exceeded|reached)\b",
     r"(?:^|[.!?:>]\s*|\n\s*)access (?:to this \w+ (?:is|has been) )?(?:denied|forbidden|restricted)\s*(?:[.!:]|\n|$)",
-    r"\byou (?:do not|don't|don’t) have (?:the )?(?:permission|permissions|access|rights?) to (?:access|view|see|open)\b(?=[^.!?\n]{0,60}\b(?:page|site|server|resource|content|document|file)\b)",
+    r"\byou (?:do not|don't|don’t) have (?:the )?(?:permission|permissions|access|rights?) to (?:access|view|see|open|read) (?:/\S|(?:this|the requested) (?:page|site|server|resource|content|document|file|folder|area)\b)",
+    r"\baccess (?:is )?(?:denied|forbidden)\s*[.!:]+\s*you\b",
     r"\b(?:your|the|this) session (?:has |is )?(?:expired|timed out|ended)\b|\b(?:please )?(?:sign|log) in again to (?:see|continue|view)\b",
     r"\bunder (?:scheduled )?maintenance\b(?=[^.!?\n]{0,60}(?:back|later|soon|try))",
     # other languages
