@@ -138,7 +138,8 @@ def mixture(
     plan = spark.createDataFrame(placed, "shard int, first_slot int, source string, first_draw long, n int, blocks long").repartition("shard", "source")
     drawn = plan.select("shard", "first_slot", "source", "first_draw", "blocks", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     drawn = drawn.select("shard", (F.col("first_slot") + F.col("k")).alias("slot"), "source", (F.col("first_draw") + F.col("k")).alias("draw"), "blocks", F.xxhash64("source").alias("name"))
-    chosen = drawn.mapInArrow(_place(seed), "shard int, slot int, source string, block long, use long")
+    # Written, so that the join sees the slots' true size: the plan they come from is tiny, and they grow with the data.
+    chosen = scratch.keep(drawn.mapInArrow(_place(seed), "shard int, slot int, source string, block long, use long"), "slots")
 
     ordered = own.filter("n_tokens > 0 and doc_id is not null").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_tie", F.monotonically_increasing_id())
     packed = running_total(ordered, ["source"], ["_key", "doc_id", "_tie"], "n_tokens", "start", scratch)
