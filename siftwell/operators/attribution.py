@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.config import CALIBRATION, TARGET_FPR
 from siftwell.operators.metrics import higher_quantile
+from siftwell.operators.resample import bootstrap_counts
 
 
 def components(stats: DataFrame) -> DataFrame:
@@ -37,23 +38,25 @@ def aligned(base: DataFrame, target: DataFrame, docs: DataFrame, names: list[str
     return b.join(t, "doc_id").join(docs.select("doc_id", "stratum"), "doc_id")
 
 
-def mixture_profiles(rows: DataFrame, names: list[str], score, calibration: str = CALIBRATION, fpr: float = TARGET_FPR) -> DataFrame:
-    """mask, stratum, rate: flag rates of every mixture, bit i of the mask taking component i from the target; each
-    mixture's threshold is set anew on the calibration stratum."""
+def mixture_profiles(rows: DataFrame, names: list[str], score, calibration: str = CALIBRATION, fpr: float = TARGET_FPR, by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """by, mask, stratum, rate: flag rates of every mixture, bit i of the mask taking component i from the target; each
+    mixture's threshold is set anew on the calibration stratum. `by` holds replicates, `weight` how often a row counts."""
+    w = F.col(weight) if weight else F.lit(1)
     masks = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << len(names)) - 1))).alias("mask"))
     taken = {c: F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"t_{c}")).otherwise(F.col(f"b_{c}")) for i, c in enumerate(names)}
-    scored = masks.select("mask", "stratum", score(taken).alias("score"))
-    thresholds = higher_quantile(scored.filter(F.col("stratum") == calibration), ["mask"], "score", 1 - fpr, "threshold")
-    return scored.filter(F.col("stratum") != calibration).join(thresholds, "mask").groupBy("mask", "stratum").agg(F.avg((F.col("score") > F.col("threshold")).cast("int")).alias("rate"))
+    scored = masks.select(*by, "mask", "stratum", score(taken).alias("score"), w.alias("_w"))
+    thresholds = higher_quantile(scored.filter(F.col("stratum") == calibration), [*by, "mask"], "score", 1 - fpr, "threshold", "_w")
+    flagged = (F.col("score") > F.col("threshold")).cast("int") * F.col("_w")
+    return scored.filter(F.col("stratum") != calibration).join(thresholds, [*by, "mask"]).groupBy(*by, "mask", "stratum").agg((F.sum(flagged) / F.sum("_w")).alias("rate"))
 
 
-def closings(profiles: DataFrame, n_components: int) -> DataFrame:
-    """mask, total, v: the distance from base to target, and how much of it each mixture closes."""
+def closings(profiles: DataFrame, n_components: int, by: list[str] = ()) -> DataFrame:
+    """by, mask, total, v: the distance from base to target, and how much of it each mixture closes."""
     full = (1 << n_components) - 1
-    goal = profiles.filter(F.col("mask") == full).select("stratum", F.col("rate").alias("goal"))
-    dist = profiles.join(goal, "stratum").groupBy("mask").agg(F.sum(F.abs(F.col("rate") - F.col("goal"))).alias("d"))
-    total = dist.filter("mask = 0").select(F.col("d").alias("total"))
-    return dist.join(F.broadcast(total)).select("mask", "total", (F.col("total") - F.col("d")).alias("v"))
+    goal = profiles.filter(F.col("mask") == full).select(*by, "stratum", F.col("rate").alias("goal"))
+    dist = profiles.join(goal, [*by, "stratum"]).groupBy(*by, "mask").agg(F.sum(F.abs(F.col("rate") - F.col("goal"))).alias("d"))
+    total = F.max(F.when(F.col("mask") == 0, F.col("d"))).over(Window.partitionBy(*by))
+    return dist.select(*by, "mask", total.alias("total"), (total - F.col("d")).alias("v"))
 
 
 def weights(n_components: int) -> list[tuple[int, int, float]]:
@@ -68,13 +71,46 @@ def weights(n_components: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def shapley(profiles: DataFrame, names: list[str]) -> DataFrame:
-    """component, share, single_share, total: shares of the closed distance, in the mean over all orders and swapped alone."""
-    closed = closings(profiles, len(names))
+def shapley(profiles: DataFrame, names: list[str], by: list[str] = ()) -> DataFrame:
+    """by, component, share, single_share, total: shares of the closed distance, in the mean over all orders and swapped alone."""
+    closed = closings(profiles, len(names), by)
     table = profiles.sparkSession.createDataFrame([(names[i], mask, w, int(mask == 1 << i)) for i, mask, w in weights(len(names))], "component string, mask int, w double, alone int")
-    sums = closed.join(F.broadcast(table), "mask").groupBy("component").agg(F.sum(F.col("w") * F.col("v")).alias("phi"), F.sum(F.col("alone") * F.col("v")).alias("single"), F.first("total").alias("total"))
+    sums = closed.join(table, "mask").groupBy(*by, "component").agg(F.sum(F.col("w") * F.col("v")).alias("phi"), F.sum(F.col("alone") * F.col("v")).alias("single"), F.first("total").alias("total"))
     whole = F.nullif("total", F.lit(0.0))
-    return sums.select("component", (F.col("phi") / whole).alias("share"), (F.col("single") / whole).alias("single_share"), "total")
+    return sums.select(*by, "component", (F.col("phi") / whole).alias("share"), (F.col("single") / whole).alias("single_share"), "total")
+
+
+def bootstrap_shares(rows: DataFrame, names: list[str], score, replicates: int, seed: int = 0) -> DataFrame:
+    """b, component, share: shares over documents drawn again within each stratum, base and target alike."""
+    counts = bootstrap_counts(rows.select("doc_id", "stratum"), replicates, "doc_id", "stratum", seed)
+    profiles = mixture_profiles(rows.join(counts, "doc_id"), names, score, by=["b"], weight="times")
+    return shapley(profiles, names, ["b"]).select("b", "component", "share")
+
+
+def share_intervals(shares: DataFrame, lead: str | None = None) -> DataFrame:
+    """component, low, high: 95 % percentile intervals of the shares, or of `lead`'s share less each other's."""
+    if lead:
+        own = shares.filter(F.col("component") == lead).select("b", F.col("share").alias("lead"))
+        shares = shares.filter(F.col("component") != lead).join(own, "b").withColumn("share", F.col("lead") - F.col("share"))
+    q = F.percentile("share", F.array(F.lit(0.025), F.lit(0.975)))
+    return shares.filter(~F.isnan("share")).groupBy("component").agg(q.alias("q")).select("component", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def leading_verdict(share: float, leads: dict[str, tuple[float, float]], equal: float = 0.25) -> str:
+    """Confirmed above one half with every lead above zero, rejected at or below an equal split."""
+    if share > 0.5 and all(low > 0 for low, _ in leads.values()):
+        return "CONFIRMED"
+    return "REJECTED" if share <= equal else "PARTIAL"
+
+
+def contrast_verdict(share: float, low: float, high: float) -> str:
+    """Confirmed above one half with the contrast's interval above zero, rejected with it below."""
+    return "CONFIRMED" if share > 0.5 and low > 0 else "REJECTED" if high < 0 else "PARTIAL"
+
+
+def majority_verdict(largest: list[str], component: str, least: int = 6) -> str:
+    """Supported if the component has the largest share in at least `least` comparisons."""
+    return "SUPPORTED" if largest.count(component) >= least else "NOT SUPPORTED"
 
 
 def reproduction(components_: DataFrame, scores: DataFrame, score, names: list[str]) -> DataFrame:

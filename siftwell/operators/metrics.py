@@ -13,12 +13,13 @@ from siftwell.operators.scoring import mid_ranks
 Z = 1.96
 
 
-def higher_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str) -> DataFrame:
-    """by, out: of each group the sorted value at index ceil(q (n - 1)), from 0.
+def higher_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str, weight: str | None = None) -> DataFrame:
+    """by, out: of each group the sorted value at index ceil(q (n - 1)), from 0; a row counts `weight` times.
 
     Ranks come from the counts of distinct values, so a value repeated by a third of all rows is one row to the sort.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(times.alias("_n"))
     group = Window.partitionBy(*by)
     upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     index = F.ceil(F.round(F.lit(q) * (F.sum("_n").over(group) - 1), 9))

@@ -135,3 +135,11 @@ def sequences(df: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """by, first, values: each key's distinct (time, value) pairs in order of time."""
     pairs = df.select(by, F.col(at).alias("at"), F.col(value).alias("value")).distinct()
     return pairs.groupBy(by).agg(F.min("at").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x.value).alias("values"))
+
+
+def control_texts(raw: DataFrame) -> DataFrame:
+    """doc_id, text, n_tokens: one window of each generated text (doc_id, text), cut as the human texts are, without markdown."""
+    from siftwell.operators.texts import cleaned, without_markdown
+
+    plain = cleaned(raw.withColumn("text", without_markdown(F.col("text")))).select(F.col("id").alias("doc_id"), F.col("value").alias("text"))
+    return take_windows(windows(plain), 1).select("doc_id", "text", "n_tokens")

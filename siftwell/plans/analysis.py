@@ -9,7 +9,7 @@ from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from siftwell import config
-from siftwell.operators import attribution, edits, hypotheses, metrics, report, resample, sample, scoring, tables
+from siftwell.operators import attribution, edits, hypotheses, metrics, report, resample, sample, scoring, segment, tables
 from siftwell.plans import frames
 from siftwell.plans.registry import register
 from siftwell.plans.sqltext import CELLS, DOC_TABLE, DOCS, FLAGS, LATEST, LISTS, PPL, RATES, model, n_blank, pieces
@@ -183,7 +183,10 @@ def latest_scores(spark, d):
 @query(f"with {DOCS} select d.doc_id, s.instance from docs d, (select distinct instance from scores where instance is not null) s where not exists (select 1 from scores x where x.item_id = d.doc_id and x.instance = s.instance and x.score is not null and not isnan(x.score))")
 def unscored_items(spark, d):
     instances = table(spark, d, "scores").select("instance").dropna().distinct()
-    wanted = frames.docs(spark, d, text=False).select(F.col("doc_id").alias("item_id")).join(F.broadcast(instances))
+    names = [r[0] for r in instances.limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 instances")
+    wanted = frames.docs(spark, d, text=False).select(F.col("doc_id").alias("item_id"), F.explode(F.array(*map(F.lit, names))).alias("instance"))
     return scoring.pending(wanted, frames.latest(spark, d), ["item_id", "instance"]).select(F.col("item_id").alias("doc_id"), "instance")
 
 
@@ -287,6 +290,20 @@ def shapley_shares(spark, d):
     return _whole(attribution.shapley(Scratch(spark, "profiles").keep(profiles, "profiles"), _NAMES), "share", "single_share", "total")
 
 
+@query()
+def share_intervals(spark, d):
+    """Shares over resampled documents."""
+    base, target = _components(spark, d, [1, 2])
+    rows = attribution.aligned(base, target, table(spark, d, "documents"), _NAMES).join(base.select("doc_id", "n"), "doc_id")
+    rows = Scratch(spark, "aligned").keep(rows, "aligned")
+    return attribution.share_intervals(attribution.bootstrap_shares(rows, _NAMES, lambda c: attribution.contrast_score(c | {"n": F.col("n")}), 20))
+
+
+@query()
+def control_windows(spark, d):
+    return segment.control_texts(table(spark, d, "documents").select("doc_id", "text"))
+
+
 # resampling -----------------------------------------------------------------------------------------------------------
 
 

@@ -299,3 +299,28 @@ def test_resume_stream(spark, tmp_path):
     spark.createDataFrame([("c", "four"), ("a", "one")], "doc_id string, text string").write.mode("append").parquet(inbox)
     assert resume.score_arrivals(spark, inbox, "doc_id string, text string", score, out, mark) >= 1
     assert {r.doc_id: r.score for r in resume.latest_rows(spark, out, ["doc_id"]).collect()} == {"a": 3, "b": 5, "c": 4}
+
+
+def test_share_intervals_and_verdicts(spark):
+    rng = np.random.default_rng(12)
+    names = ["nll", "entropy", "var"]
+    rows = [(f"d{i}", f"S{i % 4 + 4}", *(float(v) for v in rng.random(7))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id string, stratum string, n double, " + ", ".join(f"{s}_{c} double" for s in "bt" for c in names))
+    shares = attribution.bootstrap_shares(df, names, lambda c: attribution.contrast_score(c | {"n": F.col("n")}), 5).persist()
+    sums = shares.groupBy("b").agg(F.sum("share").alias("s")).collect()
+    assert len(sums) == 5 and all(math.isclose(r.s, 1.0) for r in sums)
+    assert {r.component for r in attribution.share_intervals(shares, "nll").collect()} == {"entropy", "var"}
+    assert attribution.leading_verdict(0.6, {"a": (0.1, 0.2)}) == "CONFIRMED" and attribution.leading_verdict(0.2, {}) == "REJECTED"
+    assert attribution.contrast_verdict(0.9, 0.1, 0.2) == "CONFIRMED" and attribution.contrast_verdict(0.1, -0.2, -0.1) == "REJECTED"
+    assert attribution.majority_verdict(["e"] * 5 + ["v"] * 5, "e") == "NOT SUPPORTED"
+
+
+def test_command_line(spark, tmp_path):
+    import json
+
+    from siftwell import cli
+
+    (tmp_path / "t.txt").write_text("\n\n".join(f"some words of text number {i} stand here" for i in range(5)))
+    (tmp_path / "m.json").write_text(json.dumps({"instances": {"D3": {"coef": [0.0, -0.5, 0.1], "cov": [[0.01, 0, 0], [0, 0.01, 0], [0, 0, 0.01]], "population_sd_logit": 0.1, "n_populations": 9}}, "conformal_q_logit": 1.0}))
+    out = cli.main(["--texts", str(tmp_path / "t.txt"), "--reference", str(tmp_path / "t.txt"), "--model", str(tmp_path / "m.json"), "--instance", "D3"])
+    assert out["n_texts"] == 5 and 0 < out["low"] < out["estimate"] < out["high"] < 1 and len(out["warnings"]) == 2
