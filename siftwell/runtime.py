@@ -52,6 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir.name}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder.
 
@@ -68,7 +82,9 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        # Files of the advisory size, not one per core: the tables are read again soon, and small ones are many.
+        with setting(self.spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._siftwell_path = path
         return kept
