@@ -203,7 +203,7 @@ def _meet_in_blocks(rows: DataFrame, floor: int, ratio: Fraction, block: int) ->
 def _verify(found: DataFrame, source: DataFrame, shingle_words: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
     """Candidates whose full shingle sets reach the similarity, with the number of runs that met them."""
     ends = found.select(F.explode(F.array("class_id_a", "class_id_b")).alias("doc_id")).distinct()
-    texts = source.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = source.select("doc_id", "part", "text").dropDuplicates(["doc_id"]).join(ends, "doc_id", "left_semi")
     sets = scratch.keep(texts.mapInArrow(_set_rows(shingle_words, True), "doc_id string, items array<long>"), "full-sets")
     p, q = ratio.numerator, ratio.denominator
     both = (
