@@ -73,8 +73,10 @@ class Scratch:
     drop() removes a table that no later step reads; the rest goes when the process ends.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, compact: bool = False):
+        """compact: files of the advisory size instead of one per core, for operators that write many small tables."""
         self.spark = spark
+        self.parallel_first = "false" if compact else spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
         self.root = f"{shared_dir(spark)}/siftwell-{label}-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self.close)
@@ -82,8 +84,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        # Files of the advisory size, not one per core: the tables are read again soon, and small ones are many.
-        with setting(self.spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+        with setting(self.spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", self.parallel_first):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._siftwell_path = path
