@@ -108,7 +108,7 @@ def mixture(
     of the mixture and counted in the total. Empty tables give an empty manifest.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+    scratch = Scratch(spark, "mixing", compact=True)
     weight, repeats = F.col("weight").cast("double"), F.col("max_repeats").cast("int")
     wanted = targets.select(F.col("source").cast("string").alias("source"), F.when(weight > 0, F.nanvl(weight, F.lit(0.0))).otherwise(0.0).alias("weight"), F.greatest(F.coalesce(repeats, F.lit(1)), F.lit(0)).alias("max_repeats"))
     wanted = wanted.filter("source is not null").groupBy("source").agg(F.max(F.struct("weight", "max_repeats")).alias("t")).select("source", "t.*")

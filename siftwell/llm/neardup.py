@@ -125,7 +125,7 @@ def near_duplicates(
     gives empty results.
     """
     spark = df.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(spark, "neardup", compact=True)
     ratio = Fraction(similarity)
     floor = sketch_floor(float(ratio))
     part = F.coalesce(F.concat(F.lit("="), F.col(part_col).cast("string")), F.lit("null")) if part_col else F.lit("=")
