@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 from hashlib import blake2b
+from re import _constants as _codes
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ _IDENT = r"[a-z_][\w.\- |]{0,60}"
 _NOUNS = rf"(?:{'|'.join(sorted((f.replace('_', '[ _]') for f in FIELDS), key=len, reverse=True))})"
 
 # Slots that only template languages write.
-_SLOTS = "|".join((
+_SLOTS = (
     rf"\{{\{{\{{?\s*[#/^&]?\s*{_IDENT}\s*\}}?\}}\}}",
     rf"<%[=\-]?\s*{_IDENT}\s*%>",
     rf"\{{%-?\s*(?:block|include|if|for|endif|endfor|endblock|extends|set|url|trans)\b[^%{{}}]{{0,80}}%\}}",
@@ -58,8 +60,8 @@ _SLOTS = "|".join((
     r"\(\s*(?:insert|add|enter)\s+" + _NOUNS + r"(?:\s+here)?\s*\)",
     r"[\[(<]\s*[\w' ]{1,30}\s+(?:to be (?:added|announced|confirmed|determined|supplied|completed)|goes here|tbd|tbc)\s*[\])>]",
     r"\[\s*(?:tbd|tba|tbc|todo|placeholder|fixme|tk)\s*\]",
-))
-_EMPTY = "|".join((
+)
+_EMPTY = (
     r"\[object object\]",
     r"\b(?:by|on|in|from|categories|category|tags|author|date|posted|published|updated|dear|hello|hi|price|total|name)\s*:?\s+(?:undefined|null|nan|none|nil)\b(?=\s*(?:$|[,.;:|]|undefined|null|nan\b|on\b|by\b|at\b))",
     r"\b(?:undefined|null)\s*,?\s+(?:undefined|null)\b",
@@ -68,9 +70,9 @@ _EMPTY = "|".join((
     r"\bdear\s*,\s+thank you for your\s*,",
     r"\b(?:thank you for your|thanks for your)\s*[,.](?=\s|$)",
     r"(?:^|[.!?]\s+)(?:dear|hello|hi)\s+,\s",
-))
+)
 _REPEATED = r"\b(qwerty|qwertz|asdf|asdfgh|zxcv|blah|bla|xxx+|test|foo|bar|text|lorem|dummy|sample|placeholder|hjkl|abc)(?:[\s,.]+\1){2,}\b"
-_LEFTOVER = "|".join((
+_LEFTOVER = (
     r"\b(?:sample|dummy|placeholder|example|filler) (?:text|copy|content)\s*[,;:.(-]*\s*(?:please )?(?:replace|to be replaced|goes here|remove|delete|change|only\b)",
     r"\b(?:placeholder|dummy|filler) (?:copy|text|paragraph|sentence|content|words?|title|headline)\b[\s,:(-]*(?:for|standing|in place|until|goes|here|please|replace|\.)",
     r"\breplace (?:this|the) (?:text|sentence|paragraph|line|copy|placeholder|sample|content)\b",
@@ -80,12 +82,12 @@ _LEFTOVER = "|".join((
     r"\b(?:click|tap) (?:here )?to (?:edit|add) (?:this |the |your )?(?:text|title|content|paragraph)\b",
     r"\b(?:hier|ici|aqui|aquí|qui) (?:steht|kommt|votre texte|va el texto|vai o texto|va il testo)\b[\w' ]{0,30}",
     r"(?:^|[.!?:]\s+|\n\s*)(?:tbd|tba|tbc|todo|fixme|to be (?:written|added|done|completed))\s*(?:[.!:]|$)",
-))
+)
 
 _CODES = r"(?:400|401|403|404|405|408|410|429|500|501|502|503|504)"
 _REASON = r"(?:bad request|unauthori[sz]ed|forbidden|(?:page |file )?not found|request timeout|gone|too many requests|internal server error|bad gateway|(?:service )?(?:temporarily )?unavailable|gateway time-?out)"
 # Failure messages of servers and programs.
-_FAILURE = "|".join((
+_FAILURE = (
     rf"\b(?:http(?:/\d(?:\.\d)?)?[ /]?\s?|error:?\s+|status:?\s+)?{_CODES}\s*[:\-–—(]?\s*(?:error\s*[:\-–—]?\s*)?{_REASON}",
     rf"\bhttp(?:/\d(?:\.\d)?)? (?:error )?{_CODES}\b\s*[:\-–—.]",
     rf"\berror {_CODES}\b",
@@ -117,11 +119,11 @@ _FAILURE = "|".join((
     r"acceso denegado|(?:su|tu) sesión ha (?:caducado|expirado)|error interno del servidor|acesso negado|accesso negato|toegang geweigerd|(?:sua )?sessão expirou|sessione (?:è )?scaduta",
     r"nie znaleziono strony|strona nie (?:istnieje|została znaleziona)|sidan (?:hittades|finns) inte|siden (?:ble ikke funnet|blev ikke fundet|finnes ikke)|sivua ei löydy|stránka nenalezena|az oldal nem található|sayfa bulunamadı|страница не найдена|доступ запрещ[её]н|сторінку не знайдено",
     r"ページが見つかりません|アクセスが拒否|页面(?:不存在|未找到)|找不到(?:该)?页面|找不到網頁|访问被拒绝|페이지를 찾을 수 없|الصفحة غير موجودة|הדף לא נמצא",
-))
+)
 _JS = r"(?:java ?scripts?|js|scripts?|scripting|cookies|active content|(?:scripts|javascript) and cookies)"
 _TURN_ON = r"(?:enable|activate|allow|switch on|turn on|permit)"
 # Notices of browsers that scripts are required.
-_SCRIPTS = "|".join((
+_SCRIPTS = (
     rf"\b(?:please|you (?:need|have|must)(?: to)?|to (?:read|see|view|use|continue|load|open)[^.!?\n]{{0,50}},?|(?:for|with) (?:the )?full \w+[^.!?\n]{{0,50}}?) {_TURN_ON} {_JS}\b",
     rf"(?:^|[.!?>:]\s*|\n\s*){_TURN_ON} {_JS}(?: in your browser| to (?:continue|view|see|use)|\s*[.!])",
     rf"\byour browser (?:does not|doesn't|doesn’t|cannot|can't|has) (?:run|support|execute|disabled|blocked|allow)\s?(?:ing)? {_JS}\b",
@@ -132,30 +134,56 @@ _SCRIPTS = "|".join((
     r"(?:bitte )?(?:aktivieren|aktiviere|schalten) sie (?:bitte )?(?:in [\w ]{1,30} )?javascript|bitte (?:javascript|skripte) (?:aktivieren|einschalten|zulassen)|javascript (?:ist|muss) (?:deaktiviert|aktiviert|erforderlich)",
     r"(?:por favor,? )?(?:active|activa|habilite|habilita|ative|attiva|attivare|abilita|abilitare) (?:el |o )?javascript|javascript (?:está|è) (?:desactivado|deshabilitado|desativado|disabilitato)",
     r"(?:schakel|zet) javascript (?:in|aan)|włącz (?:obsługę )?javascript|включите javascript|aktivera javascript|aktivér javascript|javascriptを有効に|请(?:启用|开启) ?javascript|請啟用 ?javascript|javascript를 (?:활성화|사용)",
-))
-
-HARD = re.compile("|".join(f"(?P<{k}>{v})" for k, v in (("slot", _SLOTS), ("empty", _EMPTY), ("leftover", _LEFTOVER), ("failure", _FAILURE), ("script", _SCRIPTS))))
-MASHED = re.compile(_REPEATED)
-FILLER_RUN = re.compile(r"\b(?:(?:" + "|".join(sorted(FILLER, key=len, reverse=True)) + r")\b[\s,.;:]*){6,}")
-# Residue holds at least one of these; only the text near them is searched.
-TRIGGERS = (
-    "{ <% %( %% @@ [[ << *| <your [insert [your [enter [add [tb [todo (insert (add (enter <insert <add <enter tbd tba tbc todo fixme "
-    "placeholder undefined null [object javascript scripts scripting cookies uncaught traceback exception forbidden oops unavailable "
-    "permission requested occurred maintenance introuvable pagina página seite zugriff sitzung serverfehler datenbank trouvée inexistante "
-    "accès erreur acceso sesión acesso accesso toegang sessão sessione znaleziono strona sidan siden sivua stránka oldal sayfa страниц доступ "
-    "сторінку ページ アクセス 页面 網頁 访问 페이지 الصفحة הדף qwert asdf zxcv hjkl blah xxx lorem adipiscing consectetur eiusmod proident "
-    "cupidatat reprehenderit laboris incididunt voluptate pariatur excepteur ullamco commodo aliquip fugiat"
-).split() + [
-    "to be added", "to be announced", "to be confirmed", "to be determined", "to be supplied", "to be completed", "to be written", "to be done",
-    "goes here", "nan min", "nan comment", "nan view", "nan item", "nan day", "nan hour", "nan%", "by nan", "on nan", ": nan", "by none", "on none", ": none", ": nil",
-    "invalid date", "dear ,", "hello ,", "hi ,", "for your ,", "for your .", "[ insert", "< your", "sample text", "dummy ", "filler ", "example text", "sample copy",
-    "sample content", "replace th", "text here", "something about", "something here", "few words", "sentence here", "paragraph here", "appear here",
-    "go here", "shown here", "come here", "comes here", "content here", "coming soon", "to come", "to edit", "to add ", "hier steht", "hier kommt", "votre texte", "el texto", "o texto", "il testo",
-    "bad request", "unauthor", "not found", "request timeout", "too many requests", "internal server", "bad gateway", "gateway time", "http/", "http 4", "http 5", "http error", "error 4", "error 5",
-    "nothing matches", "looking for", "asked for", "followed", "no longer", "not available", "not exist", "went wrong", "error:", "connection", "warning:", "stack trace", "stacktrace",
-    "has been limited", "has been blocked", "has been banned", "rate limit", "access denied", "access to", "access forbidden", "access restricted", "session", "sign in again", "log in again",
-    "find the", "find that", "find this", "find any", "locate the", "unable to", "java script", " js", "active content", "test test", "foo foo", "bla bla", "text text", "bar bar", "dummy dummy", "sample sample", "abc abc",
-]
+)
+
+_FILLER_RUN = r"\b(?:(?:" + "|".join(sorted(FILLER, key=len, reverse=True)) + r")\b[\s,.;:]*){6,}"
+_PATTERNS = [(k, x) for k, xs in (("slot", _SLOTS), ("empty", _EMPTY), ("leftover", _LEFTOVER), ("failure", _FAILURE), ("script", _SCRIPTS), ("filler", (_REPEATED, _FILLER_RUN))) for x in xs]
+_MOST = 200
+
+
+def _best(*needs: set | None) -> set | None:
+    """The set of literals that tells most: the longest shortest one, then the fewest."""
+    return max((n for n in needs if n and min(map(len, n))), key=lambda n: (min(min(map(len, n)), 6), -len(n)), default=None)
+
+
+def _needs(tree) -> tuple[set | None, set | None]:
+    """(all texts a parsed pattern can match, literals of which every match holds at least one); None where not known."""
+    known, stretch, best = True, {""}, None
+    for op, arg in tree:
+        own = need = None
+        if op is _codes.LITERAL:
+            own = {chr(arg)}
+        elif op is _codes.IN and all(o is _codes.LITERAL for o, _ in arg):
+            own = {chr(x) for _, x in arg}
+        elif op in (_codes.AT, _codes.ASSERT, _codes.ASSERT_NOT):
+            own = {""}
+        elif op is _codes.SUBPATTERN:
+            own, need = _needs(arg[3])
+        elif op is _codes.BRANCH:
+            parts = [_needs(branch) for branch in arg[1]]
+            own = set().union(*(e for e, _ in parts)) if all(e is not None for e, _ in parts) else None
+            need = set().union(*(n for _, n in parts)) if all(n for _, n in parts) else None
+        elif op in (_codes.MAX_REPEAT, _codes.MIN_REPEAT):
+            low, high, inner = arg
+            exact, within = _needs(inner)
+            own = exact | {""} if (low, high) == (0, 1) and exact is not None else None
+            need = within if low else None
+        best = _best(best, need)
+        if own is not None and len(stretch) * len(own) <= _MOST:
+            stretch = {x + y for x in stretch for y in own}
+        else:
+            best, known, stretch = _best(best, stretch), False, own if own is not None and len(own) <= _MOST else {""}
+    return stretch if known else None, _best(best, stretch)
+
+
+def literals(pattern: str) -> set[str]:
+    """Literals of which every match of a pattern holds at least one, derived from the pattern."""
+    need = _needs(_parser.parse(pattern))[1]
+    if not need:
+        raise ValueError(f"no literal is needed by {pattern}")
+    return {x for x in need if not any(y in x for y in need if y != x)}
+
+
 # What explains a slot or a printed value instead of leaving it.
 _EXPLAINS = re.compile(
     r"\bin (?:bash|jinja|mustache|handlebars|liquid|php|python|perl|ruby|sql|latex|javascript|java|go|rust)\b|\bin an? \w+ (?:file|template|script|shell)\b|\bexpands?\b|\btemplat(?:e|ing) (?:engine|language|syntax)\b"
@@ -170,37 +198,35 @@ _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"”’')\]]*\s+|\n\s*\n|\n(?=\s*(?:
 _QUOTES = {'"': '"', "“": "”", "‘": "’", "«": "»", "„": "“", "`": "`"}
 _SOFT = {"script"}
 _LINE_WORDS = 4
-_NEAR = 260
 
 HIT_SCHEMA = "doc_id string, host string, kind string, soft boolean, line_key long"
 
 
 class Finder:
-    """Finds residue in cleaned texts. Literals are looked up by an automaton where one is installed."""
+    """Finds residue in cleaned texts. Only patterns of which a literal is in the text are searched, over the whole of it; an
+    automaton looks the literals up where one is installed."""
 
     def __init__(self):
+        self.patterns = [(kind, re.compile(x)) for kind, x in _PATTERNS]
+        self.owners: dict[str, list[int]] = {}
+        for i, (_, x) in enumerate(_PATTERNS):
+            for literal in literals(x):
+                self.owners.setdefault(literal, []).append(i)
         try:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
-            for literal in TRIGGERS:
-                self.automaton.add_word(literal, len(literal))
+            for literal, owners in self.owners.items():
+                self.automaton.add_word(literal, owners)
             self.automaton.make_automaton()
         except ImportError:
             self.automaton = None
-            self.pattern = re.compile("|".join(re.escape(x) for x in sorted(TRIGGERS, key=len, reverse=True)))
-
-    def _spots(self, text: str) -> list[tuple[int, int]]:
-        """Stretches of text near a trigger, merged."""
-        ends = (end for end, _ in self.automaton.iter(text)) if self.automaton else (m.end() for m in self.pattern.finditer(text))
-        out: list[tuple[int, int]] = []
-        for end in ends:
-            low, high = max(0, end - _NEAR), min(len(text), end + _NEAR)
-            if out and low <= out[-1][1]:
-                out[-1] = (out[-1][0], high)
-            else:
-                out.append((low, high))
-        return out
+
+    def _wanted(self, text: str) -> list[int]:
+        """The patterns of which a literal is in the text."""
+        if self.automaton:
+            return sorted({i for owners in {id(x): x for _, x in self.automaton.iter(text)}.values() for i in owners})
+        return sorted({i for literal, owners in self.owners.items() if literal in text for i in owners})
 
     def __call__(self, text: str) -> list[tuple[str, int]]:
         """(kind, number of the line) of each piece of residue; mentions, quotations and explanations are passed over."""
@@ -208,12 +234,11 @@ class Finder:
         flat = "\n".join(lines)
         one = flat.replace("\n", " ")
         hits: list[tuple[str, int]] = []
-        for low, high in self._spots(one):
-            for m in HARD.finditer(one, low, high):
-                if not _mentioned(flat, one, m.lastgroup, *m.span()):
-                    hits.append((m.lastgroup, flat.count("\n", 0, m.start())))
-            for pattern in (MASHED, FILLER_RUN):
-                hits.extend(("filler", flat.count("\n", 0, m.start())) for m in pattern.finditer(one, low, high))
+        for i in self._wanted(one):
+            kind, pattern = self.patterns[i]
+            for m in pattern.finditer(one):
+                if kind == "filler" or not _mentioned(flat, one, kind, *m.span()):
+                    hits.append((kind, flat.count("\n", 0, m.start())))
         return hits
 
 
