@@ -202,12 +202,17 @@ _LINE_WORDS = 4
 HIT_SCHEMA = "doc_id string, host string, kind string, soft boolean, line_key long"
 
 
+def _compiled(pattern: str) -> re.Pattern:
+    """A pattern for texts with line breaks: `^` and `$` stand at those too, and a phrase or a stretch between phrases may cross one."""
+    return re.compile(pattern.replace(r"[^.!?\n]", "[^.!?]").replace(" ", r"\s"), re.M)
+
+
 class Finder:
     """Finds residue in cleaned texts. Only patterns of which a literal is in the text are searched, over the whole of it; an
     automaton looks the literals up where one is installed."""
 
     def __init__(self):
-        self.patterns = [(kind, re.compile(x)) for kind, x in _PATTERNS]
+        self.patterns = [(kind, _compiled(x)) for kind, x in _PATTERNS]
         self.owners: dict[str, list[int]] = {}
         for i, (_, x) in enumerate(_PATTERNS):
             for literal in literals(x):
@@ -236,13 +241,15 @@ class Finder:
         hits: list[tuple[str, int]] = []
         for i in self._wanted(one):
             kind, pattern = self.patterns[i]
-            for m in pattern.finditer(one):
-                if kind == "filler" or not _mentioned(flat, one, kind, *m.span()):
-                    hits.append((kind, flat.count("\n", 0, m.start())))
+            for m in pattern.finditer(flat):
+                start, end = m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip())
+                if kind == "filler" or not _mentioned(flat, one, kind, start, end):
+                    hits.append((kind, flat.count("\n", 0, end)))
         return hits
 
 
 _BLANKS = re.compile(r"\s+")
+_WORDS_OUT = re.compile(r"\w")
 
 
 def _mentioned(flat: str, one: str, kind: str, start: int, end: int) -> bool:
@@ -252,6 +259,10 @@ def _mentioned(flat: str, one: str, kind: str, start: int, end: int) -> bool:
     if close and close in one[end : end + 120]:
         return True
     first, last = max(0, start - 300), min(len(flat), end + 200)
+    line, until = flat.rfind("\n", 0, start) + 1, flat.find("\n", end)
+    until = until if until >= 0 else len(flat)
+    if kind not in ("slot", "empty") and not _WORDS_OUT.search(flat[line:start] + flat[end:until]) and flat[:line].rstrip()[-1:] not in (":", ","):
+        return False  # the notice is all of its line, as a heading is
     for m in _SENTENCE_END.finditer(flat, first, start):
         first = m.end()
     m = _SENTENCE_END.search(flat, max(first, end - 1), last)
