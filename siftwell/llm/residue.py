@@ -187,13 +187,16 @@ def literals(pattern: str) -> set[str]:
 # What explains a slot or a printed value instead of leaving it.
 _EXPLAINS = re.compile(
     r"\bin (?:bash|jinja|mustache|handlebars|liquid|php|python|perl|ruby|sql|latex|javascript|java|go|rust)\b|\bin an? \w+ (?:file|template|script|shell)\b|\bexpands?\b|\btemplat(?:e|ing) (?:engine|language|syntax)\b"
-    r"|\bthe engine\b|\bformat string\b|\bprintf\b|\bsyntax\b|\bmodelled as\b|\bprinting\b|\bis no string\b|\buntil set\b|\bas in\b|\bsuch as\b|\bis written\b|\bstands for\b"
+    r"|\bformat string\b|\bprintf\b|\bsyntax\b|\bplaceholders? (?:such as|like)\b|\bis written\b|\bstands for\b"
 )
-# What tells of a message near it, in the same sentence.
-_TELLS = re.compile(
-    r"\b(?:my logs?|logs? says?|says?|said|asks?|reads|wrote|you see|bore the word|the words?|the message|designers?|typesetters?|until the copy|then answers|answers \d+|chown|chmod|settings and|"
-    r"which \w+ needs|<noscript> tag|the \S+ tag|means that|is shown when|crawler|was denied|were denied|denied access to|left a todo|such as|explains?|called|when the|route is missing|times a day|caused by)\b"
+# A verb of saying or showing, or a noun for what is said, that governs what comes next; articles and nouns for messages may stand between.
+_REPORTS = re.compile(
+    r"\b(?:say|sa(?:ys|id|ying)|read(?:s|ing)?|wr(?:ite|ites|ote|iting)|ask(?:s|ed|ing)?|answer(?:s|ed|ing)?|repl(?:y|ies|ied)|print(?:s|ed|ing)?|show(?:s|ed|n|ing)?|display(?:s|ed|ing)?|report(?:s|ed|ing)?"
+    r"|giv(?:e|es|ing)|gave|see(?:s|ing|n)?|saw|g(?:e|o)t(?:s|ting)?|mean(?:s|t|ing)?|explain(?:s|ed|ing)?|call(?:s|ed|ing)?|quot(?:e|es|ed|ing)|mention(?:s|ed|ing)?|told|tell(?:s|ing)?"
+    r"|the (?:words?|phrases?|messages?|notices?|lines?|terms?|texts?))(?:\s+(?:an?|the|that|only|just|simply|about|of|like|something|errors?|messages?|notices?|pages?|status|code|text|words?)\b){0,4}[\s:,(]*$"
 )
+# What makes the phrase before it the subject or object of a statement.
+_STATES = re.compile(r"^[\"”’»'`)]?\s+(?:means?|meant|stands? for|(?:is|was|are|were|gets?) (?:shown|displayed|printed|returned|sent|logged|raised|thrown) (?:if|when|where|by|to)|(?:is|was) (?:a|an|the|what)|appears? (?:if|when|where)|(?:errors?|messages?|pages?|responses?|notices?) (?:is|are|was|were|means?|come|comes|came)\b)\b")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"”’')\]]*\s+|\n\s*\n|\n(?=\s*(?:[#>*<\-]|\d+\.))")
 _QUOTES = {'"': '"', "“": "”", "‘": "’", "«": "»", "„": "“", "`": "`"}
 _SOFT = {"script"}
@@ -254,22 +257,33 @@ _WORDS_OUT = re.compile(r"\w")
 
 def _mentioned(flat: str, one: str, kind: str, start: int, end: int) -> bool:
     """Whether a text quotes, explains or tells of what looks like residue."""
-    before = one[:start].rstrip(" ")[-1:]
-    close = _QUOTES.get(before)
-    if close and close in one[end : end + 120]:
-        return True
     first, last = max(0, start - 300), min(len(flat), end + 200)
     line, until = flat.rfind("\n", 0, start) + 1, flat.find("\n", end)
     until = until if until >= 0 else len(flat)
     if kind not in ("slot", "empty") and not _WORDS_OUT.search(flat[line:start] + flat[end:until]) and flat[:line].rstrip()[-1:] not in (":", ","):
-        return False  # the notice is all of its line, as a heading is
+        return _quoted(one, line, start, end)  # the notice is all of its line, as a heading is
     for m in _SENTENCE_END.finditer(flat, first, start):
         first = m.end()
     m = _SENTENCE_END.search(flat, max(first, end - 1), last)
     last = m.start() if m else last
-    if kind in ("slot", "empty"):
-        return bool(_EXPLAINS.search(one, max(first, start - 100), min(last, end + 100)))
-    return bool(_TELLS.search(one, max(first, start - 50), start) or _TELLS.search(one, end, min(last, end + 60)))
+    # A slot in reported speech is one all the same.
+    if _quoted(one, start if kind == "slot" else max(first, start - 60), start, end):
+        return True
+    if kind in ("slot", "empty") and _EXPLAINS.search(one, max(first, start - 100), min(last, end + 100)):
+        return True
+    if kind == "slot":
+        return False
+    return bool(_REPORTS.search(one[first:start]) or _STATES.search(one[end:last]))
+
+
+def _quoted(one: str, first: int, start: int, end: int) -> bool:
+    """Whether a quotation opens before and closes after."""
+    head = one[min(first, len(one[:start].rstrip()) - 1) if start else 0 : start].rstrip()
+    for opening, closing in _QUOTES.items():
+        at = [m.end() for m in re.finditer(rf"(?<![\w.,!?…]){re.escape(opening)}", head)]
+        if at and closing not in head[at[-1] :] and closing in one[end : end + 120]:
+            return True
+    return False
 
 
 def line_key(line: str) -> int | None:
