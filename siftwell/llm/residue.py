@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.text import WORD, repair
 from siftwell.runtime import Scratch
 
-# Names of the fields that page, mail and form templates fill in.
+# Names of the fields that page, mail and form templates fill in, for delimiters that prose uses too.
 FIELDS = (
     "address amount article author body caption case_no category chapter city company content country customer date "
     "department description editor email event field firstname first_name footer full_name fullname header headline "
@@ -38,23 +38,27 @@ FILLER = (
 ).split()
 
 _FIELD = rf"(?:[a-z]+[._])*(?:{'|'.join(sorted(FIELDS, key=len, reverse=True))})"
+# Any name, where prose never uses the delimiters.
+_NAME = r"[a-z_][\w.\-]{1,60}"
 _IDENT = r"[a-z_][\w.\- |]{0,60}"
 _NOUNS = rf"(?:{'|'.join(sorted((f.replace('_', '[ _]') for f in FIELDS), key=len, reverse=True))})"
 
 # Slots that only template languages write.
 _SLOTS = (
-    rf"\{{\{{\{{?\s*[#/^&]?\s*{_IDENT}\s*\}}?\}}\}}",
-    rf"<%[=\-]?\s*{_IDENT}\s*%>",
+    # tags, with filters, calls and quotes
+    r"\{\{\{?[~\-]?\s*[#/^&>!]?\s*[a-z_@$][\w.\- |$@()\[\]'\"“”‘’`:,=+*/?!<>&#%;]{0,160}\}?\}\}",
+    r"<%[=\-]?\s*[a-z_@$](?:[^%\n]|%(?!>)){0,160}%>",
     rf"\{{%-?\s*(?:block|include|if|for|endif|endfor|endblock|extends|set|url|trans)\b[^%{{}}]{{0,80}}%\}}",
     rf"#\{{\s*{_IDENT}\s*\}}",
     r"%\([a-z_][\w.]{0,40}\)[sdif]",
-    rf"%%\s*{_FIELD}\s*%%",
-    rf"@@\s*{_FIELD}\s*@@",
-    rf"\[\[\s*{_FIELD}\s*\]\]",
-    rf"\$\{{\s*{_FIELD}\s*\}}",
-    rf"(?<![\w\\{{]){{\s*{_FIELD}\s*}}(?!}})",
-    rf"<<\s*{_FIELD}\s*>>",
-    rf"\*\|\s*{_FIELD}\s*\|\*",
+    rf"%%\s*{_NAME}\s*%%",
+    rf"@@\s*{_NAME}\s*@@",
+    rf"\[\[\s*{_NAME}\s*\]\]",
+    rf"\$\{{\s*(?:{_FIELD}|{_NAME}(?!\s*\}}[$_^\\]))\s*\}}",
+    rf"<<\s*{_NAME}\s*>>",
+    rf"\*\|\s*(?:[a-z]+:\s*)?{_NAME}\s*\|\*",
+    # Single braces also stand in formulas and code: known fields and names of several words.
+    rf"(?<![\w\\{{]){{\s*(?:{_FIELD}[._]?(?:id|no|nr|number|name|code|key|date|time|type|email|url)?|[a-z]{{3,}}(?:_[a-z]{{2,}})+)\s*}}(?!}})",
     rf"<\s*(?:your|insert|add|enter)\s+(?:the\s+|a\s+|an\s+|your\s+)?[\w ]{{1,30}}?(?:\s+goes)?(?:\s+here)?\s*>",
     r"\[\s*(?:insert|your|enter|add)\s+[\w' ]{1,40}\]",
     r"\(\s*(?:insert|add|enter)\s+" + _NOUNS + r"(?:\s+here)?\s*\)",
