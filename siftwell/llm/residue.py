@@ -1,9 +1,9 @@
 """Template residue, filler and error-page text.
 
 Records are read once in Python workers. Each cleaned text is searched for residue; a hit carries the normalised line it
-stands on and a grade. Hard hits (unfilled slots, printed empty values, filler, failure messages) count wherever they stand.
+stands on, a grade and whether the rest of the record is content. Hard hits (unfilled slots, printed empty values, filler, failure messages) count wherever they stand.
 Soft hits are short notices that a site may also print around real content, as a request to allow scripts in a
-footer; they count only in what is left after the lines recurrent at the record's host are subtracted. Line counts per
+footer; one is subtracted only if most of the host's records hold its line and the rest of the record is content. Line counts per
 host are aggregated from 64-bit line keys before any shuffle, so texts never move.
 """
 
@@ -205,8 +205,10 @@ _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"”’')\]]*\s+|\n\s*\n|\n(?=\s*(?:
 _QUOTES = {'"': '"', "“": "”", "‘": "’", "«": "»", "„": "“", "`": "`"}
 _SOFT = {"script"}
 _LINE_WORDS = 4
+_CONTENT_WORDS = 5
+_STOP = re.compile(r"[.!?…。！？]")
 
-HIT_SCHEMA = "doc_id string, host string, kind string, soft boolean, line_key long"
+HIT_SCHEMA = "doc_id string, host string, kind string, soft boolean, line_key long, content boolean"
 
 
 def _compiled(pattern: str) -> re.Pattern:
@@ -299,6 +301,11 @@ def line_key(line: str) -> int | None:
     return int.from_bytes(blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _content(lines: list[str]) -> bool:
+    """Whether one of the lines is a sentence of at least five words; menus and bare links hold none."""
+    return any(_STOP.search(line) and len(WORD.findall(line)) >= _CONTENT_WORDS for line in lines)
+
+
 def _hits(batches):
     """Worker: the hits of each record, and a row without kind for each of its lines, for the counts."""
     finder = Finder()
@@ -306,19 +313,23 @@ def _hits(batches):
         rows = []
         for doc, host, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             text = repair(raw)
-            keys = [line_key(line) for line in text.split("\n")]
-            rows.extend((doc, host, None, False, key) for key in {*keys} - {None})
-            rows.extend((doc, host, kind, kind in _SOFT, keys[line]) for kind, line in finder(text))
-        columns = [*zip(*rows, strict=True)] or [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "host", "kind", "soft", "line_key"])
-
-
-def template_residue(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_share: float = 0.01) -> DataFrame:
+            lines = text.split("\n")
+            keys = [line_key(line) for line in lines]
+            rows.extend((doc, host, None, False, key, False) for key in {*keys} - {None})
+            found = finder(text)
+            held = {line for _, line in found}
+            content = bool(found) and _content([line for i, line in enumerate(lines) if i not in held])
+            rows.extend((doc, host, kind, kind in _SOFT, keys[line], content) for kind, line in found)
+        columns = [*zip(*rows, strict=True)] or [[]] * 6
+        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "host", "kind", "soft", "line_key", "content"])
+
+
+def template_residue(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_share: float = 0.5) -> DataFrame:
     """Records with residue: doc_id, kinds (sorted). What it does not name can be kept.
 
-    A line counts as its host's boilerplate if at least `min_docs` records and a share `min_share` of the host's records
-    hold it; soft hits on such lines are subtracted. Hosts are compared trimmed and in lower case; a null host is one of
+    A line counts as its host's boilerplate for a record if a share `min_share` of the host's other records hold it too; soft
+    hits on such lines are subtracted from records that hold a sentence besides. Hosts are compared trimmed and in lower case; a null host is one of
     its own. Null ids are left out, null and empty texts have no residue, repeated ids count once, other columns are
     ignored, and an empty table gives an empty result.
     """
@@ -328,7 +339,7 @@ def template_residue(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     seen = rows.mapInArrow(_hits, HIT_SCHEMA)
     hits = scratch.keep(seen, "hits")
     found = hits.filter("kind is not null")
-    soft = found.filter("soft and line_key is not null")
+    soft = found.filter("soft and content and line_key is not null")
     lines = soft.select("host", "line_key").distinct()
     docs = rows.groupBy("host").agg(F.countDistinct("doc_id").alias("docs"))
     common = (
@@ -337,8 +348,8 @@ def template_residue(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         .groupBy("host", "line_key")
         .agg(F.countDistinct("doc_id").alias("held"))
         .join(docs, "host")
-        .filter((F.col("held") >= min_docs) & (F.col("held") >= F.col("docs") * min_share))
+        .filter((F.col("held") > 1) & (F.col("held") - 1 >= (F.col("docs") - 1) * min_share))
         .select("host", "line_key")
     )
-    kept = found.filter("not soft or line_key is null").select("doc_id", "kind").unionByName(soft.join(common, ["host", "line_key"], "left_anti").select("doc_id", "kind"))
+    kept = found.filter("not soft or not content or line_key is null").select("doc_id", "kind").unionByName(soft.join(common, ["host", "line_key"], "left_anti").select("doc_id", "kind"))
     return kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
