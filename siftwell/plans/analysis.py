@@ -296,7 +296,7 @@ def share_intervals(spark, d):
     base, target = _components(spark, d, [1, 2])
     rows = attribution.aligned(base, target, table(spark, d, "documents"), _NAMES).join(base.select("doc_id", "n"), "doc_id")
     rows = Scratch(spark, "aligned").keep(rows, "aligned")
-    return attribution.share_intervals(attribution.bootstrap_shares(rows, _NAMES, lambda c: attribution.contrast_score(c | {"n": F.col("n")}), 20))
+    return attribution.share_intervals(attribution.bootstrap_shares(rows, _NAMES, lambda c: attribution.contrast_score(c | {"n": F.col("n")}), 1000))
 
 
 @query()
@@ -321,14 +321,14 @@ def bootstrap_rates(spark, d):
 def bootstrap_coefficients(spark, d):
     """Percentile interval of the perplexity coefficient over resampled documents."""
     rows = frames.document_table(spark, d)
-    counts = resample.bootstrap_counts(rows.select("item_id", "stratum"), 50)
+    counts = resample.bootstrap_counts(rows.select("item_id", "stratum"), 1000)
     cells = resample.bootstrap_cells(rows, counts, ["instance", "stratum"], ["flagged", "log_ppl_indep", "n_tokens"])
     return resample.interval(resample.bootstrap_coefficients(cells, "flagged", ["log_ppl_indep", "n_tokens"], ["instance"], "log_ppl_indep"), "coef")
 
 
 @query()
 def profile_permutation(spark, d):
-    out = resample.profile_shift(frames.flags(spark, d).filter(F.col("instance").startswith("D1@")), replicates=500)
+    out = resample.profile_shift(frames.flags(spark, d).filter(F.col("instance").startswith("D1@")))
     return spark.createDataFrame([Row(**out)], "stat double, p double")
 
 
@@ -351,13 +351,13 @@ def unification_test(spark, d):
 def reference_shift_test(spark, d):
     rows = frames.document_table(spark, d)
     cells = frames.cells_with_reference(spark, d, rows)
-    return _flat(spark, hypotheses.reference_shift(cells, rows, overlap=tables.covariate(table(spark, d, "source_overlap")), replicates=500))
+    return _flat(spark, hypotheses.reference_shift(cells, rows, overlap=tables.covariate(table(spark, d, "source_overlap"))))
 
 
 @query()
 def trained_test(spark, d):
     rows = frames.document_table(spark, d)
-    return _flat(spark, hypotheses.trained_only(tables.cell_table(rows), rows, replicates=500))
+    return _flat(spark, hypotheses.trained_only(tables.cell_table(rows), rows))
 
 
 @query()
@@ -367,7 +367,7 @@ def held_out_test(spark, d):
 
 @query()
 def agreement_test(spark, d):
-    return _flat(spark, hypotheses.agreement_structure(frames.flags(spark, d), replicates=1000))
+    return _flat(spark, hypotheses.agreement_structure(frames.flags(spark, d)))
 
 
 def _edited(spark, d):
@@ -431,7 +431,7 @@ def audit_estimates(spark, d):
     fitted = report.fit_audit(rows.filter(F.col("stratum").isin(*config.FIT)))
     # The texts of one population are audited, as a caller would.
     features = Scratch(spark, "features").keep(rows.filter("stratum = 'S10' and instance = 'D4'").select("log_ppl_indep", "n_tokens"), "features")
-    out = [(i, e["n_texts"], e["estimate"], e["low"], e["high"]) for i, m in sorted(fitted.items()) for e in [report.audit_estimate(features, m, draws=200)]]
+    out = [(i, e["n_texts"], e["estimate"], e["low"], e["high"]) for i, m in sorted(fitted.items()) for e in [report.audit_estimate(features, m)]]
     return spark.createDataFrame(out, "instance string, n_texts long, estimate double, low double, high double")
 
 
