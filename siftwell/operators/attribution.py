@@ -83,7 +83,7 @@ def shapley(profiles: DataFrame, names: list[str], by: list[str] = ()) -> DataFr
 def bootstrap_shares(rows: DataFrame, names: list[str], score, replicates: int, seed: int = 0) -> DataFrame:
     """b, component, share: shares over documents drawn again within each stratum, base and target alike."""
     counts = bootstrap_counts(rows.select("doc_id", "stratum"), replicates, "doc_id", "stratum", seed)
-    profiles = mixture_profiles(rows.join(counts, "doc_id"), names, score, by=["b"], weight="times")
+    profiles = mixture_profiles(rows.join(counts.hint("merge"), "doc_id"), names, score, by=["b"], weight="times")
     return shapley(profiles, names, ["b"]).select("b", "component", "share")
 
 

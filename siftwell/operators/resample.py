@@ -85,15 +85,17 @@ def bootstrap_counts(docs: DataFrame, replicates: int, key: str = "item_id", str
     """
     numbered = docs.select(F.col(stratum).alias("_s"), F.col(key).alias("_k")).distinct()
     numbered = numbered.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy("_k")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_s")))
-    slots = numbered.select("_s", "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    # Spark's size estimates leave out the replicates: the few rows are spread before they grow, and what has grown is not broadcast.
+    spread = numbered.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_s", "_i")
+    slots = spread.select("_s", "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     draws = slots.select("b", "_s", draw_index(F.col("b"), F.concat_ws("/", "_s", "_i"), F.col("_n"), seed).alias("_i"))
     counted = draws.groupBy("b", "_s", "_i").agg(F.count(F.lit(1)).alias("times"))
-    return counted.join(numbered.select("_s", "_i", "_k"), ["_s", "_i"]).select("b", F.col("_k").alias(key), "times")
+    return counted.hint("merge").join(numbered.select("_s", "_i", "_k"), ["_s", "_i"]).select("b", F.col("_k").alias(key), "times")
 
 
 def bootstrap_cells(doc_table: DataFrame, counts: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """b, by, n and the weighted mean of each value in each replicate's cells."""
-    rows = doc_table.join(counts, "item_id")
+    rows = doc_table.join(counts.hint("merge"), "item_id")
     n = F.sum("times")
     return rows.groupBy("b", *by).agg(n.alias("n"), *((F.sum(F.col("times") * F.col(v)) / n).alias(v) for v in values))
 
