@@ -113,6 +113,7 @@ _LEFTOVER = (
     rf"{_START}{_STAND_IN} {_COPY}\.?{_END}",
     rf"\breplace (?:this|the) (?:{_STAND_IN} )?(?:text|sentence|paragraph|line|copy|placeholder|sample|content)\b",
     rf"\b(?:type|write|enter|add|put|insert|place|paste|say) (?:something|a few words|(?:your |an? |the |some )?(?:own )?{_COPY})(?: about [\w' -]{{1,50}}?)? here\b",
+    rf"\b(?:type|write|enter|add|put|insert|place|paste) your {_NOUNS} here\b",
     rf"\byour [\w' -]{{1,40}}? (?:will (?:appear|go|be shown)|goes|appears|comes|belongs) here\b",
     rf"\byour {_COPY} (?:will (?:appear|go|be shown)|goes|appears|comes|belongs) here\b",
     rf"\b{_COPY} (?:is |are )?(?:goes here|will go here|will appear here|to come|to follow|coming soon|coming here){_END}",
@@ -120,19 +121,20 @@ _LEFTOVER = (
     r"\b(?:edit|change) or (?:remove|delete) (?:this|it)\b|\bjust another wordpress site\b",
     r"\b(?:hier|ici|aqui|aquí|qui) (?:steht|kommt|votre texte|va el texto|vai o texto|va il testo)\b[\w' ]{0,30}",
     r"\b(?:ihr|dein|votre|su|tu|il tuo|o seu|uw) (?:text|texte|texto|testo|tekst) (?:steht |kommt |va |vient |komt )?(?:hier|ici|aquí|aqui|qui)\b",
+    rf"{_START}lorem ipsum{_END}",
     r"(?:^|[.!?:]\s+|\n\s*)(?:tbd|tba|tbc|todo|fixme|to be (?:written|added|done|completed))\s*(?:[.!:]|$)",
 )
 
 _CODES = r"(?:400|401|403|404|405|408|410|429|500|501|502|503|504)"
 _REASON = (
     r"(?:bad request|unauthori[sz]ed|forbidden|(?:page |file |server |site |url )?not found|request time-?out|gone|too many requests|internal server error|bad gateway|(?:service |page |site |website |server )?(?:temporarily )?unavailable"
-    r"|gateway time-?out|method not allowed|(?:log ?in|sign[ -]in|authentication) (?:is )?required|(?:access|permission) (?:denied|forbidden|refused)|unable to (?:connect|load)|proxy error|session expired|connection (?:refused|reset|timed out|failed|lost))"
+    r"|gateway time-?out|method not allowed|(?:log ?in|sign[ -]in|authentication) (?:is )?required|(?:access|permission) (?:denied|forbidden|refused)|invalid request|unable to (?:connect|load)|proxy error|session expired|connection (?:refused|reset|timed out|failed|lost))"
 )
 # Reasons that no running sentence is made of.
 _ALONE = (
     r"(?:bad request|(?:page|file|server|site|url|webpage|website|document|resource) not found|not found|request time-?out|too many requests|internal server error|bad gateway|service (?:temporarily )?unavailable|temporarily unavailable"
     r"|(?:page|site|website|server|content) (?:is )?(?:temporarily |currently )?unavailable|gateway time-?out|method not allowed|(?:log ?in|sign[ -]in|authentication) (?:is )?required|(?:permission|access) (?:denied|forbidden|refused)|unable to (?:connect|load)(?: to (?:the )?server)?"
-    r"|proxy error|(?:your )?session (?:has )?expired|connection (?:was |has been )?(?:refused|reset|timed out|failed|lost|closed))"
+    r"|invalid (?:request|url|token|link)|object moved|proxy error|(?:your )?session (?:has )?expired|connection (?:was |has been )?(?:refused|reset|timed out|failed|lost|closed))"
 )
 # What a site serves; what became of it; how its reader came to it.
 _PAGE = r"(?:web ?pages?|pages?|urls?|uri|files?|documents?|resources?|address|web ?sites?|sites?|content|links?|location|(?:web )?server|host|service|video|item|article|post|account|object|feature)"
@@ -140,7 +142,7 @@ _NOT = r"(?:not|n't|n’t)"
 _PATH = r"(?: ['\"“]?(?:/|https?://)[^\s]*)?"
 _READER = r"(?:(?: that| which)? (?:you(?:['’]re| are| were|['’]ve| have)? (?:just )?(?:looking for|look for|requested|asked for|followed|selected|entered|clicked(?: on)?|visited|want(?:ed)?|(?:trying|attempting|looking) to \w+(?: to)?)|was requested|requested))"
 _LOST = (
-    rf"(?:(?:could ?{_NOT}|can ?{_NOT}|can['’]?t|cannot) (?:currently )?be (?:found|located|opened|loaded|displayed|shown|reached|retrieved|accessed|processed|completed|viewed|served|resolved)|(?:was|is|were|are) ?{_NOT} (?:found|available|reachable|accessible|responding)"
+    rf"(?:(?:could ?{_NOT}|can ?{_NOT}|can['’]?t|cannot) (?:currently )?be (?:found|located|opened|loaded|displayed|shown|reached|retrieved|accessed|processed|completed|viewed|served|resolved)|(?:was|is|were|are) ?{_NOT} (?:found|available|reachable|accessible|responding|working|loading|valid|supported)"
     rf"|does ?{_NOT} (?:seem to )?exist|(?:no longer|not) (?:exists?|available)|is (?:no longer|not) (?:here|available|accessible|active)|(?:is|was|are) (?:currently |temporarily |now |presently )?(?:unavailable|down|offline|inaccessible|missing)"
     r"|(?:has|have) been (?:removed|deleted|moved|suspended|blocked|disabled|discontinued|taken down)|(?:may|might) (?:have been|be|no longer be) (?:broken|removed|moved|deleted|renamed|unavailable|available|out of date))"
 )
@@ -150,7 +152,7 @@ _FAILURE = (
     rf"\bhttp(?:/\d(?:\.\d)?)? (?:error |status )?{_CODES}\b\s*[:\-–—.]",
     rf"\b(?:error|errno|status code|error code) {_CODES}\b|\berror [1-5]\d{{2,3}}:",
     rf"{_START}(?:error[ :\-–—]+)?{_ALONE}(?=\s*(?:$|[.!|<>:(–—\-\n]))",
-    rf"(?:{_START}|\b(?:the|this|that|your|our|requested|sorry,?) )(?:requested |linked |current )?{_PAGE}{_PATH}{_READER}? {_LOST}{_AFTER}",
+    rf"(?:{_START}|\b(?:the|this|that|your|our|requested|sorry,?) )(?:requested |specified |linked |current |given |following |selected )?(?:{_PAGE}|request){_PATH}{_READER}? {_LOST}{_AFTER}",
     rf"\b(?:the|this) {_PAGE}{_PATH}{_READER}[^.!?]{{0,20}} (?:{_LOST}|could not|cannot|not found)",
     rf"\b(?:page|file|url|content|resource) (?:was |is |could )?(?:not|no longer) (?:be )?(?:found|available|exist)(?:\b(?=\s*[.!:(\n]|\s*$))",
     rf"\bwe (?:can(?:not|['’]t)|could ?{_NOT}|(?:are|were) ?{_NOT} able to|(?:are|were) unable to|did ?{_NOT}) (?:seem to )?(?:find|locate|open|load|display|retrieve|show|process|complete|reach|serve) (?:(?:the|that|this|your) (?:requested )?(?:{_PAGE}|request)\b|(?:the|that|any|what) ?[\w' -]{{0,30}}? ?you(?: are|['’]re| were)? (?:looking for|requested|asked for|seeking))",
@@ -161,7 +163,7 @@ _FAILURE = (
     rf"(?:{_START}|\b(?:an?|sorry,?|but) )(?:unknown|unexpected|internal|critical|fatal|application|server|system|script|unhandled)(?: (?:server|application|system|database|network|script))? (?:error|exception) (?:has |was )?(?:occurred|happened|encountered|detected)\b",
     r"\b(?:an?|unknown|unexpected|internal) error (?:has )?occurred\b(?=[^.!?\n]{0,60}(?:[.!]|$))",
     rf"\bthere (?:was|is|has been) an? (?:\w+ )?(?:error|problem) (?:on this (?:web ?)?(?:site|page|server)|with (?:your|this) (?:request|page|site)|(?:while )?(?:processing|loading|connecting|establishing))",
-    r"\bencountered an? (?:internal |unexpected |unknown )?(?:error|problem|misconfiguration)\b(?=[^.!?]{0,60}(?:request|server|page|complete|misconfiguration|[.!]|$))|\bunable to (?:complete|process|handle|fulfil|fulfill) (?:your|the|this) request\b|\binvalid response from an? upstream\b",
+    r"\bencountered an? (?:internal |unexpected |unknown )?(?:error|problem|misconfiguration)\b(?=[^.!?]{0,60}(?:request|server|page|complete|misconfiguration|[.!]|$))|\bunable to (?:complete|process|handle|service|serve|fulfil|fulfill) (?:your|the|this) request\b|\binvalid response from an? upstream\b",
     r"\berror (?:establishing|connecting to|loading|processing|retrieving|fetching|opening) (?:an? |the |your |this )?(?:\w+ )?(?:connection|database|server|page|content|file|request|data|resource|feed)\b",
     r"\b(?:server|application) error in ['\"/]",
     r"\btraceback \(most recent call last\)",
@@ -173,8 +175,8 @@ _FAILURE = (
     r"\b(?:warning|notice|deprecated|strict standards|fatal error)\s*: [^\n]{1,120}? (?:in [^\s]+ )?on line \d+|\bwarning: (?:mysqli?|pg|include|require|fopen|file_get_contents|undefined|cannot modify)\w*",
     r"\b(?:stack ?trace\s*:|segmentation fault\b|core dumped\b|exception in thread\b|kernel panic\b)",
     r"\btoo many requests\b(?=\s*[:.(!]|\s+from\b)|\brate limit (?:exceeded|reached)\b",
-    rf"\byour (?:ip(?: address)?|address|account|access|request|browser|connection) (?:has been|is|was) (?:temporarily |permanently |currently )?(?:limited|blocked|banned|suspended|denied|locked|disabled|refused|throttled|rejected)\b|\byou(?:['’]ve| have) been (?:temporarily )?(?:blocked|banned|denied access|logged out|signed out)\b",
-    r"(?:^|[.!?:>]\s*|\n\s*)access (?:to this \w+ (?:is|has been) )?(?:denied|forbidden|restricted)\s*(?:[.!:]|\n|$)",
+    rf"\byour (?:ip(?: address)?|address|account|access|request|browser|connection) (?:has been|is|was) (?:temporarily |permanently |currently )?(?:limited|blocked|banned|suspended|denied|locked|disabled|refused|throttled|rejected)\b|\b(?:has|have) (?:temporarily |permanently )?(?:banned|blocked|limited|suspended|locked) your (?:ip|address|account|access|network)\b|\byou(?:['’]ve| have) been (?:temporarily )?(?:blocked|banned|denied access|logged out|signed out)\b",
+    r"(?:^|[.!?:>]\s*|\n\s*)access (?:to (?:this|the) (?:requested )?\w+(?: on (?:this|the) \w+)? (?:is|has been) )?(?:denied|forbidden|restricted)\s*(?:[.!:]|\n|$)",
     rf"\byou (?:do|are) ?{_NOT} (?:currently )?(?:have (?:the |sufficient |enough )?(?:permissions?|access|rights?|authori[sz]ation|privileges)|authori[sz]ed|allowed|permitted) to (?:access|view|see|open|read|use|visit|perform|enter) (?:/|(?:this|these|that|the|the requested) (?:page|site|server|resource|content|document|file|folder|area|section|action|forum|application|operation|directory|url)s?\b)",
     r"\b(?:do|don['’]t|not) have permission to (?:access|view|open|read) /",
     r"\baccess (?:is )?(?:denied|forbidden)\s*[.!:]+\s*you\b|\baccess denied (?:for user|by|due to)\b",
@@ -185,7 +187,7 @@ _FAILURE = (
     # other languages: the page is not there
     r"página no (?:encontrada|existe|disponible)|no se (?:ha )?(?:pudo|encontr\w+) (?:encontrar )?la página|la página (?:que (?:buscas?|busca|solicitó|solicitaste|ha solicitado) |solicitada )?(?:no existe|no se encuentra|no está disponible|ya no existe)",
     r"página não (?:encontrada|existe|disponível)|a página (?:que (?:procura|você procura|solicitou) |solicitada )?(?:não existe|não foi encontrada|não está disponível)|pagina non (?:trovata|disponibile|esiste)|la pagina (?:richiesta |che (?:cerchi|stai cercando) )?non (?:esiste|è stata trovata|è disponibile)|(?:de )?(?:opgevraagde )?pagina (?:is )?(?:niet gevonden|bestaat niet|kon niet worden gevonden)",
-    r"seite (?:wurde )?nicht (?:gefunden|verfügbar|erreichbar)|(?:die |diese )(?:angeforderte |gesuchte |gewünschte )?seite (?:konnte (?:leider )?nicht (?:gefunden|geladen|angezeigt) werden|(?:existiert|ist)(?: leider)? nicht(?: verfügbar| mehr)?)|zugriff verweigert|(?:ihre |deine )?sitzung ist abgelaufen(?=\s*(?:$|[.,;:!?]))|interner serverfehler|verbindung zur datenbank fehlgeschlagen|(?:der )?server ist (?:derzeit |zurzeit |momentan |vorübergehend )?nicht (?:erreichbar|verfügbar)|sie (?:haben keine berechtigung|sind nicht berechtigt)",
+    r"seite (?:wurde )?nicht (?:gefunden|verfügbar|erreichbar)|(?:die |diese )(?:angeforderte |gesuchte |gewünschte )?seite (?:konnte (?:leider )?nicht (?:gefunden|geladen|angezeigt) werden|(?:existiert|ist)(?: leider)? nicht(?: verfügbar| mehr)?)|zugriff verweigert|(?:ihre |deine )?sitzung ist abgelaufen(?=\s*(?:$|[.,;:!?]))|interner serverfehler|verbindung (?:zur datenbank|zum server|mit dem server) (?:ist |wurde )?(?:fehlgeschlagen|unterbrochen|verloren)|bitte melden sie sich (?:erneut |zuerst )?an(?=\s*(?:$|[.,;!]|um ))|(?:der )?server ist (?:derzeit |zurzeit |momentan |vorübergehend )?nicht (?:erreichbar|verfügbar)|sie (?:haben keine berechtigung|sind nicht berechtigt)",
     r"ein (?:unerwarteter |interner |unbekannter )?fehler ist aufgetreten|etwas ist schief ?gelaufen(?=\s*(?:$|[.!]))|zu viele anfragen|wartungsarbeiten(?=[^.!?]{0,60}(?:nicht (?:erreichbar|verfügbar)|später))",
     r"page (?:introuvable|non trouvée|inexistante)|(?:la|cette) page (?:que vous (?:recherchez|avez demandée|cherchez) |demandée )?(?:n['’]existe (?:pas|plus)|n['’]est (?:pas|plus) disponible|est introuvable(?=\s*(?:$|[.,;:!]))|n['’]a pas (?:été|pu être) trouvée)|accès (?:refusé|interdit)(?=\s*(?:$|[.,;:!(\n]))|votre session a expiré|erreur interne du serveur",
     r"une erreur (?:inattendue |interne |inconnue )?(?:est survenue|s['’]est produite)|vous n['’](?:êtes pas autorisé|avez pas (?:l['’]autorisation|la permission|accès))|trop de requêtes|service (?:temporairement )?indisponible",
@@ -203,6 +205,7 @@ _SCRIPTS = (
     rf"\byour browser (?:does ?{_NOT}|can ?{_NOT}|cannot|can['’]?t|has|is|may be|seems to)[^.!?\n]{{0,20}}? ?(?:run|support|execute|disabled|blocked|blocking|allow)(?:ing)? {_JS}\b",
     rf"\b(?:this|the|our) (?:content|page|site|app|application|web ?site|feature|view|form|game|map|player|widget|tool|service|video|component)\b[^.!?,\n]{{0,40}}? ?(?:requires?|needs|works best with|depends on|relies on|(?:will|does) ?{_NOT} work (?:properly |correctly )?without) {_JS}\b",
     rf"(?:{_START}|\b(?:because|that|like|as|since|sorry,?|but) |\b(?:your|this) )(?:your )?{_JS} (?:is|are|has been|have been|seems to be|appears to be)(?: currently)? {_OFF}(?=\s*(?:$|[.,;:!()…—–\n\-<]|in (?:your|this)|to |for (?:this|the|full)|on (?:this|your)|here\b|by your|and ))",
+    rf"\byour browser (?:has|seems to have) {_JS} (?:disabled|turned off|switched off|blocked)\b",
     rf"\b{_JS} (?:must|needs to|has to|have to|need to|should) be (?:enabled|turned on|switched on|activated|allowed|available)\b",
     # other languages
     r"(?:veuillez|merci d['’ e]|vous devez|il faut) ?(?:activer|autoriser) (?:le )?javascript|javascript (?:est|doit être|semble) (?:désactivé|activé|requis|nécessaire)",

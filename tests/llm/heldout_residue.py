@@ -261,7 +261,7 @@ JavaScript wurde 1995 in zehn Tagen entworfen.
 Le cours de JavaScript commence en octobre.
 """.strip().splitlines()
 
-# Written when the rules were done; no rule was changed for them.
+# Written when the rules were done. 0.675 of them were found then, and none of the look-alikes; the rules were widened after that.
 LATER_RESIDUE = """
 This page isn’t working right now.
 The owner of this website has banned your IP address.
@@ -346,3 +346,67 @@ El servicio de trenes fue interrumpido.
 La sessione del consiglio è finita tardi.
 Er was een fout in de krant.
 """.strip().splitlines()
+
+# Written after that; no rule was changed for them.
+LAST_RESIDUE = """
+The website cannot display the page.
+Your account has been disabled.
+This video is no longer available.
+This post has been removed.
+We could not find that page.
+No page was found at this address.
+Page Not Found | Our Shop
+503 Backend fetch failed
+500 - Internal server error.
+You do not have permission to view this directory or page.
+You must be logged in to reply to this topic.
+Please log in to continue reading.
+Your session has ended due to inactivity.
+We have detected that JavaScript is disabled in your browser.
+This site works best with JavaScript enabled.
+Please turn JavaScript on and reload the page.
+Warning: include(header.php): failed to open stream: No such file or directory in /srv/index.php on line 4
+NullReferenceException: Object reference not set to an instance of an object.
+KeyError: 'title'
+Fatal error: Allowed memory size of 1 bytes exhausted
+Hello {{user}}, you have {{count}} new messages.
+Dear [First Name],
+Your code is ${code}.
+Ship to: {customer_address}
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor.
+This is a sample page.
+Write a description here.
+TBD
+Updated: NaN days ago
+Die Seite wurde nicht gefunden.
+Cette page n'existe plus.
+Esta página no existe.
+Questa pagina non esiste più.
+Deze pagina bestaat niet.
+""".strip().splitlines()
+LAST_LOOK_ALIKES = """
+The page was torn and could not be read by the monks.
+Our website has served the village since 1999.
+The video of the wedding was lost in the fire.
+The post was removed to make room for the gate.
+We could not find the road in the fog.
+The account was disabled by its owner, a retired clerk.
+A session ended in uproar when the minister arrived.
+Java, a script for shadow puppets, is enabled by lamps.
+A page reported a server error, and the engineer restarted the machine.
+If the key is missing, Python raises a KeyError.
+Null references cost the industry a billion dollars, he claimed.
+The title of the sample is on the page.
+Write a letter to your aunt.
+The days are long and the number is unknown.
+Use {{ count }} in the Twig template to print the number.
+She typed "page not found" into the search box.
+He told me the site was down, so I went for a walk.
+The access road is closed.
+Nothing was found in the cave but bones.
+The file cabinet is missing a drawer.
+The address on the letter does not exist any more than the street does.
+La página está en blanco porque el autor lo quiso así.
+Die Seite mit dem Wappen fehlt im Buch.
+La page de garde porte un nom effacé.
+""".strip().splitlines()
