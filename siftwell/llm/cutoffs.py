@@ -1,8 +1,9 @@
 """Score cutoffs per group that keep a target fraction, by distributed quickselect.
 
-A round takes the median of each group in each partition, the weighted median of these medians as the group's pivot, and
-counts what lies below and at the pivot; one side of the group is discarded. Rounds repeat until every target rank is
-isolated. Bounds and pivots are tables of one row per group; scores stay where they were written.
+A round takes medians and further quantiles of each group in each partition, and weighted medians of these as the group's
+pivots; counts between the pivots show the stretch that holds the wanted rank, and all others are discarded: only that stretch
+is written for the next round, so the rounds together read little more than the first. They repeat until every rank is
+isolated. Pivots and ranks are tables of one row per group.
 """
 
 from __future__ import annotations
@@ -13,39 +14,49 @@ from pyspark.sql import functions as F
 from siftwell.operators.scoring import latest_scores as latest_scores
 from siftwell.runtime import Scratch
 
+PIVOTS = 31
+_CUTS = [k / (PIVOTS + 1) for k in range(1, PIVOTS + 1)]
 
-def quickselect(values: DataFrame, ranks: DataFrame, scratch: Scratch, *, max_rounds: int = 200) -> DataFrame:
+
+def partition_medians(values: DataFrame, *more) -> DataFrame:
+    """key, pid, quantiles, n: of each group in each partition; further aggregates as given."""
+    return values.groupBy("key", F.spark_partition_id().alias("pid")).agg(F.percentile_approx("value", F.array(*map(F.lit, _CUTS)), 1000).alias("quantiles"), F.count(F.lit(1)).alias("n"), *more)
+
+
+def _pivots(medians: DataFrame) -> DataFrame:
+    """key, pivots: weighted medians, quartiles and so on of the partitions' quantiles, in order."""
+    each = medians.select("key", "n", F.explode("quantiles").alias("q"))
+    upto, whole = Window.partitionBy("key").orderBy("q"), Window.partitionBy("key")
+    weighed = each.select("key", "q", F.floor(F.sum("n").over(upto) * F.lit(PIVOTS + 1) / F.sum("n").over(whole)).alias("place"))
+    return weighed.groupBy("key", "place").agg(F.min("q").alias("q")).groupBy("key").agg(F.array_sort(F.collect_set("q")).alias("pivots"))
+
+
+def quickselect(values: DataFrame, ranks: DataFrame, scratch: Scratch, *, medians: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
     """key, value: the value at position `rank` (from 1) of each key's sorted values.
 
-    values: (key string, value double without null and NaN); ranks: (key, rank) with 1 <= rank <= the key's count.
+    values: (key string, value double without null and NaN); ranks: (key, rank) with 1 <= rank <= the key's count; medians:
+    partition_medians(values), where they are at hand.
     """
-    state = scratch.keep(ranks.select("key", F.col("rank").cast("long").alias("rank"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("value")), "state")
+    wanted, alive, found = ranks.select("key", F.col("rank").cast("long").alias("rank")), values.select("key", "value"), None
     for _ in range(max_rounds):
-        todo = state.filter("value is null")
-        if todo.isEmpty():
-            return state.select("key", "value")
-        active = values.join(todo.drop("value"), "key").filter("(low is null or value > low) and (high is null or value < high)").select("key", "value", "rank", "low", "high")
-        medians = active.groupBy("key", F.spark_partition_id().alias("pid")).agg(F.percentile_approx("value", 0.5, 200).alias("median"), F.count(F.lit(1)).alias("n"))
-        upto = Window.partitionBy("key").orderBy("median", "pid")
-        weighed = medians.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("key")))
-        pivots = weighed.filter("upto * 2 >= all").groupBy("key").agg(F.min("median").alias("pivot"))
-        sides = active.join(pivots, "key").groupBy("key").agg(F.first("pivot").alias("pivot"), F.count_if(F.col("value") < F.col("pivot")).alias("below"), F.count_if(F.col("value") == F.col("pivot")).alias("at"))
-        moved = state.join(sides, "key", "left")
-        hit = F.col("pivot").isNotNull() & (F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("at"))
-        left = F.col("pivot").isNotNull() & (F.col("rank") <= F.col("below"))
-        right = F.col("pivot").isNotNull() & (F.col("rank") > F.col("below") + F.col("at"))
-        new = scratch.keep(
-            moved.select(
-                "key",
-                F.when(right, F.col("rank") - F.col("below") - F.col("at")).otherwise(F.col("rank")).alias("rank"),
-                F.when(right, F.col("pivot")).otherwise(F.col("low")).alias("low"),
-                F.when(left, F.col("pivot")).otherwise(F.col("high")).alias("high"),
-                F.when(hit, F.col("pivot")).otherwise(F.col("value")).alias("value"),
-            ),
-            "state",
-        )
-        scratch.drop(state)
-        state = new
+        pivots = _pivots(medians if medians is not None else partition_medians(alive))
+        below = F.size(F.filter("pivots", lambda x: x < F.col("value")))
+        # Even numbers are the stretches between pivots, odd ones the pivots themselves.
+        stretch = (2 * below + F.array_contains("pivots", F.col("value")).cast("int")).alias("stretch")
+        sides = alive.join(pivots, "key").select("key", "value", stretch).groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        before = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sides.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(wanted, "key")
+        here = placed.filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
+        picked = scratch.keep(here.select("key", (F.col("rank") - F.col("before")).alias("rank"), "low", "high"), "picked")
+        done = picked.filter("low = high").select("key", F.col("low").alias("value"))
+        found = done if found is None else found.unionByName(done)
+        open_ = picked.filter("low < high")
+        if open_.isEmpty():
+            return found
+        left = scratch.keep(alive.join(open_.select("key", "low", "high"), "key").filter("value between low and high").select("key", "value"), "alive")
+        if medians is None:
+            scratch.drop(alive)
+        wanted, alive, medians = open_.select("key", "rank"), left, None
     raise RuntimeError("ranks were not isolated; raise max_rounds")
 
 
@@ -64,7 +75,8 @@ def cutoffs(scores: DataFrame, targets: DataFrame, *, fraction_col: str = "keep_
     fraction = F.col(fraction_col).cast("double")
     wanted = targets.select(F.col("instance").cast("string").alias("instance"), F.col("group_name").cast("string").alias("group_name"), F.when(fraction.isNotNull() & ~F.isnan(fraction), F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))).alias("keep_fraction"))
     wanted = wanted.groupBy("instance", "group_name").agg(F.max("keep_fraction").alias("keep_fraction")).withColumn("key", key)
-    sizes = items.groupBy("key").agg(F.first("instance").alias("i"), F.first("group_name").alias("g"), F.count(F.lit(1)).alias("items"))
+    medians = scratch.keep(partition_medians(items.withColumnRenamed("score", "value"), F.first("instance").alias("i"), F.first("group_name").alias("g")), "medians")
+    sizes = medians.groupBy("key").agg(F.first("i").alias("i"), F.first("g").alias("g"), F.sum("n").alias("items"))
     plan = scratch.keep(
         sizes.join(wanted, "key", "full").select(
             "key", F.coalesce("instance", "i").alias("instance"), F.coalesce("group_name", "g").alias("group_name"),
@@ -73,7 +85,7 @@ def cutoffs(scores: DataFrame, targets: DataFrame, *, fraction_col: str = "keep_
         "plan",
     )
     ranks = plan.filter("items > 0 and keep_fraction is not null").select("key", F.greatest(F.lit(1), F.ceil(F.col("keep_fraction") * F.col("items"))).alias("rank"))
-    found = quickselect(items.select("key", F.col("score").alias("value")), ranks, scratch).withColumnRenamed("value", "cutoff")
+    found = quickselect(items.select("key", F.col("score").alias("value")), ranks, scratch, medians=medians).withColumnRenamed("value", "cutoff")
     judged = items.join(found, "key", "left").withColumn("kept", F.col("cutoff").isNull() | (F.col("score") <= F.col("cutoff")))
     kept = judged.groupBy("key").agg(F.count_if("kept").alias("kept"))
     report = (
