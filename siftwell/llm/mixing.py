@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from siftwell.operators.ordered import running_total
 from siftwell.runtime import Scratch
 
 MAX_SOURCES = 10_000
-MAX_PLAN_ROWS = 500_000
+SHARDS_A_TASK = 256
 
 
 def _count(batches):
@@ -48,18 +49,69 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def _place(seed: int):
-    """Worker: shard, source, draw and number of blocks to the block and the pass."""
+def _half(counts: np.ndarray, room: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `room` slots, drawn without replacement from what the sources have left, fall to each source."""
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for k, own in enumerate(counts.tolist()):
+        rest -= own
+        if not room or not own:
+            continue
+        low, high = max(0, room - rest), min(own, room)
+        if own + rest < 1_000_000_000:
+            n = int(rng.hypergeometric(own, rest, room)) if rest else room
+        else:  # beyond the generator's range, where the normal curve is exact to a few parts in a million
+            whole = own + rest
+            mean, spread = room * (own / whole), math.sqrt(room * (own / whole) * (rest / whole) * ((whole - room) / max(1, whole - 1)))
+            n = min(high, max(low, round(rng.normal(mean, spread))))
+        out[k], room = n, room - n
+    return out
+
+
+def shards_between(quota: np.ndarray, shard_slots: int, seed: int, first: int, last: int):
+    """(shard, slots per source in it, slots per source before it) of the shards first..last-1.
+
+    The counts are a multinomial draw conditioned on the totals. They come from halving: a range of shards gives its
+    left half a draw from its counts, seeded by the range, so any task finds its own shards without the others.
+    """
+    shards = -(-int(quota.sum()) // shard_slots)
+    todo = [(0, shards, quota.astype(np.int64), np.zeros(len(quota), np.int64))]
+    while todo:
+        low, high, counts, before = todo.pop()
+        if high <= first or low >= last or low == high:
+            continue
+        if high - low == 1:
+            yield low, counts, before
+            continue
+        middle = (low + high) // 2
+        left = _half(counts, (middle - low) * shard_slots, np.random.default_rng([seed, low, high]))
+        todo += [(middle, high, counts - left, before + left), (low, middle, left, before)]
+
+
+def shard_counts(quota: dict[str, int], shard_slots: int, seed: int) -> list[dict[str, int]]:
+    """Slots per source of every shard."""
+    names = sorted(quota)
+    own = np.array([quota[s] for s in names], np.int64)
+    shards = -(-int(own.sum()) // shard_slots)
+    return [{s: k for s, k in zip(names, counts.tolist(), strict=True) if k} for _, counts, _ in shards_between(own, shard_slots, seed, 0, shards)]
+
+
+def _slots(names: list[str], quota: np.ndarray, blocks: np.ndarray, shard_slots: int, seed: int):
+    """Worker: consecutive shard numbers to their slots, each with the block and the pass that fill it."""
+    marks = np.array([int.from_bytes(blake2b(n.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for n in names], np.uint64)
 
     def run(batches):
         for batch in batches:
-            draw, blocks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
-            turn = draw // blocks
-            names = np.array(batch.column(5).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-            key = mix(names ^ mix(turn.astype(np.uint64) + np.uint64(seed * 1_000_003 + 7)))
-            block = permuted(draw % blocks, blocks, key)
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(block), pa.array(turn + 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "source", "block", "use"])
+            shards = batch.column(0).to_numpy(zero_copy_only=False)
+            for start in range(0, len(shards), 64):
+                some = shards[start : start + 64]
+                for shard, counts, before in shards_between(quota, shard_slots, seed, int(some.min()), int(some.max()) + 1):
+                    own = np.repeat(np.arange(len(names)), counts)
+                    draw = before[own] + np.arange(len(own)) - (np.cumsum(counts) - counts)[own]
+                    turn = draw // blocks[own]
+                    block = permuted(draw % blocks[own], blocks[own], mix(marks[own] ^ mix(turn.astype(np.uint64) + np.uint64(seed * 1_000_003 + 7))))
+                    source = pa.DictionaryArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+                    columns = [pa.array(np.full(len(own), shard, np.int64)), pa.array(np.arange(len(own), dtype=np.int32)), source, pa.array(block), pa.array(turn + 1)]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "source", "block", "use"])
 
     return run
 
@@ -74,22 +126,6 @@ def slot_quotas(weights: dict[str, Fraction], caps: dict[str, int], slots: int)
     return quota
 
 
-def shard_counts(quota: dict[str, int], shard_slots: int, seed: int) -> list[dict[str, int]]:
-    """Slots per source of each shard: multinomial draws from what is left, so that the totals come out exactly."""
-    rng, names = np.random.default_rng(seed), sorted(quota)
-    left = np.array([quota[s] for s in names], np.int64)
-    out = []
-    while left.sum() > 0:
-        room, taken = min(shard_slots, int(left.sum())), np.zeros_like(left)
-        while taken.sum() < room:
-            rest = left - taken
-            more = rng.multinomial(room - int(taken.sum()), rest / rest.sum())
-            taken += np.minimum(more, rest)
-        left -= taken
-        out.append({s: int(k) for s, k in zip(names, taken) if k})
-    return out
-
-
 def mixture(
     docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     block_tokens: int = 256, shard_slots: int = 2048, total_tokens: int | None = None, seed: int = 7,
@@ -99,8 +135,8 @@ def mixture(
     manifest: shard, slot, source, block, use (1 = first), n_tokens and the block's segments (doc_id, from_token,
     to_token) in order. Its size is `total_tokens`, or else the tokens of all documents, in blocks of `block_tokens`; the
     last block of a source may be shorter. report: source, weight, max_repeats, tokens, wanted and reached tokens,
-    share of the wanted total and of the mixture, the greatest use, and `short` where max_repeats times the source's
-    tokens is less than its weight of the total; such a source gives all it may and the mixture is smaller for it.
+    share of the wanted total and of the mixture, the greatest use, and `short` where the source's packed blocks, used
+    max_repeats times, hold less than its weight of the total; such a source gives all it may and the mixture is smaller for it.
 
     Null and blank texts have no tokens; sources without a target count for the total only; null sources have none. A null
     or negative weight counts as 0, a null max_repeats as 1, one below 0 as 0; of repeated targets the one with the
@@ -126,20 +162,12 @@ def mixture(
     slots = -(-total // block_tokens)
     quota = slot_quotas({s: Fraction(g.weight) for s, g in goals.items()}, {s: g.max_repeats * blocks[s] for s, g in goals.items()}, slots)
     quota = {s: k for s, k in quota.items() if k}
-    shard_slots = max(shard_slots, -(-slots * max(1, len(quota)) // MAX_PLAN_ROWS))
-
-    placed, base = [], dict.fromkeys(quota, 0)
-    for shard, counts in enumerate(shard_counts(quota, shard_slots, seed)):
-        slot = 0
-        for s, k in counts.items():
-            placed.append((shard, slot, s, base[s], k, blocks[s]))
-            base[s] += k
-            slot += k
-    plan = spark.createDataFrame(placed, "shard int, first_slot int, source string, first_draw long, n int, blocks long").repartition("shard", "source")
-    drawn = plan.select("shard", "first_slot", "source", "first_draw", "blocks", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    drawn = drawn.select("shard", (F.col("first_slot") + F.col("k")).alias("slot"), "source", (F.col("first_draw") + F.col("k")).alias("draw"), "blocks", F.xxhash64("source").alias("name"))
-    # Written, so that the join sees the slots' true size: the plan they come from is tiny, and they grow with the data.
-    chosen = scratch.keep(drawn.mapInArrow(_place(seed), "shard int, slot int, source string, block long, use long"), "slots")
+    names = sorted(quota)
+    counts, sizes_ = np.array([quota[n] for n in names], np.int64), np.array([blocks[n] for n in names], np.int64)
+    shards = -(-int(counts.sum()) // shard_slots) if names else 0
+    numbers = spark.range(0, shards, 1, max(1, min(shards, spark.sparkContext.defaultParallelism), -(-shards // SHARDS_A_TASK)))
+    # Written, so that the join sees the slots' true size: the range they come from is tiny, and they grow with the data.
+    chosen = scratch.keep(numbers.mapInArrow(_slots(names, counts, sizes_, shard_slots, seed), "shard long, slot int, source string, block long, use long"), "slots")
 
     ordered = own.filter("n_tokens > 0 and doc_id is not null").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_tie", F.monotonically_increasing_id())
     packed = running_total(ordered, ["source"], ["_key", "doc_id", "_tie"], "n_tokens", "start", scratch)
@@ -150,7 +178,9 @@ def mixture(
     high = F.least(F.col("n_tokens"), (F.col("block") + 1) * length - F.col("start"))
     segment = F.struct((F.col("start") + low).alias("at"), "doc_id", low.alias("from_token"), high.alias("to_token"))
     filled = pieces.select("source", "block", segment.alias("segment")).groupBy("source", "block").agg(F.sort_array(F.collect_list("segment")).alias("segments"))
-    filled = filled.withColumn("n_tokens", F.aggregate("segments", F.lit(0).cast("long"), lambda acc, x: acc + x.to_token - x.from_token))
+    filled = scratch.keep(filled.withColumn("n_tokens", F.aggregate("segments", F.lit(0).cast("long"), lambda acc, x: acc + x.to_token - x.from_token)), "blocks")
+    # What all blocks hold, each used as often as it may be.
+    capacity = filled.groupBy("source").agg(F.sum("n_tokens").alias("held"))
     manifest = scratch.keep(
         chosen.join(filled, ["source", "block"]).select("shard", "slot", "source", "block", "use", "n_tokens", F.transform("segments", lambda x: F.struct(x.doc_id.alias("doc_id"), x.from_token.alias("from_token"), x.to_token.alias("to_token"))).alias("segments")),
         "manifest",
@@ -158,10 +188,11 @@ def mixture(
     reached = manifest.groupBy("source").agg(F.sum("n_tokens").alias("reached"), F.max("use").alias("uses"))
     known = spark.createDataFrame([(s, g.weight, g.max_repeats, tokens[s], g.weight * total) for s, g in goals.items()], "source string, weight double, max_repeats int, tokens long, wanted double")
     size = manifest.agg(F.sum("n_tokens")).first()[0]
-    report = known.join(reached, "source", "left").select(
+    none = F.lit(0)
+    report = known.join(reached, "source", "left").join(capacity, "source", "left").select(
         "source", "weight", "max_repeats", "tokens", "wanted", F.coalesce("reached", F.lit(0)).alias("reached"),
         (F.coalesce("reached", F.lit(0)) / F.nullif(F.lit(total), F.lit(0))).alias("share_of_wanted"),
         (F.coalesce("reached", F.lit(0)) / F.lit(size).cast("double")).alias("share_of_mixture"), F.coalesce("uses", F.lit(0)).alias("uses"),
-        (F.col("max_repeats") * F.col("tokens") < F.col("wanted")).alias("short"),
+        (F.col("max_repeats") * F.coalesce("held", none) < F.col("wanted")).alias("short"),
     )
     return manifest, report

@@ -19,6 +19,7 @@ from siftwell.functions.columns import fold
 from siftwell.operators.ordered import take_quota
 from siftwell.runtime import Scratch
 
+# Bound of the quota tables on the driver; beyond it the call is refused.
 MAX_CELLS = 200_000
 
 
@@ -68,7 +69,10 @@ def _feasible(bounds: list[tuple]) -> dict[tuple, int]:
 
 
 def _max_flow(capacity, source, sink) -> int:
-    """Augments along shortest paths, level by level; leaves the residual capacities behind."""
+    """Blocking flows over level graphs; leaves the residual capacities behind.
+
+    Each node keeps a pointer to the first arc that may still carry flow in the level graph, so an arc is given up once.
+    """
     total = 0
     while True:
         level, queue = {source: 0}, deque([source])
@@ -80,28 +84,28 @@ def _max_flow(capacity, source, sink) -> int:
                     queue.append(b)
         if sink not in level:
             return total
-        arcs = {a: iter(list(capacity[a])) for a in level}
-        while True:
-            path, a = [source], source
-            while a != sink:
-                step = next((b for b in arcs[a] if capacity[a][b] > 0 and level.get(b) == level[a] + 1), None)
-                if step is None:
-                    path.pop()
-                    if not path:
-                        break
-                    level[a] = -1
-                    a = path[-1]
-                else:
-                    path.append(step)
-                    a = step
-            if not path:
-                break
-            least = min(capacity[x][y] for x, y in zip(path, path[1:]))
-            for x, y in zip(path, path[1:]):
-                capacity[x][y] -= least
-                capacity[y][x] += least
-            total += least
-            arcs = {a: iter(list(capacity[a])) for a in level}
+        arcs = {a: [b for b in capacity[a] if level.get(b) == level[a] + 1] for a in level}
+        at = dict.fromkeys(arcs, 0)
+        path = [source]
+        while path:
+            a = path[-1]
+            if a == sink:
+                steps = list(zip(path, path[1:]))
+                least = min(capacity[x][y] for x, y in steps)
+                for x, y in steps:
+                    capacity[x][y] -= least
+                    capacity[y][x] += least
+                total += least
+                full = next(k for k, (x, y) in enumerate(steps) if not capacity[x][y])
+                del path[full + 1 :]
+            elif at[a] == len(arcs[a]):
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
+            elif capacity[a][arcs[a][at[a]]] > 0:
+                path.append(arcs[a][at[a]])
+            else:
+                at[a] += 1
 
 
 def fractional_quotas(size: int, cells: list[tuple[str, Fraction, int, int]]) -> dict[str, Fraction]:
@@ -159,7 +163,7 @@ def proportional_sample(
 
     The size of a part's sample is `fraction` of its distinct records, with or without a category, rounded down. sample:
     doc_id, stratum, category. report: one row per target with available, needed (the larger of min_docs and share times
-    size), quota, taken, share reached, and `short` where fewer records exist than needed. Categories outside the targets
+    size), quota, taken, share reached, and `short` where a draw of the needed size runs out of records. Categories outside the targets
     and records without one are not drawn. What a short category lacks goes to the others in proportion, as far as they
     reach; if all are exhausted the sample is smaller than its size. Null ids are left out, null parts take no part,
     repeated ids count once, repeated targets are summed, and empty tables give an empty sample.
@@ -194,12 +198,15 @@ def proportional_sample(
     plan = spark.createDataFrame(
         [(t.stratum, t.category, t.meta_key, t.target_share, int(t.min_docs), there.get((t.stratum, t.category), 0), size_of[t.stratum], whole[t.stratum, t.category]) for t in wanted], schema
     )
-    keyed = rows.join(plan.select("part", "category", "quota"), ["part", "category"]).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
-    sample = scratch.keep(take_quota(keyed, ["part", "category"], ["draw", "doc_id"], "quota", scratch).select("doc_id", F.col("part").alias("stratum"), "category"), "sample")
-    taken = sample.groupBy(F.col("stratum").alias("part"), "category").agg(F.count(F.lit(1)).alias("taken"))
     needed = F.greatest(F.col("min_docs").cast("double"), F.col("target_share") * F.col("size"))
+    # One draw for both: as many records as the quota, and as many as the target needs.
+    keyed = rows.join(plan.select("part", "category", "quota", F.greatest(F.col("quota"), F.ceil(needed)).alias("most"), F.ceil(needed).alias("need")), ["part", "category"]).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
+    drawn = scratch.keep(take_quota(keyed, ["part", "category"], ["draw", "doc_id"], "most", scratch, place="place").select("doc_id", F.col("part").alias("stratum"), "category", "quota", "need", "place"), "drawn")
+    sample = drawn.filter("place < quota").select("doc_id", "stratum", "category")
+    taken = drawn.groupBy(F.col("stratum").alias("part"), "category").agg(F.count_if(F.col("place") < F.col("quota")).alias("taken"), F.count_if(F.col("place") < F.col("need")).alias("reached"))
+    none = F.lit(0)
     report = plan.join(taken, ["part", "category"], "left").select(
         F.col("part").alias("stratum"), "meta_key", "category", "target_share", "min_docs", "size", "available", needed.alias("needed"), "quota",
-        F.coalesce("taken", F.lit(0)).alias("taken"), (F.coalesce("taken", F.lit(0)) / F.nullif("size", F.lit(0))).alias("share"), (F.col("available") < needed).alias("short"),
+        F.coalesce("taken", none).alias("taken"), (F.coalesce("taken", none) / F.nullif("size", none)).alias("share"), (F.coalesce("reached", none) < needed).alias("short"),
     )
     return sample, report

@@ -113,3 +113,17 @@ def test_cutoffs(spark):
 
 def test_fraction_import():
     assert Fraction("0.5") == Fraction(1, 2)
+
+
+def test_rounding_of_large_tables():
+    """Tens of thousands of cells take seconds."""
+    import time
+
+    rng = random.Random(7)
+    table = {(f"r{i}", f"c{j}"): Fraction(rng.randrange(1, 500), 12) for i in range(150) for j in range(150)}
+    began = time.time()
+    whole = proportions.controlled_rounding(table)
+    assert time.time() - began < 30
+    for i in range(150):
+        row = sum(table[f"r{i}", f"c{j}"] for j in range(150))
+        assert math.floor(row) <= sum(whole[f"r{i}", f"c{j}"] for j in range(150)) <= math.ceil(row)

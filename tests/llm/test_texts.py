@@ -148,3 +148,22 @@ def test_mixture(spark):
     empty, lines = mixing.mixture(df.limit(0), targets)
     assert empty.count() == 0 and lines.count() == 4
     assert mixing.mixture(df, targets.limit(0))[0].count() == 0
+
+
+def test_shards_are_the_same_however_they_are_cut():
+    quota = np.array([5_000_000_000, 3, 70_000, 900_000_000_000], np.int64)
+    few = list(mixing.shards_between(quota, 1_000_000_000, 3, 0, 906))
+    assert len(few) == 906 and sum(c for _, c, _ in few).tolist() == quota.tolist()
+    for first in (0, 400, 905):
+        for shard, counts, before in mixing.shards_between(quota, 1_000_000_000, 3, first, first + 1):
+            assert counts.tolist() == few[shard][1].tolist() and before.tolist() == few[shard][2].tolist() == sum((c for k, c, _ in few[:shard]), 0 * quota).tolist()
+
+
+def test_mixture_is_the_same_at_every_task_size(spark, monkeypatch):
+    df = spark.createDataFrame([(f"d{i}", "t " * (i % 50), "hot" if i % 3 else "b") for i in range(300)], "doc_id string, text string, source string")
+    targets = spark.createDataFrame([("hot", 0.5, 2), ("b", 0.5, 2)], "source string, weight double, max_repeats int")
+    rows = []
+    for size in (1, 256):
+        monkeypatch.setattr(mixing, "SHARDS_A_TASK", size)
+        rows.append(sorted(map(repr, mixing.mixture(df, targets, block_tokens=16, shard_slots=10)[0].collect())))
+    assert rows[0] == rows[1]
