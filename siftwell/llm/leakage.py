@@ -1,165 +1,215 @@
 """Evaluation texts inside training documents, by a distributed positional inverted index.
 
-The index is partitioned by document: a row is a block of consecutive documents with, for each test term, the list of its
-positions in the block, so building it moves no text and querying it moves no postings. Test items are the query set and
-come in blocks of bounded size. A test item is covered by seeds, runs of consecutive terms so placed that any shared
-passage of the wanted length holds one whole seed. For each seed the list of its rarest term, by the frequency in all
-documents, is adjusted by the term's offset and intersected with the lists of the other terms from rare to common; what
-remains is extended on both sides to the exact length of the shared run. Proximity matches use the same lists: places
-where enough distinct terms of an item fall into a short window.
+The index holds the postings of every term of the documents and is built once, by document: a row is a block of consecutive
+documents with, for each of its terms (as 64-bit numbers), the list of the term's positions in the block. Building it moves
+no text, querying it moves no postings, and any number of test sets can be searched in one index. A test item is covered by
+seeds, runs of consecutive terms so placed that any shared passage of the wanted length holds one whole seed. In each block
+the list of a seed's rarest term there is adjusted by the term's offset and intersected with the lists of the others from
+rare to common, by looking each adjusted position up in the block's positions; a seed with a term that the block lacks is
+done at once. What remains is extended on both sides to the exact length of the shared run. Proximity matches use the same
+lists: places where enough distinct terms of an item fall into a short window.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.hashing import WordHasher
 from siftwell.functions.text import words
 from siftwell.runtime import Scratch
 
-INDEX_SCHEMA = "doc_ids array<string>, doc_starts array<int>, size int, terms array<int>, counts array<int>, gaps binary"
+INDEX_SCHEMA = "block long, doc_ids array<string>, doc_starts array<int>, size int, terms binary, counts binary, gaps binary"
+ITEM_SCHEMA = "item_id string, item_row long, start int, parts int, terms binary"
+HIT_SCHEMA = "doc_id string, item_id string, doc_word int, item_word int, n_words int, block long, doc int, item_row long, parts int"
 BLOCK_DOCS = 1000
 BLOCK_WORDS = 1_000_000
-QUERY_WORDS = 500_000
+# Bound of the test terms that are broadcast at once; longer items are cut into parts that overlap.
+QUERY_WORDS = 2_000_000
+# Bound of the adjusted positions looked at at once.
+SLICE = 2_000_000
 GAP = 64
 
 
-def _index_rows(vocabulary):
-    """Worker: (doc_id, text) batches to index rows; vocabulary: broadcast of test term to number, from 1."""
+def _rows(columns, schema: str, kinds) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [p.split()[0] for p in schema.split(", ")])
+
+
+def _row_numbers():
+    """Numbers that no other task gives."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    at = (context.partitionId() if context else 0) << 40
+    while True:
+        yield at
+        at += 1
 
-    def row(ids, starts, parts, size):
-        terms = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        places = np.flatnonzero(terms)
-        order = places[np.argsort(terms[places], kind="stable")]
-        found, counts = np.unique(terms[places], return_counts=True)
-        gaps = np.diff(order, prepend=0).astype(np.int32)
+
+def _index_rows(batches):
+    """Worker: (doc_id, text) batches to index rows."""
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    hasher, numbers = WordHasher(), _row_numbers()
+    ids, starts, parts, size = [], [], [], 0
+
+    def flush():
+        terms = np.concatenate(parts)
+        order = np.argsort(terms, kind="stable")
+        order = order[np.searchsorted(terms[order], 1) :]  # 0 stands between documents
+        found, counts = np.unique(terms[order], return_counts=True)
+        gaps = np.diff(order, prepend=0).astype("<i4")
         firsts = np.cumsum(counts) - counts
         gaps[firsts] = order[firsts]
-        return (ids, starts, size, found.tolist(), counts.tolist(), gaps.astype("<i4").tobytes())
+        row = (next(numbers), ids, starts, size, found.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), gaps.tobytes())
+        return _rows([[c] for c in row], INDEX_SCHEMA, kinds)
 
-    kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-    names = [part.split()[0] for part in INDEX_SCHEMA.split(", ")]
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            terms = _terms(hasher, text)
+            ids.append(doc), starts.append(size), parts.append(terms), parts.append(np.zeros(GAP, np.int64))
+            size += len(terms) + GAP
+            if len(ids) >= BLOCK_DOCS or size >= BLOCK_WORDS:
+                yield flush()
+                ids, starts, parts, size = [], [], [], 0
+    if ids:
+        yield flush()
 
-    def run(batches):
-        number = vocabulary.value
-        ids, starts, parts, size = [], [], [], 0
 
-        def flush():
-            made = row(ids, starts, parts, size)
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(made, kinds, strict=True)], names)
+def _terms(hasher: WordHasher, text: str | None) -> np.ndarray:
+    """A text's words as positive 63-bit numbers."""
+    return ((hasher(words(text)) >> np.uint64(1)) | np.uint64(1)).astype(np.int64)
 
+
+def _item_rows(most: int, overlap: int):
+    """Worker: (item_id, text) batches to items as terms, in parts of at most `most` terms that overlap."""
+
+    def run(batches):
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        hasher, numbers = WordHasher(), _row_numbers()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = words(text)
-                terms = np.fromiter((number.get(w, 0) for w in found), np.int32, len(found))
-                ids.append(doc), starts.append(size), parts.append(terms), parts.append(np.zeros(GAP, np.int32))
-                size += len(terms) + GAP
-                if len(ids) >= BLOCK_DOCS or size >= BLOCK_WORDS:
-                    yield flush()
-                    ids, starts, parts, size = [], [], [], 0
-        if ids:
-            yield flush()
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                terms = _terms(hasher, text)
+                cuts = range(0, max(1, len(terms) - overlap), most - overlap)
+                number = next(numbers)
+                rows += [(item, number, at, len(cuts), terms[at : at + most].astype("<i8").tobytes()) for at in cuts]
+            yield _rows([*zip(*rows, strict=True)] or [[]] * 5, ITEM_SCHEMA, kinds)
 
     return run
 
 
 class Query:
-    """A block of test items as term numbers, and their seeds with terms from rare to common."""
+    """A bounded set of test items as terms, with their seeds."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], length: int):
-        self.ids = [i for i, _ in items]
-        self.length = length
+    def __init__(self, items: list[tuple], length: int):
+        self.items, self.length = [i[:4] for i in items], length
         starts, parts, size = [], [], 0
-        for _, terms in items:
+        for *_, terms in items:
             starts.append(size)
-            parts += [terms.astype(np.int32), np.full(GAP, -1, np.int32)]
+            parts += [terms, np.full(GAP, -1, np.int64)]
             size += len(terms) + GAP
-        self.terms = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.terms = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         self.starts = np.array(starts, np.int64)
+        self.ends = self.starts + [len(i[4]) for i in items]
         self.width = length // 2 if length > 1 else 1
         step = length - self.width + 1
-        self.seeds = np.array([s + k for s, (_, t) in zip(starts, items) if len(t) >= length for k in range(0, len(t) - self.width + 1, step)], np.int64)
-
-    def order(self, frequency: np.ndarray) -> None:
-        """Sorts each seed's offsets by the frequency of the term there."""
-        at = self.seeds[:, None] + np.arange(self.width)
-        self.offsets = np.argsort(frequency[self.terms[at]], axis=1, kind="stable") if len(self.seeds) else np.zeros((0, self.width), np.int64)
-        rarest = self.terms[self.seeds + self.offsets[:, 0]] if len(self.seeds) else np.zeros(0, np.int32)
-        self.by_term = defaultdict(list)
-        for k, term in enumerate(rarest.tolist()):
-            self.by_term[term].append(k)
-        self.by_term = {t: np.array(k) for t, k in self.by_term.items()}
-
-
-def _postings(row) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """The block's terms by position, and its position lists by term."""
-    gaps = np.frombuffer(row["gaps"], "<i4").astype(np.int64)
-    forward, lists, start = np.zeros(row["size"], np.int32), {}, 0
-    for term, count in zip(row["terms"], row["counts"], strict=True):
-        places = np.cumsum(gaps[start : start + count])
-        lists[term] = places
-        forward[places] = term
-        start += count
-    return forward, lists
-
-
-def phrase_hits(forward: np.ndarray, lists: dict[int, np.ndarray], query: Query) -> list[tuple[int, int, int]]:
+        self.seeds = np.array([s + k for s, (*_, t) in zip(starts, items, strict=True) if len(t) >= length for k in range(0, len(t) - self.width + 1, step)], np.int64)
+        self.grid = self.terms[self.seeds[:, None] + np.arange(self.width)] if len(self.seeds) else np.zeros((0, self.width), np.int64)
+        self.frequency: dict[int, int] = {}
+
+
+class Postings:
+    """A block's position lists, and its terms by position."""
+
+    def __init__(self, row):
+        self.terms, self.counts = np.frombuffer(row["terms"], "<i8"), np.frombuffer(row["counts"], "<i4").astype(np.int64)
+        gaps = np.frombuffer(row["gaps"], "<i4").astype(np.int64)
+        self.firsts = np.cumsum(self.counts) - self.counts
+        places = np.cumsum(gaps)
+        before = np.concatenate([[0], places])[self.firsts]
+        self.places = places - np.repeat(before, self.counts)
+        self.forward = np.zeros(row["size"], np.int64)
+        self.forward[self.places] = np.repeat(self.terms, self.counts)
+
+    def number(self, terms: np.ndarray) -> np.ndarray:
+        """Where terms stand in the block's list of terms, or -1."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(terms.shape, -1)
+
+    def list(self, number: int) -> np.ndarray:
+        return self.places[self.firsts[number] : self.firsts[number] + self.counts[number]]
+
+
+def phrase_hits(block: Postings, query: Query) -> list[tuple[int, int, int]]:
     """(place in block, place in query, length) of every shared run of at least the wanted length, each once."""
-    seeds, places = [], []
-    for term, ks in query.by_term.items():
-        found = lists.get(term)
-        if found is not None:
-            offset = query.offsets[ks, 0]
-            seeds.append(np.repeat(ks, len(found)))
-            places.append((found[None, :] - offset[:, None]).ravel())
-    if not seeds:
+    known = block.number(query.grid)
+    whole = np.flatnonzero((known >= 0).all(axis=1))
+    if not len(whole):
         return []
-    seed, place = np.concatenate(seeds), np.concatenate(places)
-    fits = (place >= 0) & (place + query.width <= len(forward))
-    seed, place = seed[fits], place[fits]
-    for k in range(1, query.width):
-        offset = query.offsets[seed, k]
-        same = forward[place + offset] == query.terms[query.seeds[seed] + offset]
-        seed, place = seed[same], place[same]
-    hits = set()
-    for q, p in sorted(set(zip(query.seeds[seed].tolist(), place.tolist(), strict=True))):
-        a = 0
-        while p - a > 0 and q - a > 0 and forward[p - a - 1] == query.terms[q - a - 1]:
-            a += 1
-        b = query.width
-        while p + b < len(forward) and q + b < len(query.terms) and forward[p + b] == query.terms[q + b]:
-            b += 1
-        if a + b >= query.length:
-            hits.add((p - a, q - a, a + b))
-    return sorted(hits)
-
-
-def near_hits(forward: np.ndarray, lists: dict[int, np.ndarray], query: Query, wanted: list[tuple[np.ndarray, int]], window: int) -> list[tuple[int, int, int]]:
-    """(place in block, item, distinct terms) of the best window of each document-sized stretch for each item."""
+    known = known[whole]
+    order = np.argsort(block.counts[known], axis=1, kind="stable")
+    rarest = known[np.arange(len(whole)), order[:, 0]]
+    ends = np.cumsum(block.counts[rarest])
+    hits: set[tuple[int, int, int]] = set()
+    low = 0
+    while low < len(whole):
+        # As many seeds as have a bounded number of adjusted positions, one at least.
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE, "right")))
+        sizes = block.counts[rarest[low:high]]
+        seed = np.repeat(np.arange(low, high), sizes)
+        place = block.places[np.repeat(block.firsts[rarest[low:high]], sizes) + np.arange(len(seed)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] - order[seed, 0]
+        fits = (place >= 0) & (place + query.width <= len(block.forward))
+        seed, place = seed[fits], place[fits]
+        for k in range(1, query.width):
+            offset = order[seed, k]
+            same = block.forward[place + offset] == query.grid[whole[seed], offset]
+            seed, place = seed[same], place[same]
+        for q, p in zip(query.seeds[whole[seed]].tolist(), place.tolist(), strict=True):
+            hits.add(_extended(block.forward, query, p, q))
+        low = high
+    return sorted(h for h in hits if h[2] >= query.length)
+
+
+def _extended(forward: np.ndarray, query: Query, p: int, q: int) -> tuple[int, int, int]:
+    """The whole shared run around a seed."""
+    a = 0
+    while p - a > 0 and q - a > 0 and forward[p - a - 1] == query.terms[q - a - 1]:
+        a += 1
+    b = query.width
+    while p + b < len(forward) and q + b < len(query.terms) and forward[p + b] == query.terms[q + b]:
+        b += 1
+    return (p - a, q - a, a + b)
+
+
+def near_hits(block: Postings, wanted: list[tuple[np.ndarray, int]], window: int) -> list[tuple[int, int, int]]:
+    """(place in block, item, distinct terms) of every window that starts at a wanted term and holds enough of an item's."""
     out = []
     for item, (terms, least) in enumerate(wanted):
-        present = [t for t in terms.tolist() if t in lists]
+        present = block.number(terms)
+        present = present[present >= 0]
         if len(present) < least:
             continue
-        places = np.concatenate([lists[t] for t in present])
-        owner = np.concatenate([np.full(len(lists[t]), k) for k, t in enumerate(present)])
+        places = np.concatenate([block.list(n) for n in present])
+        owner = np.repeat(np.arange(len(present)), block.counts[present])
         order = np.argsort(places, kind="stable")
         places, owner = places[order], owner[order]
-        reach = np.searchsorted(places, places + window)
-        for k in np.flatnonzero(reach - np.arange(len(places)) >= least).tolist():
-            distinct = len(set(owner[k : reach[k]].tolist()))
-            if distinct >= least:
-                out.append((int(places[k]), item, distinct))
+        n = len(places)
+        # A term counts in the windows that start after its last place before and reach it.
+        last = np.full(n, -1)
+        by_owner = np.lexsort((np.arange(n), owner))
+        same = owner[by_owner[1:]] == owner[by_owner[:-1]]
+        last[by_owner[1:][same]] = by_owner[:-1][same]
+        first = np.maximum(last + 1, np.searchsorted(places, places - window, "right"))
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, first, 1)
+        np.add.at(change, np.arange(1, n + 1), -1)
+        distinct = np.cumsum(change)[:n]
+        out += [(int(places[k]), item, int(distinct[k])) for k in np.flatnonzero(distinct >= least)]
     return out
 
 
-HIT_SCHEMA = "doc_id string, item_id string, doc_word int, item_word int, n_words int"
-
-
 def _searched(shared, window: int | None, share: float):
     """Worker: index rows to hits, of phrases or, with a window, of proximity."""
 
@@ -167,46 +217,97 @@ def _searched(shared, window: int | None, share: float):
         query = shared.value
         wanted = []
         if window is not None:
-            for k, start in enumerate(query.starts.tolist()):
-                end = query.starts[k + 1] - GAP if k + 1 < len(query.starts) else len(query.terms) - GAP
+            for start, end in zip(query.starts.tolist(), query.ends.tolist(), strict=True):
                 rare = np.unique(query.terms[start:end])
-                rare = rare[np.argsort(query.frequency[rare], kind="stable")][: max(4, len(rare) // 2)]
+                often = np.array([query.frequency.get(t, 0) for t in rare.tolist()], np.int64)
+                rare = rare[np.argsort(often, kind="stable")][: max(4, len(rare) // 2)]
                 wanted.append((rare, max(4, int(np.ceil(share * len(rare))))))
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                forward, lists = _postings(row)
-                starts, ids = np.array(row["doc_starts"]), row["doc_ids"]
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                block, starts, ids, out = Postings(row), np.array(row["doc_starts"]), row["doc_ids"], []
                 if window is None:
-                    for p, q, n in phrase_hits(forward, lists, query):
+                    for p, q, n in phrase_hits(block, query):
                         d, i = int(np.searchsorted(starts, p, "right")) - 1, int(np.searchsorted(query.starts, q, "right")) - 1
-                        out.append((ids[d], query.ids[i], p - int(starts[d]), q - int(query.starts[i]), n))
+                        item, number, at, parts = query.items[i]
+                        out.append((ids[d], item, p - int(starts[d]), q - int(query.starts[i]) + at, n, row["block"], d, number, parts))
                 else:
                     best = {}
-                    for p, i, n in near_hits(forward, lists, query, wanted, window):
+                    for p, i, n in near_hits(block, wanted, window):
                         d = int(np.searchsorted(starts, p, "right")) - 1
                         if n > best.get((d, i), (0, 0))[0]:
                             best[d, i] = (n, p)
-                    out += [(ids[d], query.ids[i], p - int(starts[d]), 0, n) for (d, i), (n, p) in best.items()]
-            columns = [*zip(*out, strict=True)] or [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [p.split()[0] for p in HIT_SCHEMA.split(", ")])
+                    out = [(ids[d], query.items[i][0], p - int(starts[d]), 0, n, row["block"], d, query.items[i][1], query.items[i][3]) for (d, i), (n, p) in best.items()]
+                if out:
+                    yield _rows([*zip(*out, strict=True)], HIT_SCHEMA, kinds)
 
     return run
 
 
-def _item_blocks(items: DataFrame):
-    """Test items in order of id, in blocks of at most QUERY_WORDS words (or one longer item)."""
-    block, size = [], 0
-    for item in items.orderBy("item_id").toLocalIterator():
-        found = words(item.text)
-        if block and size + len(found) > QUERY_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((item.item_id, found))
-        size += len(found)
-    if block:
-        yield block
+def build_index(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written index of documents, for search(). Null ids are left out; null and empty texts have no terms."""
+    sources = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    return scratch.keep(sources.mapInArrow(_index_rows, INDEX_SCHEMA), "index")
+
+
+def _queries(items: DataFrame, length: int):
+    """Test items of a written table in queries of at most QUERY_WORDS terms (with the smallest part whole)."""
+    held, size = [], 0
+    for r in items.toLocalIterator():
+        terms = np.frombuffer(r.terms, "<i8")
+        if held and size + len(terms) > QUERY_WORDS:
+            yield Query(held, length)
+            held, size = [], 0
+        held.append((r.item_id, r.item_row, r.start, r.parts, terms))
+        size += len(terms)
+    if held:
+        yield Query(held, length)
+
+
+def _joined(hits: DataFrame) -> DataFrame:
+    """Runs found in parts of an item, with those that overlap on one diagonal as one."""
+    own = ["block", "doc", "item_row", F.col("doc_word") - F.col("item_word")]
+    before = Window.partitionBy(*own).orderBy("doc_word").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = (F.col("doc_word") > F.coalesce(F.max(F.col("doc_word") + F.col("n_words")).over(before), F.lit(-1))).cast("int")
+    cut = hits.withColumn("fresh", fresh).withColumn("diagonal", own[3])
+    runs = cut.withColumn("run", F.sum("fresh").over(Window.partitionBy("block", "doc", "item_row", "diagonal").orderBy("doc_word")))
+    end = F.max(F.col("doc_word") + F.col("n_words"))
+    return runs.groupBy("doc_id", "item_id", "block", "doc", "item_row", "diagonal", "run").agg(F.min("doc_word").alias("doc_word"), F.min("item_word").alias("item_word"), (end - F.min("doc_word")).cast("int").alias("n_words"))
+
+
+def search(index: DataFrame, items: DataFrame, scratch: Scratch, *, words_in_row: int = 12, proximity_window: int | None = None, proximity_share: float = 0.6, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The hits of test items in an index of build_index(), as leaks() gives them; reads no documents."""
+    spark = index.sparkSession
+    tests = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null")
+    overlap = words_in_row - 1
+    tests = scratch.keep(tests.mapInArrow(_item_rows(max(QUERY_WORDS, 2 * words_in_row), overlap), ITEM_SCHEMA), "items")
+    counts = None
+    if proximity_window is not None:
+        pairs = index.mapInArrow(_term_counts, "term long, n long")
+        counts = scratch.keep(pairs.groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
+    found = None
+    for query in _queries(tests, words_in_row):
+        if counts is not None:
+            own = spark.createDataFrame([(int(t),) for t in np.unique(query.terms[query.terms > 0])], "term long")
+            # At most as many terms as the query has.
+            query.frequency = {r.term: r.n for r in counts.join(own, "term", "left_semi").collect()}
+        hits = scratch.keep(index.mapInArrow(_searched(spark.sparkContext.broadcast(query), proximity_window, proximity_share), HIT_SCHEMA), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    names = ["doc_id", "item_id", "doc_word", "item_word", "n_words"]
+    if found is None:
+        return spark.createDataFrame([], HIT_SCHEMA).select(*names)
+    if proximity_window is not None:
+        best = found.groupBy("doc_id", "item_id", "block", "doc", "item_row").agg(F.max_by(F.struct("doc_word", "item_word", "n_words"), F.struct("n_words", -F.col("doc_word"))).alias("b"))
+        return best.select("doc_id", "item_id", "b.*")
+    return found.filter("parts = 1").select(*names).unionByName(_joined(found.filter("parts > 1")).select(*names))
+
+
+def _term_counts(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["terms"], "<i8")), pa.array(np.frombuffer(row["counts"], "<i4").astype(np.int64))], ["term", "n"])
 
 
 def leaks(
@@ -220,24 +321,10 @@ def leaks(
     `proximity_share` of the rarer half of an item's distinct words (four at least), with their number in n_words.
     Items shorter than `words_in_row` can share no such run. Ids come out as text. Null ids are left out, null and empty
     texts have no words, repeated rows give repeated hits for documents, items with one id are searched each, other
-    columns are ignored, and empty tables give an empty result. Items come to the driver block by block, each of at most
-    QUERY_WORDS words, and each block's index and hits are written before the next.
+    columns are ignored, and empty tables give an empty result. The index is built once; items are turned into terms in
+    tasks and searched in sets of at most QUERY_WORDS, each one pass over the index. An item above that is cut into parts
+    (a proximity window is sought in each part).
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "leakage")
-    sources = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    tests = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null")
-    found = None
-    for block in _item_blocks(tests):
-        number: dict[str, int] = {}
-        query = Query([(i, np.array([number.setdefault(w, len(number) + 1) for w in ws], np.int32)) for i, ws in block], words_in_row)
-        index = scratch.keep(sources.mapInArrow(_index_rows(spark.sparkContext.broadcast(number)), INDEX_SCHEMA), "index")
-        used = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts").alias("n"))
-        query.frequency = np.zeros(len(number) + 1, np.int64)
-        for r in used.collect():
-            query.frequency[r.terms] = r.n
-        query.order(query.frequency)
-        hits = scratch.keep(index.mapInArrow(_searched(spark.sparkContext.broadcast(query), proximity_window, proximity_share), HIT_SCHEMA), "hits")
-        scratch.drop(index)
-        found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else spark.createDataFrame([], HIT_SCHEMA)
+    scratch = Scratch(docs.sparkSession, "leakage")
+    index = build_index(docs, scratch, id_col=id_col, text_col=text_col)
+    return search(index, items, scratch, words_in_row=words_in_row, proximity_window=proximity_window, proximity_share=proximity_share, item_col=item_col, item_text_col=item_text_col)

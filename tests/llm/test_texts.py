@@ -167,3 +167,49 @@ def test_mixture_is_the_same_at_every_task_size(spark, monkeypatch):
         monkeypatch.setattr(mixing, "SHARDS_A_TASK", size)
         rows.append(sorted(map(repr, mixing.mixture(df, targets, block_tokens=16, shard_slots=10)[0].collect())))
     assert rows[0] == rows[1]
+
+
+def test_leaks_in_parts_of_items_and_slices_of_seeds(spark, monkeypatch):
+    docs, items = leak_tables(2)
+    docs = [d for d in docs if d[0] != 902] + [(950, items[0][1] + " x " + items[1][1], 0), (951, " ".join(i[1] for i in items), 0)]
+    d, i = spark.createDataFrame(docs, "doc_id int, text string, item_id int"), spark.createDataFrame(items, "item_id int, text string, doc_id string")
+    want = sorted((str(a), str(b), *r) for a, text, _ in docs if a is not None and text for b, item, _ in items for r in brute_runs(text, item, 12))
+    for most, slice_ in ((25, 2_000_000), (2_000_000, 7)):
+        monkeypatch.setattr(leakage, "QUERY_WORDS", most)
+        monkeypatch.setattr(leakage, "SLICE", slice_)
+        assert sorted(tuple(r) for r in leakage.leaks(d, i).collect()) == want
+
+
+def test_one_index_serves_several_sets(spark):
+    from siftwell.runtime import Scratch
+
+    docs, items = leak_tables(3)
+    scratch = Scratch(spark, "several")
+    index = leakage.build_index(spark.createDataFrame(docs, "doc_id int, text string, item_id int"), scratch)
+    i = spark.createDataFrame(items, "item_id int, text string, doc_id string")
+    parts = [leakage.search(index, i.filter(f"item_id % 2 = {k}"), scratch) for k in (0, 1)]
+    whole = leakage.search(index, i, scratch)
+    assert sorted(map(tuple, parts[0].unionByName(parts[1]).collect())) == sorted(map(tuple, whole.collect()))
+    assert "TextScan" not in whole._jdf.queryExecution().toString() and "Python" not in whole._jdf.queryExecution().toString()
+
+
+def test_few_words_take_bounded_memory():
+    """A block and a query of sixty words only: adjusted positions are looked at in slices."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    vocabulary = np.sort(rng.integers(1, 2**62, 60))
+    text = vocabulary[rng.integers(0, 60, 100_000)]
+    order = np.argsort(text, kind="stable")
+    _, counts = np.unique(text, return_counts=True)
+    gaps = np.diff(order, prepend=0)
+    firsts = np.cumsum(counts) - counts
+    gaps[firsts] = order[firsts]
+    block = leakage.Postings({"terms": vocabulary.astype("<i8").tobytes(), "counts": counts.astype("<i4").tobytes(), "gaps": gaps.astype("<i4").tobytes(), "size": len(text)})
+    assert (block.forward == text).all()
+    query = leakage.Query([("i", 0, 0, 1, np.concatenate([vocabulary[rng.integers(0, 60, 40_000)], text[500:540]]))], 12)
+    tracemalloc.start()
+    hits = leakage.phrase_hits(block, query)
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+    assert any(p <= 500 and p + n >= 540 for p, _, n in hits)
