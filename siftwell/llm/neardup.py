@@ -81,20 +81,42 @@ def sketch_floor(similarity: float, bits: int = SLOTS, sigmas: float = 5.3) -> i
     return max(0, math.floor(bits * equal - sigmas * math.sqrt(bits * equal * (1 - equal))))
 
 
+def slots_floor(similarity: float, sigmas: float = 5.3) -> int:
+    """Equal min-hash slots below which a pair of this similarity is practically never found."""
+    return max(0, math.floor(SLOTS * similarity - sigmas * math.sqrt(SLOTS * similarity * (1 - similarity))))
+
+
 def runs_for(similarity: float, recall: float) -> int:
     """Independent runs after which a pair at the threshold has met with this chance."""
     return min(SLOTS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity))))
 
 
-def _meet(rows: DataFrame, keys: list[str], floor: int, ratio: Fraction) -> DataFrame:
-    """Pairs of rows with equal keys whose sizes and sketches allow the similarity."""
+class Found(tuple):
+    """(members, links), with the estimated `recall` of the links and the number of `runs` it took."""
+
+    recall: float = 1.0
+    runs: int = 0
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], floor: int, ratio: Fraction, apart: str = "false") -> DataFrame:
+    """Pairs of rows with equal keys whose sizes and sketches allow the similarity; where `apart` holds, the two sides share no row."""
     p, q = ratio.numerator, ratio.denominator
-    names = ["class_id", "n", "sketch", "run"]
-    left = rows.select(*keys, *(F.col(c).alias(f"{c}_a") for c in names))
-    right = rows.select(*keys, *(F.col(c).alias(f"{c}_b") for c in names))
+    names = ["cid", "n", "sketch", "run"]
+    left = left.select(*keys, *(F.col(c).alias(f"{c}_a") for c in names))
+    right = right.select(*keys, *(F.col(c).alias(f"{c}_b") for c in names))
     fits = (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)
     alike = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= SLOTS - floor
-    return left.join(right, keys).filter((F.col("class_id_a") < F.col("class_id_b")) & fits & alike).select("class_id_a", "class_id_b", F.col("run_a").alias("run"))
+    met = left.join(right, keys).filter(((F.col("cid_a") < F.col("cid_b")) | F.expr(apart)) & fits & alike)
+    return met.select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"), F.col("run_a").alias("run"))
+
+
+def _in_blocks(rows: DataFrame, key: str, count: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all pairs of blocks (low <= high) into which rows of large groups are cut: each row is in one block."""
+    blocks = F.ceil(F.col(count) / block)
+    own = rows.withColumn("own", F.pmod(F.xxhash64(key), blocks))
+    left = own.withColumn("low", F.col("own")).withColumn("high", F.explode(F.sequence(F.col("own"), blocks - 1)))
+    right = own.withColumn("high", F.col("own")).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))))
+    return left.drop("own"), right.drop("own")
 
 
 def near_duplicates(
@@ -110,12 +132,13 @@ def near_duplicates(
     max_depth: int = 5,
     split: float = 0.5,
     block: int = 256,
-) -> tuple[DataFrame, DataFrame]:
+) -> Found:
     """Classes of equal shingle sets and the links between classes whose Jaccard similarity is at least `similarity`.
 
-    Returns (members, links): members has one row per distinct id (doc_id, part, class_id); links has (class_id_a,
+    Returns Found (members, links): members has one row per distinct id (doc_id, part, class_id); links has (class_id_a,
     class_id_b, common, n_a, n_b) with the smaller class_id first, each verified on the full sets. Only records of the
-    same part are linked; a null part is a part of its own.
+    same part are linked; a null part is a part of its own. If all slots are used up before the estimated recall reaches
+    `target_recall`, RecallError is raised.
 
     A node above `bucket_limit` is split on slots, each taken with a chance of 1/(split * SLOTS). What is still large at
     `max_depth` is compared completely, in pairs of blocks of about `block` records spread over the cluster.
@@ -132,44 +155,60 @@ def near_duplicates(
     source = df.select(F.col(id_col).cast("string").alias("doc_id"), part.alias("part"), F.col(text_col).alias("text")).filter("doc_id is not null")
 
     sets = scratch.keep(source.mapInArrow(_set_rows(shingle_words, False), SET_SCHEMA), "sets")
+    # Equal sets are equal in all that describes them, so one aggregate gives the classes; `cid` is a class' number in what follows.
+    same = sets.groupBy("part", "set_key").agg(F.min("doc_id").alias("class_id"), *(F.first(c).alias(c) for c in ("n", "sketch", "slots")))
+    classes = scratch.keep(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = scratch.keep(
-        sets.select("doc_id", "part", "set_key")
-        .distinct()
-        .join(sets.groupBy("part", "set_key").agg(F.min("doc_id").alias("class_id")), ["part", "set_key"])
-        .select("doc_id", "part", "class_id"),
+        sets.select("doc_id", "part", "set_key").distinct().join(classes.select("part", "set_key", "class_id"), ["part", "set_key"]).select("doc_id", "part", "class_id"),
         "members",
     )
-    heads = members.filter("doc_id = class_id").select("class_id")
-    classes = scratch.keep(sets.withColumnRenamed("doc_id", "class_id").join(heads, "class_id", "left_semi").dropDuplicates(["class_id"]).drop("set_key"), "classes")
     scratch.drop(sets)
 
     order = np.random.default_rng(20).permutation(SLOTS).tolist()
     per_round = runs_for(float(ratio), target_recall)
-    done, found = 0, None
-    while done < SLOTS:
+    done, recall = 0, 0.0
+    seen = links = None
+    while done < SLOTS and recall < target_recall:
         met = _run_trees(scratch, classes, order[done : done + per_round], floor, ratio, bucket_limit, max_depth, split, block)
         done += per_round
-        all_met = met if found is None else found.unionByName(met)
-        found = scratch.keep(all_met.groupBy("class_id_a", "class_id_b").agg(F.flatten(F.collect_set("runs")).alias("runs")), "found")
-        links = scratch.keep(_verify(found, source, shingle_words, ratio, scratch), "links")
-        if _estimated_recall(links) >= target_recall:
-            break
-    return members, links.drop("hits")
+        met = met.groupBy("cid_a", "cid_b").agg(F.count_distinct("run").alias("hits"))
+        if seen is None:
+            seen = scratch.keep(_alike(met, classes, slots_floor(float(ratio))), "met")
+            links = scratch.keep(_verify(seen, classes, source, shingle_words, ratio, scratch), "links")
+        else:
+            # Only what no round before has met is verified; for the rest the hits are added.
+            met = scratch.keep(met, "met")
+            new = scratch.keep(_alike(met.join(seen, ["cid_a", "cid_b"], "left_anti"), classes, slots_floor(float(ratio))), "new")
+            fresh = _verify(new, classes, source, shingle_words, ratio, scratch)
+            again = links.alias("l").join(met.select("cid_a", "cid_b", F.col("hits").alias("more")), ["cid_a", "cid_b"], "left").withColumn("hits", F.col("hits") + F.coalesce("more", F.lit(0))).drop("more")
+            links = scratch.keep(again.unionByName(fresh), "links")
+            seen = scratch.keep(seen.select("cid_a", "cid_b").unionByName(new.select("cid_a", "cid_b")), "seen")
+        recall = _estimated_recall(links)
+    if recall < target_recall:
+        raise RecallError(f"an estimated share of {recall:.6f} of the links was found in {SLOTS} runs, below {target_recall}")
+    out = Found((members, links.drop("hits", "cid_a", "cid_b")))
+    out.recall, out.runs = recall, min(done, SLOTS)
+    return out
+
+
+class RecallError(RuntimeError):
+    """All slots are used up and the target recall is not reached."""
 
 
 def _run_trees(scratch, classes, roots, floor, ratio, bucket_limit, max_depth, split, block) -> DataFrame:
     """Candidate pairs of one round: a tree for each slot in `roots`."""
-    picks = F.array(*(F.struct(F.lit(r).alias("run"), F.col("slots")[r].alias("value")) for r in roots))
+    picks = F.array(*(F.struct(F.lit(r).cast("byte").alias("run"), F.col("slots")[r].alias("value")) for r in roots))
     rows = (
-        classes.select("part", "class_id", "n", "sketch", F.explode(picks).alias("pick"))
-        .select(F.xxhash64("part", "pick.run", "pick.value").alias("node"), F.col("pick.run").alias("run"), "class_id", "n", "sketch")
+        classes.select("part", "cid", "n", "sketch", F.explode(picks).alias("pick"))
+        .select(F.xxhash64("part", "pick.run", "pick.value").alias("node"), F.col("pick.run").alias("run"), "cid", "n", "sketch")
     )
     out = []
     for depth in range(max_depth + 1):
         sizes = rows.groupBy("node").count().filter("count > 1")
+        # A node may hold a third of all rows; adaptive execution splits its side of this join, as the other has one row of it.
         live = scratch.keep(rows.join(sizes, "node"), f"nodes-{depth}")
         small = live.filter(F.col("count") <= bucket_limit)
-        out.append(_meet(small, ["node"], floor, ratio))
+        out.append(_meet(small, small, ["node"], floor, ratio))
         large = live.filter(F.col("count") > bucket_limit)
         if large.isEmpty():
             break
@@ -179,40 +218,50 @@ def _run_trees(scratch, classes, roots, floor, ratio, bucket_limit, max_depth, s
         limit = int((2**32) / (split * SLOTS))
         slot = F.posexplode("slots")
         children = (
-            large.select("node", "run", "class_id", "n", "sketch")
-            .join(classes.select("class_id", "slots"), "class_id")
-            .select("node", "run", "class_id", "n", "sketch", slot)
+            large.select("node", "run", "cid", "n", "sketch")
+            .join(classes.select("cid", "slots"), "cid")
+            .select("node", "run", "cid", "n", "sketch", slot)
             .filter(F.pmod(F.xxhash64("node", "pos"), F.lit(2**32)) < limit)
         )
-        rows = children.select(F.xxhash64("node", "pos", "col").alias("node"), "run", "class_id", "n", "sketch")
+        rows = children.select(F.xxhash64("node", "pos", "col").alias("node"), "run", "cid", "n", "sketch")
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.groupBy("class_id_a", "class_id_b").agg(F.collect_set("run").alias("runs"))
+    return pairs
 
 
 def _meet_in_blocks(rows: DataFrame, floor: int, ratio: Fraction, block: int) -> DataFrame:
     """All pairs of each node, spread over pairs of blocks: no task holds more than two blocks of a node."""
-    blocks = F.ceil(F.col("count") / block)
-    own = F.pmod(F.xxhash64("class_id"), blocks)
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    return _meet(spread.select("node", "low", "high", "run", "class_id", "n", "sketch"), ["node", "low", "high"], floor, ratio)
-
-
-def _verify(found: DataFrame, source: DataFrame, shingle_words: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
-    """Candidates whose full shingle sets reach the similarity, with the number of runs that met them."""
-    ends = found.select(F.explode(F.array("class_id_a", "class_id_b")).alias("doc_id")).distinct()
-    texts = source.select("doc_id", "part", "text").dropDuplicates(["doc_id"]).join(ends, "doc_id", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(_set_rows(shingle_words, True), "doc_id string, items array<long>"), "full-sets")
+    left, right = _in_blocks(rows, "cid", "count", block)
+    return _meet(left, right, ["node", "low", "high"], floor, ratio, "low < high")
+
+
+def _alike(met: DataFrame, classes: DataFrame, floor: int) -> DataFrame:
+    """The pairs met whose min-hash slots allow the similarity."""
+    own = lambda side: classes.select(F.col("cid").alias(f"cid_{side}"), F.col("slots").alias(f"slots_{side}"))
+    both = met.join(own("a"), "cid_a").join(own("b"), "cid_b")
+    equal = F.size(F.filter(F.zip_with("slots_a", "slots_b", lambda x, y: x == y), lambda same: same))
+    return both.filter(equal >= floor).select("cid_a", "cid_b", "hits")
+
+
+def _verify(found: DataFrame, classes: DataFrame, source: DataFrame, shingle_words: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
+    """Candidates whose full shingle sets reach the similarity; only the texts of candidates move."""
+    ends = found.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
+    ends = scratch.keep(classes.select("cid", F.col("class_id").alias("doc_id")).join(ends, "cid", "left_semi"), "ends")
+    texts = source.join(ends, "doc_id", "left_semi").select("doc_id", "part", "text").dropDuplicates(["doc_id"])
+    sets = scratch.keep(texts.mapInArrow(_set_rows(shingle_words, True), "doc_id string, items array<long>").join(ends, "doc_id"), "full-sets")
     p, q = ratio.numerator, ratio.denominator
     both = (
-        found.select("class_id_a", "class_id_b", F.size("runs").alias("hits"))
-        .join(sets.select(F.col("doc_id").alias("class_id_a"), F.col("items").alias("items_a")), "class_id_a")
-        .join(sets.select(F.col("doc_id").alias("class_id_b"), F.col("items").alias("items_b")), "class_id_b")
+        found.select("cid_a", "cid_b", "hits")
+        .join(sets.select(F.col("cid").alias("cid_a"), F.col("doc_id").alias("x"), F.col("items").alias("items_a")), "cid_a")
+        .join(sets.select(F.col("cid").alias("cid_b"), F.col("doc_id").alias("y"), F.col("items").alias("items_b")), "cid_b")
+    )
+    counted = both.select("cid_a", "cid_b", "x", "y", "hits", F.size(F.array_intersect("items_a", "items_b")).alias("common"), F.size("items_a").alias("n_x"), F.size("items_b").alias("n_y"))
+    first = F.col("x") < F.col("y")
+    return counted.filter(F.col("common") * (p + q) >= (F.col("n_x") + F.col("n_y")) * p).select(
+        "cid_a", "cid_b", F.least("x", "y").alias("class_id_a"), F.greatest("x", "y").alias("class_id_b"), "hits", "common",
+        F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
     )
-    counted = both.select("class_id_a", "class_id_b", "hits", F.size(F.array_intersect("items_a", "items_b")).alias("common"), F.size("items_a").alias("n_a"), F.size("items_b").alias("n_b"))
-    return counted.filter(F.col("common") * (p + q) >= (F.col("n_a") + F.col("n_b")) * p)
 
 
 def _estimated_recall(links: DataFrame) -> float:
@@ -256,11 +305,18 @@ def duplicate_groups(members: DataFrame, links: DataFrame, max_rounds: int = 50)
     )
 
 
-def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of records (doc_id_a < doc_id_b): those of one class and those of linked classes."""
+def duplicate_pairs(members: DataFrame, links: DataFrame, block: int = 256) -> DataFrame:
+    """Pairs of records (doc_id_a < doc_id_b): those of one class and those of linked classes.
+
+    The pairs of a class are as many as its size squared; a large one is cut into blocks of about `block` records, and its
+    pairs of blocks are spread over the cluster.
+    """
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    left, right = _in_blocks(members.select("doc_id", "class_id").join(sizes, "class_id"), "doc_id", "size", block)
+    keys = ["class_id", "low", "high"]
+    a, b = left.select(*keys, F.col("doc_id").alias("a")), right.select(*keys, F.col("doc_id").alias("b"))
+    inside = a.join(b, keys).filter("low < high or a < b").select("a", "b")
     member = members.select("doc_id", "class_id")
-    a = member.select(F.col("doc_id").alias("a"), F.col("class_id").alias("class_id_a"))
-    b = member.select(F.col("doc_id").alias("b"), F.col("class_id").alias("class_id_b"))
-    inside = a.join(b, F.col("class_id_a") == F.col("class_id_b")).filter("a < b").select("a", "b")
-    across = links.select("class_id_a", "class_id_b").join(a, "class_id_a").join(b, "class_id_b").select("a", "b")
+    x, y = (member.select(F.col("doc_id").alias(n), F.col("class_id").alias(f"class_id_{n}")) for n in "ab")
+    across = links.select("class_id_a", "class_id_b").join(x, "class_id_a").join(y, "class_id_b").select("a", "b")
     return inside.unionByName(across).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

@@ -95,3 +95,30 @@ def test_groups_are_components(spark):
 def test_runs_and_floor():
     assert neardup.runs_for(0.75, 0.9999) == 7
     assert 30 < neardup.sketch_floor(0.75) < 48
+    assert 20 < neardup.slots_floor(0.75) < 48
+
+
+def test_pairs_of_a_large_class(spark):
+    members = spark.createDataFrame([(f"d{i:04d}", "A", "d0000") for i in range(300)] + [("e", "A", "e")], "doc_id string, part string, class_id string")
+    links = spark.createDataFrame([("d0000", "e")], "class_id_a string, class_id_b string")
+    for block in (7, 256):
+        pairs = neardup.duplicate_pairs(members, links, block=block)
+        assert pairs.count() == pairs.distinct().count() == 300 * 299 // 2 + 300
+        assert pairs.filter("doc_id_a >= doc_id_b").isEmpty()
+
+
+def test_one_class_of_many(spark):
+    """Copies are one class whatever their number; groups need no pairs."""
+    df = spark.range(20_000).selectExpr("cast(id as string) as doc_id", "'A' as stratum", "'the same words stand in every one of these records' as text")
+    members, links = neardup.near_duplicates(df)
+    groups = neardup.duplicate_groups(members, links)
+    assert groups.select("group_id").distinct().count() == 1 and groups.count() == 20_000 and links.isEmpty()
+
+
+def test_recall_is_reported_or_refused(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(3, 80), SCHEMA)
+    found = neardup.near_duplicates(df, similarity="0.75")
+    assert found.recall >= 0.9999 and found.runs >= 7
+    monkeypatch.setattr(neardup, "_estimated_recall", lambda links: 0.5)
+    with pytest.raises(neardup.RecallError):
+        neardup.near_duplicates(df, similarity="0.75")
