@@ -213,3 +213,43 @@ def test_few_words_take_bounded_memory():
     assert tracemalloc.get_traced_memory()[1] < 400_000_000
     tracemalloc.stop()
     assert any(p <= 500 and p + n >= 540 for p, _, n in hits)
+
+
+def pieces_of(text, limit):
+    return [text[fresh:end] for _, _, _, fresh, end in splitting.split_text(text, limit, 0)]
+
+
+def test_headings_stay_with_what_they_head():
+    body = "Some words stand here in a row. " * 9
+    text = "".join(f"# {name}\n\n{body}\n\n" for name in "ABC")
+    pieces = pieces_of(text, 60)
+    assert [p.split("\n")[0] for p in pieces if "#" in p] == ["# A", "# B", "# C"]
+    assert all(p.startswith("#") or "#" not in p for p in pieces)
+    assert all(len(tokens(p)) > 3 for p in pieces if p.startswith("#"))
+
+
+def test_fences_tables_and_lists_are_nodes():
+    prose = "Words stand here in a row and more follow. " * 3
+    fence = "```\na = 1\n\nb = 2\n\nc = 3\n```\n"
+    table = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n"
+    items = "- one thing\n  - under it\n  - more of it\n- another thing\n"
+    for block in (fence, table, items):
+        text = f"{prose}\n\n{block}\n{prose}\n\n{block}\n{prose}\n"
+        pieces = pieces_of(text, 45)
+        assert sum(block in p for p in pieces) == 2, pieces
+
+
+def test_only_whole_siblings_merge():
+    long, short = "One sentence stands here. " * 12, "A short one."
+    pieces = pieces_of(f"{short}\n\n{long}\n\n{short}\n", 30)
+    assert pieces[0].strip() == short and pieces[-1].strip() == short
+
+
+def test_markup_and_wrapped_lines():
+    html = "<div><h2>Head</h2><p>" + "Words stand here. " * 8 + "</p><p>" + "More words stand. " * 8 + "</p></div><div><h2>Next</h2><p>" + "Last words stand. " * 8 + "</p></div>"
+    pieces = pieces_of(html, 60)
+    # "><" is one token, so a cut between elements falls behind its "<".
+    assert all(p.lstrip("<").startswith(("div><h2>", "p>")) for p in pieces)
+    wrapped = "These words are wrapped at\nsome width and the sentence\ngoes on. Another one starts\nhere and ends too. " * 4
+    assert all(p.rstrip().endswith(".") for p in pieces_of(wrapped, 30))
+    assert "".join(pieces_of("<div>" * 500 + "word " * 50 + "</div>" * 500, 10)) == "<div>" * 500 + "word " * 50 + "</div>" * 500
