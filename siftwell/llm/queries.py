@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from siftwell.functions.columns import token_count
 from siftwell.llm import caps, cutoffs, leakage, mixing, neardup, proportions, residue, splitting
 from siftwell.llm.sql import SQL as SQL
 from siftwell.runtime import table
@@ -17,8 +21,8 @@ def p1_found(spark, d):
 
 
 def p1_groups(spark, d):
-    """Every record with its class of equal sets, its group of near-duplicates and its number of links, at 0.8."""
-    return neardup.duplicate_groups(*neardup.near_duplicates(table(spark, d, "candidates"), similarity="0.8"))
+    """Every record with its class of equal sets, its group of near-duplicates and its number of links."""
+    return neardup.duplicate_groups(*_near(spark, d))
 
 
 def p2_found(spark, d):
@@ -28,8 +32,6 @@ def p2_found(spark, d):
 
 def p2_kept(spark, d):
     """Records left after those with residue are taken out, counted by stratum."""
-    from pyspark.sql import functions as F
-
     rows = table(spark, d, "candidates").select("doc_id", "stratum").distinct()
     bad = residue.template_residue(table(spark, d, "candidates"))
     marked = rows.join(bad.select("doc_id", F.lit(1).alias("bad")), "doc_id", "left")
@@ -55,6 +57,18 @@ def p3_report(spark, d):
     return _sampled(spark, d)[1]
 
 
+def p3_needs(spark, d):
+    """What every target needs and what there is."""
+    return _sampled(spark, d)[1].select("stratum", "category", "size", "available", "needed", "short")
+
+
+def p3_totals(spark, d):
+    """Sizes of the samples by stratum: wanted, as quotas, and as drawn."""
+    sample, report = _sampled(spark, d)
+    drawn = sample.groupBy("stratum").agg(F.count(F.lit(1)).alias("records"))
+    return report.groupBy("stratum").agg(F.first("size").alias("size"), F.sum("quota").alias("drawn")).join(drawn, "stratum", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+
+
 def _capped(spark, d, **how):
     return caps.capped(table(spark, d, "candidates"), caps.latest_rating(table(spark, d, "doc_quality")), **how)
 
@@ -127,6 +141,13 @@ def p7_report(spark, d):
     return _mixed(spark, d)[1]
 
 
+def p7_slots(spark, d):
+    """The slots that each source fills in the mixture."""
+    manifest, report = _mixed(spark, d)
+    filled = manifest.groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
+    return report.join(filled, "source", "left").select("source", "tokens", F.round("wanted", 6).alias("wanted"), F.coalesce("slots", F.lit(0)).alias("slots"), "short")
+
+
 def _split(spark, d):
     return splitting.split_oversized(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
@@ -141,6 +162,18 @@ def p8_pieces(spark, d):
     return _split(spark, d)
 
 
+def p8_checks(spark, d):
+    """Whether the pieces of each document hold its limit, cover it, and share what they should."""
+    own = Window.partitionBy("doc_id").orderBy("piece")
+    rows = _split(spark, d).withColumn("before", F.lag("end_token").over(own))
+    shared = F.least(F.least("overlap_tokens", F.col("max_tokens") - 1), F.col("before"))
+    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.first("doc_tokens").alias("doc_tokens"), F.bool_and(F.col("n_tokens").between(1, F.col("max_tokens")) & (token_count(F.col("text")) == F.col("n_tokens"))).alias("fits"),
+        ((F.min("start_token") == 0) & (F.max("end_token") == F.first("doc_tokens")) & (F.count(F.lit(1)) == F.first("pieces"))).alias("covers"),
+        F.bool_and(F.col("before").isNull() | (F.col("before") - F.col("start_token") == shared)).alias("overlaps"),
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -149,6 +182,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_sample": p3_sample,
     "p3_report": p3_report,
+    "p3_needs": p3_needs,
+    "p3_totals": p3_totals,
     "p4_found": p4_found,
     "p4_kept": p4_kept,
     "p4_share": p4_share,
@@ -160,6 +195,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_mixture": p7_mixture,
     "p7_report": p7_report,
+    "p7_slots": p7_slots,
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
+    "p8_checks": p8_checks,
 }
