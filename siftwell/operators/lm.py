@@ -23,58 +23,83 @@ def token_lists(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def token_pairs(lists: DataFrame) -> DataFrame:
-    """doc_id, token_idx, u, v: each token after the first with the one before it; no shuffle."""
+    """doc_id, token_idx, u, v (and fold): each token after the first with the one before it; no shuffle."""
     pairs = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.struct((i - 1).cast("int").alias("token_idx"), F.get("w", i - 2).alias("u"), F.get("w", i - 1).alias("v")))
-    return lists.filter(F.size("w") > 1).select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
+    own = [c for c in ("doc_id", "fold") if c in lists.columns]
+    return lists.filter(F.size("w") > 1).select(*own, F.explode(pairs).alias("p")).select(*own, "p.*")
 
 
 @dataclass
 class Bigrams:
-    unigrams: DataFrame  # v, p0
-    seen: DataFrame  # u, v, p
-    contexts: DataFrame  # u, mu, var
-    floor: tuple[float, float]  # mu and var of p0
+    """Models by fold of the training documents, 0 where there is but one."""
+
+    unigrams: DataFrame  # fold, v, p0
+    seen: DataFrame  # fold, u, v, p
+    contexts: DataFrame  # fold, u, mu, var
+    floor: dict[int, tuple[float, float]]  # mu and var of p0
+
+
+def _folded(lists: DataFrame) -> DataFrame:
+    return lists if "fold" in lists.columns else lists.withColumn("fold", F.lit(0))
+
+
+def _of_fold(values: dict[int, float]):
+    return F.element_at(F.create_map(*(F.lit(x) for f, v in sorted(values.items()) for x in (int(f), float(v)))), F.col("fold").cast("int"))
 
 
 def train(corpus: DataFrame, training: DataFrame, scratch: Scratch, weight: float = WEIGHT) -> Bigrams:
-    """A model from token lists; the vocabulary is the corpus', the counts are the training documents'."""
+    """A model from token lists, or one for each `fold` of them, in one pass; the vocabulary is the corpus', the counts are
+    the training documents'. Folds are few; their totals come to the driver."""
+    training = _folded(training)
     words = corpus.select(F.explode("w").alias("v")).distinct()
-    counts = training.select(F.explode("w").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    vocabulary = scratch.keep(words.join(counts, "v", "left").select("v", F.coalesce("c", F.lit(0)).alias("c")), "vocabulary")
-    size = total + vocabulary.count()
-    unigrams = vocabulary.select("v", ((F.col("c") + 1) / F.lit(float(size))).alias("p0"))
+    counts = scratch.keep(training.select("fold", F.explode("w").alias("v")).groupBy("fold", "v").agg(F.count(F.lit(1)).alias("c")), "counts")
+    totals = {r.fold: r.n for r in counts.groupBy("fold").agg(F.sum("c").alias("n")).collect()} or {0: 0}
+    each = words.select("v", F.explode(F.array(*(F.lit(int(f)) for f in sorted(totals)))).alias("fold"))
+    vocabulary = scratch.keep(each.join(counts, ["fold", "v"], "left").select("fold", "v", F.coalesce("c", F.lit(0)).alias("c")), "vocabulary")
+    sizes = {r.fold: totals[r.fold] + r.n for r in vocabulary.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()} or {0: 1}
+    unigrams = vocabulary.select("fold", "v", ((F.col("c") + 1) / _of_fold(sizes)).alias("p0"))
     own = F.log("p0")
-    s0, q0 = unigrams.agg(F.sum(F.col("p0") * own), F.sum(F.col("p0") * own * own)).first()
-    pairs = token_pairs(training).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
-    totals = pairs.groupBy("u").agg(F.sum("c").alias("n"))
+    floors = {r.fold: (r.s, r.q) for r in unigrams.groupBy("fold").agg(F.sum(F.col("p0") * own).alias("s"), F.sum(F.col("p0") * own * own).alias("q")).collect()} or {0: (0.0, 0.0)}
+    s0, q0 = _of_fold({f: s for f, (s, _) in floors.items()}), _of_fold({f: q for f, (_, q) in floors.items()})
+    pairs = token_pairs(training).groupBy("fold", "u", "v").agg(F.count(F.lit(1)).alias("c"))
+    before = pairs.groupBy("fold", "u").agg(F.sum("c").alias("n"))
     rest = 1 - weight
-    seen = scratch.keep(pairs.join(totals, "u").join(unigrams, "v").select("u", "v", "p0", (F.lit(weight) * F.col("c") / F.col("n") + F.lit(rest) * F.col("p0")).alias("p")), "seen")
+    seen = scratch.keep(pairs.join(before, ["fold", "u"]).join(unigrams, ["fold", "v"]).select("fold", "u", "v", "p0", (F.lit(weight) * F.col("c") / F.col("n") + F.lit(rest) * F.col("p0")).alias("p")), "seen")
     lp = F.log("p")
-    sums = seen.groupBy("u").agg(
+    sums = seen.groupBy("fold", "u").agg(
         F.sum(F.col("p") * lp).alias("a"), F.sum(F.col("p") * lp * lp).alias("b"), F.sum(F.col("p0") * own).alias("s"), F.sum(F.col("p0") * own * own).alias("r"), F.sum("p0").alias("m")
     )
     k = F.log(F.lit(rest))
-    mu = F.col("a") + F.lit(rest) * ((F.lit(s0) - F.col("s")) + k * (1 - F.col("m")))
-    second = F.col("b") + F.lit(rest) * ((F.lit(q0) - F.col("r")) + 2 * k * (F.lit(s0) - F.col("s")) + k * k * (1 - F.col("m")))
-    contexts = scratch.keep(sums.select("u", mu.alias("mu"), (second - mu * mu).alias("var")), "contexts")
-    return Bigrams(unigrams, seen.select("u", "v", "p"), contexts, (s0, q0 - s0 * s0))
+    mu = F.col("a") + F.lit(rest) * ((s0 - F.col("s")) + k * (1 - F.col("m")))
+    second = F.col("b") + F.lit(rest) * ((q0 - F.col("r")) + 2 * k * (s0 - F.col("s")) + k * k * (1 - F.col("m")))
+    contexts = scratch.keep(sums.select("fold", "u", mu.alias("mu"), (second - mu * mu).alias("var")), "contexts")
+    return Bigrams(unigrams, seen.select("fold", "u", "v", "p"), contexts, {f: (s, q - s * s) for f, (s, q) in floors.items()})
+
+
+def _known(tokens: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Tokens with what is known of their kind: one join of all tokens, on a key of two words, which no word alone makes hot."""
+    return tokens.join(kinds, ["fold", "u", "v"])
 
 
 def token_stats(lists: DataFrame, model: Bigrams) -> DataFrame:
-    """doc_id, token_idx, logp, mu, var of the tokens of `lists`, whose words the model's vocabulary holds."""
-    mu, var = model.floor
-    rows = token_pairs(lists).join(model.unigrams, "v").join(model.seen, ["u", "v"], "left").join(model.contexts, "u", "left")
-    known = F.col("mu").isNotNull()
-    p = F.coalesce("p", F.when(known, F.lit(1 - WEIGHT) * F.col("p0")).otherwise(F.col("p0")))
-    return rows.select("doc_id", "token_idx", F.log(p).alias("logp"), F.coalesce("mu", F.lit(mu)).alias("mu"), F.greatest(F.coalesce("var", F.lit(var)), F.lit(0.0)).alias("var"))
+    """doc_id, token_idx, logp, mu, var of the tokens of `lists`, whose words the model's vocabulary holds.
+
+    `fold`, where lists have it, names the model that scores a document.
+    """
+    tokens = token_pairs(_folded(lists))
+    kinds = tokens.select("fold", "u", "v").distinct().join(model.unigrams, ["fold", "v"]).join(model.seen, ["fold", "u", "v"], "left").join(model.contexts, ["fold", "u"], "left")
+    p = F.coalesce("p", F.when(F.col("mu").isNotNull(), F.lit(1 - WEIGHT) * F.col("p0")).otherwise(F.col("p0")))
+    mu, var = (_of_fold({f: both[i] for f, both in model.floor.items()}) for i in (0, 1))
+    kinds = kinds.select("fold", "u", "v", F.log(p).alias("logp"), F.coalesce("mu", mu).alias("mu"), F.greatest(F.coalesce("var", var), F.lit(0.0)).alias("var"))
+    return _known(tokens, kinds).select("doc_id", "token_idx", "logp", "mu", "var")
 
 
 def pair_stats(lists: DataFrame, model: Bigrams) -> DataFrame:
     """doc_id, token_idx, ce, xent: the bigram model observing, its unigram model performing."""
-    s0, _ = model.floor
-    logs = model.unigrams.select("v", "p0", F.log("p0").alias("l0"))
-    per_context = model.seen.join(logs, "v").groupBy("u").agg(F.sum(F.col("p") * F.col("l0")).alias("a"), F.sum(F.col("p0") * F.col("l0")).alias("s"))
-    cross = per_context.select("u", (-(F.col("a") + F.lit(1 - WEIGHT) * (F.lit(s0) - F.col("s")))).alias("xent"))
-    rows = token_pairs(lists).join(logs, "v").join(cross, "u", "left")
-    return rows.select("doc_id", "token_idx", (-F.col("l0")).alias("ce"), F.coalesce("xent", F.lit(-s0)).alias("xent"))
+    s0 = _of_fold({f: mu for f, (mu, _) in model.floor.items()})
+    logs = model.unigrams.select("fold", "v", "p0", F.log("p0").alias("l0"))
+    per_context = model.seen.join(logs, ["fold", "v"]).groupBy("fold", "u").agg(F.sum(F.col("p") * F.col("l0")).alias("a"), F.sum(F.col("p0") * F.col("l0")).alias("s"))
+    cross = per_context.select("fold", "u", (-(F.col("a") + F.lit(1 - WEIGHT) * (s0 - F.col("s")))).alias("xent"))
+    tokens = token_pairs(_folded(lists))
+    kinds = tokens.select("fold", "u", "v").distinct().join(logs, ["fold", "v"]).join(cross, ["fold", "u"], "left").select("fold", "u", "v", (-F.col("l0")).alias("ce"), F.coalesce("xent", -s0).alias("xent"))
+    return _known(tokens, kinds).select("doc_id", "token_idx", "ce", "xent")

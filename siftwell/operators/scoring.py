@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.config import FORECAST
@@ -25,18 +25,18 @@ def ratio(stats: DataFrame) -> DataFrame:
     return stats.groupBy("doc_id").agg((-ce / F.greatest(xent, F.lit(1e-8))).alias("score"), F.count(F.lit(1)).alias("n_tokens"))
 
 
-def surface(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float, float] = (-4.0, 0.8, 6.0, -1.5)) -> DataFrame:
-    """doc_id, score: a logistic score of mean word length, punctuation rate and share of distinct words."""
+def surface(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float, float] = (-4.0, 0.8, 6.0, -1.5), keep: list[str] = ()) -> DataFrame:
+    """doc_id, score (and the columns to keep): a logistic score of mean word length, punctuation rate and share of distinct words."""
     words = F.filter(F.split(F.lower(F.col(text_col)), r"[ \t\n\f\r]+"), lambda w: w != "")
     n = F.greatest(F.size(words), F.lit(1))
     letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
     marks = F.length(F.regexp_replace(F.col(text_col), r"[^,.;:!?]", "")) / F.greatest(F.length(text_col), F.lit(1))
     z = weights[0] + weights[1] * letters / n + weights[2] * marks + weights[3] * F.size(F.array_distinct(words)) / n
-    return df.select(F.col(id_col).alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
+    return df.select(F.col(id_col).alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"), *keep)
 
 
-def score_rows(scores: DataFrame, instance: str, group: str, run: str, config_hash: str) -> DataFrame:
-    """Scores of one instance and group as rows of the score table; detectors without token counts have null there."""
+def score_rows(scores: DataFrame, instance: str, group: str | Column, run: str, config_hash: str) -> DataFrame:
+    """Scores of one instance as rows of the score table, of one group or with a column that names each one's; detectors without token counts have null there."""
     detector, _, reference = instance.partition("@")
     n = F.col("n_tokens").cast("int") if "n_tokens" in scores.columns else F.lit(None).cast("int")
     return scores.select(

@@ -12,7 +12,7 @@ from siftwell import config
 from siftwell.operators import attribution, edits, hypotheses, metrics, report, resample, sample, scoring, segment, tables
 from siftwell.plans import frames
 from siftwell.plans.registry import register
-from siftwell.plans.sqltext import CELLS, DOC_TABLE, DOCS, FLAGS, LATEST, LISTS, PPL, RATES, model, n_blank, pieces
+from siftwell.plans.sqltext import CELLS, DOC_TABLE, DOCS, FLAGS, LATEST, LISTS, MODELS, PPL, RATES, n_blank, pieces, stats
 from siftwell.runtime import Scratch, table
 
 QUERIES: dict = {}
@@ -197,47 +197,48 @@ surface as (select doc_id, stratum, 1 / (1 + exp(-(-4.0 + 0.8 * coalesce(list_su
 @query(f"with {_SURFACE} select doc_id as item_id, round(score, 6) as score, 'D3' as instance, stratum as group_name from surface")
 def derived_scores(spark, d):
     docs = frames.docs(spark, d)
-    parts = [scoring.score_rows(scoring.surface(docs.filter(F.col("stratum") == s)), "D3", s, "run", config.config_hash()) for s in config.STRATA]
-    return scoring.union_scores(parts).select("item_id", r6("score"), "instance", "group_name")
+    strata = scoring.surface(docs, keep=["stratum"])
+    return scoring.score_rows(strata, "D3", F.col("stratum"), "run", config.config_hash()).select("item_id", r6("score"), "instance", "group_name")
 
 
 # token statistics -----------------------------------------------------------------------------------------------------
 
-_LM1 = f"{LISTS}, {model(1, 'm1')}"
-_LM2 = f"{LISTS}, {model(1, 'm1')}, {model(2, 'm2')}"
+_LM1 = f"{LISTS}, {MODELS}, {stats(1, 'm1')}"
+_LM2 = f"{_LM1}, {stats(2, 'm2')}"
 
 
 @query(f"with {_LM1} select doc_id, count(*) as n, round(sum(logp), 4) as logp, round(sum(mu), 4) as mu, round(sum(var), 4) as var, round(sum(xent), 4) as xent from m1stats group by 1")
 def token_statistics(spark, d):
     from siftwell.operators import lm
 
-    lists, models = frames.language_models(spark, d, [1])
-    sums = lm.token_stats(lists, models[1]).groupBy("doc_id").agg(count("n"), *(F.round(F.sum(c), 4).alias(c) for c in ("logp", "mu", "var")))
-    return sums.join(lm.pair_stats(lists, models[1]).groupBy("doc_id").agg(F.round(F.sum("xent"), 4).alias("xent")), "doc_id")
+    lists, models = frames.language_models(spark, d)
+    lists = frames.scored_by(lists, 1)
+    sums = lm.token_stats(lists, models).groupBy("doc_id").agg(count("n"), *(F.round(F.sum(c), 4).alias(c) for c in ("logp", "mu", "var")))
+    return sums.join(lm.pair_stats(lists, models).groupBy("doc_id").agg(F.round(F.sum("xent"), 4).alias("xent")), "doc_id")
 
 
 @query(f"with {_LM1} select doc_id, round((sum(logp) - sum(mu)) / sqrt(greatest(sum(var), 1e-8)), 6) as score, count(*) as n_tokens from m1stats group by 1")
 def contrast_scores(spark, d):
     from siftwell.operators import lm
 
-    lists, models = frames.language_models(spark, d, [1])
-    return _whole(scoring.contrast(lm.token_stats(lists, models[1])), "score")
+    lists, models = frames.language_models(spark, d)
+    return _whole(scoring.contrast(lm.token_stats(frames.scored_by(lists, 1), models)), "score")
 
 
 @query(f"with {_LM1} select doc_id, round(-avg(logp), 6) as score, count(*) as n_tokens from m1stats group by 1")
 def log_perplexity(spark, d):
     from siftwell.operators import lm
 
-    lists, models = frames.language_models(spark, d, [1])
-    return _whole(scoring.log_perplexity(lm.token_stats(lists, models[1])), "score")
+    lists, models = frames.language_models(spark, d)
+    return _whole(scoring.log_perplexity(lm.token_stats(frames.scored_by(lists, 1), models)), "score")
 
 
 @query(f"with {_LM1} select doc_id, round(-avg(ce) / greatest(avg(xent), 1e-8), 6) as score, count(*) as n_tokens from m1stats group by 1")
 def ratio_scores(spark, d):
     from siftwell.operators import lm
 
-    lists, models = frames.language_models(spark, d, [1])
-    return _whole(scoring.ratio(lm.pair_stats(lists, models[1])), "score")
+    lists, models = frames.language_models(spark, d)
+    return _whole(scoring.ratio(lm.pair_stats(frames.scored_by(lists, 1), models)), "score")
 
 
 # attribution ----------------------------------------------------------------------------------------------------------
@@ -245,12 +246,12 @@ def ratio_scores(spark, d):
 _COMPONENTS = """{0}comp as (select doc_id, -avg(logp) as nll, -avg(mu) as entropy, avg(var) as var, count(*)::double as n from {0}stats group by 1)"""
 
 
-def _components(spark, d, splits):
+def _components(spark, d, references):
     from siftwell.operators import lm
 
-    lists, models = frames.language_models(spark, d, splits)
+    lists, models = frames.language_models(spark, d)
     scratch = Scratch(spark, "components")
-    return [scratch.keep(attribution.components(lm.token_stats(lists, models[k])), f"components-{k}") for k in splits]
+    return [scratch.keep(attribution.components(lm.token_stats(frames.scored_by(lists, k), models)), f"components-{k}") for k in references]
 
 
 @query(f"with {_LM1}, {_COMPONENTS.format('m1')} select doc_id, round(nll, 6) as nll, round(entropy, 6) as entropy, round(var, 6) as var, n from m1comp")
@@ -263,8 +264,8 @@ select count(*) as n, max(abs(sqrt(n) * (entropy - nll) / sqrt(greatest(var, 1e-
 def score_reproduction(spark, d):
     from siftwell.operators import lm
 
-    lists, models = frames.language_models(spark, d, [1])
-    stats = Scratch(spark, "stats").keep(lm.token_stats(lists, models[1]), "stats")
+    lists, models = frames.language_models(spark, d)
+    stats = Scratch(spark, "stats").keep(lm.token_stats(frames.scored_by(lists, 1), models), "stats")
     again = attribution.reproduction(attribution.components(stats), scoring.contrast(stats), attribution.contrast_score, ["nll", "entropy", "var", "n"])
     return again.select("n", (F.col("max_diff") < 1e-6).alias("same"))
 
@@ -381,7 +382,7 @@ def _edited(spark, d):
     scored = scoring.surface(both).join(variants.select(F.col("variant_id").alias("doc_id"), F.lit("variants").alias("g")), "doc_id", "left")
     scores = scored.select(F.lit("D3").alias("instance"), F.col("doc_id").alias("item_id"), F.coalesce("g", F.lit(config.CALIBRATION)).alias("group_name"), "score")
     lists = scratch.keep(lm.token_lists(both), "lists")
-    training = lm.token_lists(table(spark, d, "documents").filter("doc_id % 6 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    training = lm.token_lists(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     bigrams = lm.train(lists.unionByName(training), training, scratch)
     ppl = scoring.log_perplexity(lm.token_stats(lists, bigrams)).select(F.col("doc_id").alias("item_id"), F.col("score").alias("log_ppl_indep"))
     return scratch.keep(tables.deltas(scores, variants, scratch.keep(ppl, "ppl")), "deltas")

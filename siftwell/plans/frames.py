@@ -12,7 +12,7 @@ from siftwell.runtime import Scratch, table
 
 
 def docs(spark: SparkSession, d: str, text: bool = True) -> DataFrame:
-    """One row per record of candidates, with its length."""
+    """One row per record of candidates, with its length; without `text`, only what is computed from it is shuffled."""
     rows = table(spark, d, "candidates")
     columns = ["doc_id", "stratum", fold(F.col("source")).alias("source"), fold(F.col("source_doc_id")).alias("source_doc_id"), "pub_year", *(["text"] if text else []), "meta", ruler(F.col("text")).alias("n_tokens"), "text_sha256"]
     return rows.select(*columns).dropDuplicates(["doc_id"])
@@ -29,8 +29,8 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def predictor(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, log_ppl_indep: log perplexity of records under an add-one unigram model of the documents numbered 0 modulo 6."""
-    training = lm.token_lists(table(spark, d, "documents").filter("doc_id % 6 = 0")).select(F.explode("w").alias("v"))
+    """item_id, log_ppl_indep: log perplexity of records under an add-one unigram model of all documents."""
+    training = lm.token_lists(table(spark, d, "documents")).select(F.explode("w").alias("v"))
     counts = training.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     own = lm.token_lists(docs(spark, d)).select("doc_id", F.explode("w").alias("v")).groupBy("doc_id", "v").agg(F.count(F.lit(1)).alias("t"))
     scratch = Scratch(spark, "predictor")
@@ -57,9 +57,16 @@ def cells_with_reference(spark: SparkSession, d: str, doc_table: DataFrame) -> D
     return tables.cell_table(doc_table, own)
 
 
-def language_models(spark: SparkSession, d: str, splits: list[int]) -> tuple[DataFrame, dict[int, lm.Bigrams]]:
-    """(held-out token lists, models by split): each model is trained on the documents of its number modulo 6."""
+FOLDS = 3
+
+
+def language_models(spark: SparkSession, d: str) -> tuple[DataFrame, lm.Bigrams]:
+    """(token lists of all documents, models by fold): each model is trained on a third of the documents."""
     scratch = Scratch(spark, "models")
-    lists = scratch.keep(lm.token_lists(table(spark, d, "documents")), "lists")
-    models = {k: lm.train(lists, lists.filter(F.col("doc_id") % 6 == k), scratch) for k in splits}
-    return lists.filter((F.col("doc_id") % 6).isin(3, 4, 5)), models
+    lists = scratch.keep(lm.token_lists(table(spark, d, "documents")).withColumn("fold", F.pmod("doc_id", F.lit(FOLDS)).cast("int")), "lists")
+    return lists, lm.train(lists, lists, scratch)
+
+
+def scored_by(lists: DataFrame, reference: int) -> DataFrame:
+    """Lists with the fold that scores them as reference 1 or 2: never the one that holds the document."""
+    return lists.withColumn("fold", F.pmod(F.col("doc_id") + reference, F.lit(FOLDS)).cast("int"))

@@ -59,8 +59,8 @@ flags as (select l.instance, l.item_id, l.score, t.threshold, (l.score > t.thres
 
 RATES = f"""{FLAGS}, counts as (select instance, stratum, sum(flagged) as k, count(*) as n from flags group by 1, 2)"""
 
-# The independent predictor: an add-one unigram model of the documents numbered 0 modulo 6.
-PPL = f"""unitok as (select unnest({pieces('text')}) as v from documents where doc_id % 6 = 0), unic as (select v, count(*) as c from unitok group by v),
+# The independent predictor: an add-one unigram model of all documents.
+PPL = f"""unitok as (select unnest({pieces('text')}) as v from documents), unic as (select v, count(*) as c from unitok group by v),
 dtok as (select doc_id, unnest({pieces('text')}) as v from docs), size as (select (select count(*) from unitok) + (select count(*) from (select v from unic union select v from dtok)) as s),
 ppl as (select doc_id as item_id, -avg(ln((coalesce(c, 0) + 1) / s)) as log_ppl_indep from dtok left join unic using (v), size group by doc_id)"""
 
@@ -71,20 +71,24 @@ CELLS = f"""{DOC_TABLE},
 cells as (select instance, detector, reference, stratum, avg(flagged) as fpr, count(*) as n, sum(flagged) as k, avg(log_ppl_indep) as log_ppl_indep, avg(n_tokens) as length from dt group by 1, 2, 3, 4)"""
 
 
-def model(k: int, name: str) -> str:
-    """CTEs {name}uni, {name}seen, {name}ctx, {name}floor of the bigram model trained on documents k modulo 6; needs lists."""
+# Bigram models of the three folds of documents, by doc_id modulo 3; needs lists.
+MODELS = """
+mc as (select fold, v, count(*) as c from (select doc_id % 3 as fold, unnest(w) as v from lists) group by 1, 2),
+msize as (select fold, sum(c) + (select count(*) from vocab) as s from mc group by fold),
+muni as (select s.fold, b.v, (coalesce(c, 0) + 1) / s.s::double as p0 from vocab b cross join msize s left join mc on mc.v = b.v and mc.fold = s.fold),
+mfloor as (select fold, sum(p0 * ln(p0)) as s0, sum(p0 * ln(p0) * ln(p0)) as q0 from muni group by fold),
+mpairs as (select doc_id % 3 as fold, u, v, count(*) as c from pairs group by 1, 2, 3),
+mseen as (select fold, u, v, p0, 0.5::double * c / n + 0.5::double * p0 as p from mpairs join (select fold, u, sum(c) as n from mpairs group by 1, 2) using (fold, u) join muni using (fold, v)),
+msums as (select fold, u, sum(p * ln(p)) as a, sum(p * ln(p) * ln(p)) as b, sum(p0 * ln(p0)) as s, sum(p0 * ln(p0) * ln(p0)) as r, sum(p0) as m, sum(p * ln(p0)) as x from mseen group by 1, 2),
+mctx as (select fold, u, a + 0.5 * ((s0 - s) + ln(0.5) * (1 - m)) as mu, b + 0.5 * ((q0 - r) + 2 * ln(0.5) * (s0 - s) + ln(0.5) * ln(0.5) * (1 - m)) as second, -(x + 0.5 * (s0 - s)) as xent from msums join mfloor using (fold))"""
+
+
+def stats(reference: int, name: str) -> str:
+    """CTE {name}stats: token statistics of every document under the model of another fold, the first or the second after its own."""
     return f"""
-{name}c as (select v, count(*) as c from (select unnest(w) as v from lists where doc_id % 6 = {k}) group by v),
-{name}size as (select (select sum(c) from {name}c) + (select count(*) from vocab) as s),
-{name}uni as (select v, (coalesce(c, 0) + 1) / s::double as p0 from vocab left join {name}c using (v), {name}size),
-{name}floor as (select sum(p0 * ln(p0)) as s0, sum(p0 * ln(p0) * ln(p0)) as q0 from {name}uni),
-{name}pairs as (select u, v, count(*) as c from pairs where doc_id % 6 = {k} group by u, v),
-{name}seen as (select u, v, p0, 0.5::double * c / n + 0.5::double * p0 as p from {name}pairs join (select u, sum(c) as n from {name}pairs group by u) using (u) join {name}uni using (v)),
-{name}sums as (select u, sum(p * ln(p)) as a, sum(p * ln(p) * ln(p)) as b, sum(p0 * ln(p0)) as s, sum(p0 * ln(p0) * ln(p0)) as r, sum(p0) as m, sum(p * ln(p0)) as x from {name}seen group by u),
-{name}ctx as (select u, a + 0.5 * ((s0 - s) + ln(0.5) * (1 - m)) as mu, b + 0.5 * ((q0 - r) + 2 * ln(0.5) * (s0 - s) + ln(0.5) * ln(0.5) * (1 - m)) as second, -(x + 0.5 * (s0 - s)) as xent from {name}sums, {name}floor),
 {name}stats as (select e.doc_id, e.token_idx, ln(coalesce(n.p, case when t.mu is not null then 0.5 * g.p0 else g.p0 end)) as logp, coalesce(t.mu, f.s0) as mu,
   greatest(coalesce(t.second - t.mu * t.mu, f.q0 - f.s0 * f.s0), 0) as var, -ln(g.p0) as ce, coalesce(t.xent, -f.s0) as xent
-  from pairs e join {name}uni g using (v) left join {name}seen n on n.u = e.u and n.v = e.v left join {name}ctx t on t.u = e.u, {name}floor f where e.doc_id % 6 in (3, 4, 5))"""
+  from (select *, (doc_id + {reference}) % 3 as fold from pairs) e join muni g using (fold, v) left join mseen n on n.fold = e.fold and n.u = e.u and n.v = e.v left join mctx t on t.fold = e.fold and t.u = e.u join mfloor f on f.fold = e.fold)"""
 
 
 LISTS = f"""lists as (select doc_id, stratum, {pieces('text')} as w from documents), vocab as (select distinct unnest(w) as v from lists),
