@@ -8,7 +8,7 @@ import math
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell import config
@@ -100,40 +100,61 @@ def fit_audit(doc_table: DataFrame) -> dict:
     }
 
 
+def held_out_misses(doc_table: DataFrame) -> DataFrame:
+    """instance, stratum, miss: how far a stratum's logit lies from a model of the others. All models are fitted at once, each row in all but its own stratum's."""
+    rows = doc_table.dropna(subset=["log_ppl_indep"])
+    strata = [r[0] for r in rows.select("stratum").distinct().collect()]
+    name = lambda stratum: F.concat_ws("|", "instance", stratum)
+    folds = F.filter(F.array(*map(F.lit, strata)), lambda x: x != F.col("stratum"))
+    fits = linear.logistic_by(rows.withColumn("held", F.explode(folds)).withColumn("fold", name("held")), "fold", "flagged", _AUDIT_X())
+    own = rows.withColumn("real", F.col("instance")).withColumn("instance", name("stratum")).filter(F.col("instance").isin(*fits))
+    return audit_predictions(own, fits).select(F.split_part("instance", F.lit("|"), F.lit(1)).alias("instance"), "stratum", F.abs(F.col("observed") - F.col("predicted")).alias("miss"))
+
+
+def conformal_pick(misses: DataFrame, level: float = 0.95) -> DataFrame:
+    """n, width: of the misses (miss) the one at the rank that covers a new case."""
+    ranked = misses.select("miss", F.row_number().over(Window.orderBy("miss")).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    rank = F.least(F.col("n") - 1, F.ceil(F.round((F.col("n") + 1) * F.lit(level), 9)) - 1)
+    return ranked.filter(F.col("i") - 1 == rank).select("n", F.col("miss").alias("width"))
+
+
 def conformal_width(doc_table: DataFrame, level: float = 0.95) -> float:
     """Half width on the logit scale that covers a population the model has not seen: each stratum is held out in turn."""
-    rows = doc_table.dropna(subset=["log_ppl_indep"])
-    misses = []
-    for (held,) in rows.select("stratum").distinct().collect():
-        fits = linear.logistic_by(rows.filter(F.col("stratum") != held), "instance", "flagged", _AUDIT_X())
-        own = audit_predictions(rows.filter((F.col("stratum") == held) & F.col("instance").isin(*fits)), fits)
-        misses += [r[0] for r in own.select(F.abs(F.col("observed") - F.col("predicted"))).collect()]
-    return sorted(misses)[metrics.conformal_rank(len(misses), level)]
+    return conformal_pick(held_out_misses(doc_table), level).first()["width"]
+
+
+MAX_AUDIT_TEXTS = 200_000
 
 
 def audit_estimate(features: DataFrame, model: dict, width: float | None = None, draws: int = 2000, seed: int = 0) -> dict:
     """Estimated flag rate of a caller's texts (log_ppl_indep, n_tokens) with its interval and warnings; no verdict on one text.
 
-    The texts of an audit are few thousand at most and are resampled on the driver.
+    A draw takes coefficients, a shift of the population and a sample of the texts, which is a multinomial weight of each.
+    An audit's texts are few thousand at most; more than MAX_AUDIT_TEXTS are refused.
     """
-    rows = features.select("log_ppl_indep", "n_tokens").dropna().collect()
-    x = np.array([[1.0, r.log_ppl_indep, r.n_tokens / 100.0] for r in rows])
-    rate = lambda b, u=0.0, own=x: float(np.mean(1 / (1 + np.exp(-(own @ b + u)))))
-    point = rate(np.array(model["coef"]))
+    rows = features.select("log_ppl_indep", "n_tokens").dropna().limit(MAX_AUDIT_TEXTS + 1).toPandas()
+    n = len(rows)
+    if n > MAX_AUDIT_TEXTS or not n:
+        raise ValueError(f"an audit takes 1 to {MAX_AUDIT_TEXTS} texts")
+    x = np.column_stack([np.ones(n), rows["log_ppl_indep"].to_numpy(float), rows["n_tokens"].to_numpy(float) / 100])
     rng = np.random.default_rng(seed)
     betas = rng.multivariate_normal(model["coef"], model["cov"], size=draws)
     shifts = model["population_sd_logit"] * rng.standard_t(max(model["n_populations"] - 1, 1), size=draws)
-    simulated = [rate(b, u, x[rng.integers(0, len(x), len(x))]) for b, u in zip(betas, shifts, strict=True)]
-    low, high = np.quantile(simulated, [0.025, 0.975])
+    step = max(1, 2_000_000 // n)
+    simulated = np.concatenate([
+        (rng.multinomial(n, np.full(n, 1 / n), size=len(betas[k : k + step])) / n * _sigmoid(betas[k : k + step] @ x.T + shifts[k : k + step, None])).sum(axis=1) for k in range(0, draws, step)
+    ])
+    point = float(_sigmoid(x @ np.array(model["coef"])).mean())
+    band = np.quantile(simulated, [0.025, 0.975]).tolist()
     if width is not None:
-        low, high = min(low, conformal_band(point, width)[0]), max(high, conformal_band(point, width)[1])
-    sizes = [r.n_tokens for r in rows]
-    warnings = []
-    if min(sizes) < config.MIN_TOKENS or max(sizes) > config.MAX_TOKENS:
-        warnings.append("texts outside the studied lengths")
-    if len(rows) < 30:
-        warnings.append("fewer than 30 texts")
-    return {"n_texts": len(rows), "estimate": point, "low": float(low), "high": float(high), "warnings": warnings}
+        low, high = conformal_band(point, width)
+        band = [min(band[0], low), max(band[1], high)]
+    said = {"texts outside the studied lengths": not rows["n_tokens"].between(config.MIN_TOKENS, config.MAX_TOKENS).all(), "fewer than 30 texts": n < 30}
+    return {"n_texts": n, "estimate": point, "low": band[0], "high": band[1], "warnings": [text for text, holds in said.items() if holds]}
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
 
 
 def conformal_band(point: float, width: float) -> tuple[float, float]:
@@ -146,7 +167,7 @@ def conformal_band(point: float, width: float) -> tuple[float, float]:
 
 
 def wide_scores(scores: DataFrame, docs: DataFrame, flags: DataFrame, instances: list[str]) -> DataFrame:
-    """One row per document: its scores and flags by instance, ordered by the stratum's number; one score per document and instance."""
+    """One row per document: its scores and flags by instance; one score per document and instance."""
     doubled = scores.groupBy("item_id", "instance").count().filter("count > 1")
     if not doubled.isEmpty():
         raise ValueError("a document has two scores of one instance")
@@ -155,7 +176,7 @@ def wide_scores(scores: DataFrame, docs: DataFrame, flags: DataFrame, instances:
     f = flags.groupBy("item_id").pivot("instance", instances).agg(F.first("flagged"))
     s = s.select(F.col("item_id").alias("doc_id"), *(F.col(f"`{i}`").alias(f"score_{name[i]}") for i in instances))
     f = f.select(F.col("item_id").alias("doc_id"), *(F.col(f"`{i}`").alias(f"flag_{name[i]}") for i in instances))
-    return docs.join(s, "doc_id").join(f, "doc_id", "left").orderBy(F.substring("stratum", 2, 3).cast("int"), "doc_id")
+    return docs.join(s, "doc_id").join(f, "doc_id", "left")
 
 
 def population_summary(docs: DataFrame, ppl: DataFrame, bins) -> DataFrame:

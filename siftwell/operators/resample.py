@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators.metrics import complete_cases
+from siftwell.operators.ordered import running_total
+from siftwell.runtime import Scratch
 
 
 def profile_statistic(rates: DataFrame, by: list[str], row: str, column: str, value: str) -> DataFrame:
@@ -21,10 +21,9 @@ def profile_statistic(rates: DataFrame, by: list[str], row: str, column: str, va
 def profile_shift(flags: DataFrame, column: str = "instance", replicates: int = 2000, seed: int = 0) -> dict:
     """stat and p of whether strata's flag profiles differ over `column` (item_id, stratum, column, flagged).
 
-    Under the null the labels of `column` are shuffled within each document. Documents are first reduced to the number of
-    each stratum's flag vectors; a replicate shuffles a vector's flags once per document, so only the counts per stratum
-    and position are drawn, from the multivariate hypergeometric's sum: how many documents with m flags put one on each
-    column. These counts are small and come to the driver.
+    Under the null the labels of `column` are shuffled within each document. Documents are first reduced to how many of each
+    stratum have m flags; a replicate goes through the labels one by one, and of the documents with r flags still to
+    place over k labels a binomial number, with chance r / k, puts one on this label. Counts alone come to the driver.
     """
     full = complete_cases(flags, column=column)
     labels = sorted(r[0] for r in full.select(column).distinct().collect())
@@ -35,29 +34,23 @@ def profile_shift(flags: DataFrame, column: str = "instance", replicates: int =
     vectors = full.groupBy("stratum", "item_id").agg(F.sum("flagged").alias("m")).groupBy("stratum", "m").agg(F.count(F.lit(1)).alias("n")).collect()
     rng = np.random.default_rng(seed)
     k, strata = len(labels), sorted({r.stratum for r in vectors})
-    sizes = {s: sum(r.n for r in vectors if r.stratum == s) for s in strata}
-    null = np.empty(replicates)
-    for b in range(replicates):
-        table = np.zeros((len(strata), k))
+    table = np.empty((replicates, len(strata), k))
+    for s, stratum in enumerate(strata):
+        left = np.zeros((replicates, k + 1), np.int64)  # documents by flags still to place
         for r in vectors:
-            if r.m == k:
-                table[strata.index(r.stratum)] += r.n
-            elif r.m:
-                kinds = math.comb(k, int(r.m))
-                drawn = rng.multinomial(r.n, [1 / kinds] * kinds)
-                table[strata.index(r.stratum)] += drawn @ _subsets(k, int(r.m))
-        table /= np.array([sizes[s] for s in strata])[:, None]
-        centred = table - table.mean(0) - table.mean(1, keepdims=True) + table.mean()
-        null[b] = (centred**2).sum()
+            if r.stratum == stratum:
+                left[:, int(r.m)] += r.n
+        size = left[0].sum()
+        for c in range(k):
+            placed = rng.binomial(left, np.minimum(1.0, np.arange(k + 1) / (k - c)))
+            table[:, s, c] = placed.sum(axis=1) / size
+            left = left - placed
+            left[:, :-1] += placed[:, 1:]
+    centred = table - table.mean(1, keepdims=True) - table.mean(2, keepdims=True) + table.mean((1, 2), keepdims=True)
+    null = (centred**2).sum((1, 2))
     return {"stat": observed, "p": (1 + int((null >= observed - 1e-12).sum())) / (1 + replicates)}
 
 
-def _subsets(k: int, m: int) -> np.ndarray:
-    """0/1 rows of all choices of m columns of k."""
-    masks = [i for i in range(1 << k) if i.bit_count() == m]
-    return np.array([[(i >> c) & 1 for c in range(k)] for i in masks], float)
-
-
 def label_permutation(values: list[float], same: list[tuple[int, int]], labels: list[str], replicates: int = 5000, seed: int = 0) -> dict:
     """gap and p: the mean value of pairs with equal labels less that of the others, against shuffled labels."""
     v, pairs = np.array(values), np.array(same)
@@ -83,8 +76,10 @@ def bootstrap_counts(docs: DataFrame, replicates: int, key: str = "item_id", str
 
     A stratum's documents are numbered by key; each of its n slots draws a number. Replicates are rows, not passes.
     """
-    numbered = docs.select(F.col(stratum).alias("_s"), F.col(key).alias("_k")).distinct()
-    numbered = numbered.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy("_k")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_s")))
+    scratch = Scratch(docs.sparkSession, "bootstrap")
+    own = scratch.keep(docs.select(F.col(stratum).alias("_s"), F.col(key).alias("_k"), F.lit(1).cast("long").alias("_one")).distinct(), "documents")
+    sizes = own.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = scratch.keep(running_total(own, ["_s"], ["_k"], "_one", "_i", scratch).join(sizes, "_s").select("_s", "_k", "_i", "_n"), "numbered")
     # Spark's size estimates leave out the replicates: the few rows are spread before they grow, and what has grown is not broadcast.
     spread = numbered.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_s", "_i")
     slots = spread.select("_s", "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))

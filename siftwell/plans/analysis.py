@@ -155,9 +155,7 @@ def conformal_pick(spark, d):
     rates = metrics.rates(frames.flags(spark, d), ["instance", "stratum"]).withColumn("o", metrics.empirical_logit(F.col("flagged"), F.col("n")))
     own = Window.partitionBy("instance")
     misses = rates.select(F.abs(F.col("o") - (F.sum("o").over(own) - F.col("o")) / (F.count(F.lit(1)).over(own) - 1)).alias("miss"))
-    # One row per instance and stratum: the pick is made on the driver.
-    values = sorted(r.miss for r in misses.collect())
-    return spark.createDataFrame([(len(values), round(values[metrics.conformal_rank(len(values))], 6))], "n long, width double")
+    return report.conformal_pick(misses).select("n", r6("width"))
 
 
 @query(f"""with {CELLS} select instance, round(covar_samp(fpr, log_ppl_indep) / nullif(stddev_samp(fpr) * stddev_samp(log_ppl_indep), 0), 6) + 0.0 as r_ppl, round(covar_samp(fpr, length) / nullif(stddev_samp(fpr) * stddev_samp(length), 0), 6) + 0.0 as r_length,
@@ -309,12 +307,12 @@ def control_windows(spark, d):
 
 
 @query(f"""with {FLAGS}, it as (select distinct stratum, item_id from flags where instance = 'D4'), nu as (select stratum, item_id, row_number() over (partition by stratum order by item_id) - 1 as i, count(*) over (partition by stratum) as n from it),
-dr as (select b, stratum, ('0x' || substr(md5('0:' || b || ':' || stratum || '/' || i), 1, 13))::bigint % n as i from nu, (select unnest(range(0, 20)) as b)),
+dr as (select b, stratum, ('0x' || substr(md5('0:' || b || ':' || stratum || '/' || i), 1, 13))::bigint % n as i from nu, (select unnest(range(0, 1000)) as b)),
 ct as (select b, n.item_id, count(*) as times from dr join nu n using (stratum, i) group by 1, 2)
 select b::int as b, stratum, sum(times)::bigint as n, round(sum(times * flagged) / sum(times), 6) as fpr from ct join flags f using (item_id) where f.instance = 'D4' group by 1, 2""")
 def bootstrap_rates(spark, d):
     flags_ = frames.flags(spark, d).filter("instance = 'D4'")
-    counts = resample.bootstrap_counts(flags_.select("item_id", "stratum"), 20)
+    counts = resample.bootstrap_counts(flags_.select("item_id", "stratum"), 1000)
     return resample.bootstrap_cells(flags_, counts, ["stratum"], ["flagged"]).select("b", "stratum", "n", r6("flagged", "fpr"))
 
 

@@ -71,17 +71,22 @@ def prose_paragraphs(spark, d):
     return rows.select("doc_id", F.size(texts.prose_paragraphs(texts.book_body(F.col("text")))).alias("paragraphs"))
 
 
-@query(rf"""with {DOCS}, m as (select doc_id, trim(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '@\w+', '@user', 'g'), ' ') as t, try_cast(case when json_valid(meta) then json_extract_string(meta, '$.aa') end as double) as aa from docs where stratum = 'S10')
-select doc_id, md5(case when {n_blank('t')} >= 3 then t end) as digest from m where aa >= 0.8 and not isnan(aa)""")
+_BASIC = "text"
+for _ in range(4):
+    for _entity, _char in (("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        _BASIC = f"replace({_BASIC}, '{_entity}', '{_char}')"
+
+
+@query(rf"""with {DOCS}, b as (select doc_id, {_BASIC} as text, meta from docs where stratum = 'S10'), m as (select doc_id, starts_with(text, 'RT @') as again, trim(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '@\w+', '@user', 'g'), ' ') as t, try_cast(case when json_valid(meta) then json_extract_string(meta, '$.aa') end as double) as aa from b)
+select doc_id, md5(case when {n_blank('t')} >= 3 and not again then t end) as digest from m where aa >= 0.8 and not isnan(aa)""")
 def messages(spark, d):
     meta = F.when(F.try_parse_json("meta").isNotNull(), F.get_json_object("meta", "$.aa").try_cast("double"))
     rows = frames.docs(spark, d).filter("stratum = 'S10'").withColumn("aa", meta).filter("not isnan(aa) and aa >= 0.8")
     return rows.select("doc_id", F.md5(texts.message(F.col("text"))).alias("digest"))
 
 
-@query(rf"""with {DOCS}, p as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\*\d+\s?|\{{¶\s*\d+\}}\s?', '', 'g') as p from docs where stratum = 'S11')
-select doc_id, count(*) filter (where {n_blank('p')} >= 8 and not contains(p, '�') and not regexp_matches(p, '^(?:Before |BEFORE |Argued |Submitted |Decided |Filed |Opinion by |PER CURIAM\b)|\bfor (?:appellants?|appellees?|plaintiffs?|defendants?|petitioners?|respondents?)\b|\bJJ\.|\bP\.J\.')
-and len(regexp_extract_all(p, '\b\d+\s+(?:U\.\s?S\.|S\.\s?Ct\.|L\.\s?Ed|F\.\s?(?:2d|3d|4th|Supp)|N\.[EWY]\.\s?\d?d|So\.\s?\d?d|P\.\s?\d?d|A\.\s?\d?d|S\.[EW]\.\s?\d?d|Cal\.|N\.Y\.)')) <= 2) as paragraphs from p group by 1""")
+@query(f"""with {DOCS}, p as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '{texts.PAGE_MARK}', '', 'g') as p from docs where stratum = 'S11')
+select doc_id, count(*) filter (where {n_blank('p')} >= 8 and not contains(p, '�') and not regexp_matches(p, '{texts.FORMAL}') and len(regexp_extract_all(p, '{texts.CITATION}')) <= 2) as paragraphs from p group by 1""")
 def opinion_paragraphs(spark, d):
     parts = frames.docs(spark, d).filter("stratum = 'S11'").select("doc_id", F.explode(F.split("text", "\n")).alias("p"))
     return parts.groupBy("doc_id").agg(F.count(texts.opinion_paragraph(F.col("p"))).alias("paragraphs"))
