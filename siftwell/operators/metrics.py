@@ -107,6 +107,25 @@ def apply_flips(scores: DataFrame, gate: DataFrame) -> DataFrame:
     return scores.join(flips, "instance", "left").withColumn("score", F.when(F.col("_flip"), 1 - F.col("score")).otherwise(F.col("score"))).drop("_flip")
 
 
+def gate_run(scores: DataFrame, own: DataFrame, gated: bool = True) -> DataFrame:
+    """instance, item_id, stratum, score, threshold, flagged of the human texts after the gates, in order: area under the
+    curve, flips, failed instances dropped, thresholds calibrated on what is left, flags.
+
+    scores: (instance, item_id, group_name, score), with the generated texts in group `control`; own: (item_id, stratum).
+    Without `gated` failed instances stay, as in an exploratory rerun. Refused if no instance passes.
+    """
+    human = scores.filter("group_name <> 'control'").join(own, "item_id")
+    calibration = human.filter(F.col("stratum") == CALIBRATION)
+    both = calibration.select("instance", "score", F.lit(0).alias("positive")).unionByName(scores.filter("group_name = 'control'").select("instance", "score", F.lit(1).alias("positive")))
+    gate = auroc(both)
+    left = gate.filter("passed") if gated else gate
+    if left.isEmpty():
+        raise ValueError("no instance passes the gate")
+    kept = apply_flips(human, gate).join(left.select("instance"), "instance", "left_semi")
+    thresholds = calibrate(kept.filter(F.col("stratum") == CALIBRATION).select("instance", "score"))
+    return flag(kept.select("instance", "item_id", "stratum", "score"), thresholds)
+
+
 def negative_control(fpr: DataFrame, target: float = TARGET_FPR, margin: float = 0.005) -> DataFrame:
     """instance, fpr, passed on the calibration stratum."""
     return fpr.filter(F.col("stratum") == CALIBRATION).select("instance", "fpr", (F.abs(F.col("fpr") - target) <= margin).alias("passed"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.config import CUTOFF_YEAR, LENGTH_BINS, MAX_TOKENS, MIN_TOKENS, SEED
+from siftwell.config import CUTOFF_YEAR, LENGTH_BINS, MAX_TOKENS, MIN_TOKENS, SEED, SOURCE_CAP, SOURCE_CAPS
+from siftwell.operators.ordered import running_total
 from siftwell.operators.segment import hash_order
+from siftwell.runtime import Scratch
 
 
 def in_years(year: Column, low: int, high: int, cutoff: int = CUTOFF_YEAR) -> Column:
@@ -28,9 +30,28 @@ def source_cap(df: DataFrame, cap: int, source: str = "source_doc_id", key: str
     return df.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
 
 
-def reservoir(df: DataFrame, by: str, size: int, key: str, seed: int = SEED) -> DataFrame:
+def source_caps(df: DataFrame, caps: dict[str, int] = SOURCE_CAPS, default: int = SOURCE_CAP, source: str = "source", group: str = "source_doc_id", key: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """source_cap() with a cap of its own for the named sources."""
+    place = F.row_number().over(Window.partitionBy(source, group).orderBy(hash_order(key, seed=seed), key))
+    cap = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in caps.items() for x in pair)), F.col(source)), F.lit(default))
+    return df.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
+
+
+def shuffled_groups(df: DataFrame, group: str, scratch: Scratch, seed: int = SEED) -> DataFrame:
+    """group, place: the groups in an order drawn by hash, from 0; no group set is sorted in one task."""
+    own = df.select(group).distinct().withColumn("_h", hash_order(group, seed=seed)).withColumn("_one", F.lit(1).cast("long"))
+    return running_total(own, [], ["_h", group], "_one", "place", scratch).select(group, "place")
+
+
+def one_of_each(df: DataFrame, by: str, key: str, seed: int = SEED) -> DataFrame:
+    """by, key: one key of each group, drawn by hash in one aggregation; null groups are left out."""
+    return df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min(F.struct(hash_order(key, seed=seed).alias("h"), F.col(key).alias("k"))).alias("m")).select(by, F.col("m.k").alias(key))
+
+
+def reservoir(df: DataFrame, by: str | list[str], size: int, key: str, seed: int = SEED) -> DataFrame:
     """A uniform sample of `size` rows of each group, the same on every run."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(hash_order(key, seed=seed), key))
+    by = [by] if isinstance(by, str) else by
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(hash_order(key, seed=seed), key))
     return df.withColumn("_place", place).filter(F.col("_place") <= size).drop("_place")
 
 

@@ -52,6 +52,45 @@ def union_scores(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def groups(docs: DataFrame, control: DataFrame, variants: DataFrame) -> DataFrame:
+    """item_id, text, group_name of everything to be scored: the strata's documents (doc_id, stratum, text), generated texts
+    (doc_id, text) and edited ones (variant_id, text)."""
+    item = lambda c: F.col(c).cast("string").alias("item_id")
+    return (
+        docs.select(item("doc_id"), "text", F.col("stratum").alias("group_name"))
+        .unionByName(control.select(item("doc_id"), "text", F.lit("control").alias("group_name")))
+        .unionByName(variants.select(item("variant_id"), "text", F.lit("variants").alias("group_name")))
+    )
+
+
+def length_batches(df: DataFrame, partitions: int, length: str = "n_tokens", budget: int = 4096, truncate: int = 512) -> DataFrame:
+    """df with `batch`: rows of like length together, so that a batch, padded to its longest row (at most `truncate`), stays
+    within the budget of tokens. Rows are range-partitioned by length; a batch never spans two partitions.
+
+    A model is then applied batch by batch with mapInPandas or mapInArrow, which see the rows in this order.
+    """
+    rows = df.withColumn("_n", F.greatest(F.lit(1), F.least(F.coalesce(F.col(length), F.lit(0)), F.lit(truncate)))).repartitionByRange(partitions, "_n").sortWithinPartitions(F.desc("_n"))
+
+    def number(batches):
+        import pyarrow as pa
+
+        batch = held = longest = 0
+        for rows_ in batches:
+            numbers = []
+            for n in rows_.column(rows_.schema.get_field_index("_n")).to_pylist():
+                if held and (held + 1) * max(longest, n) > budget:
+                    batch, held, longest = batch + 1, 0, 0
+                held, longest = held + 1, max(longest, n)
+                numbers.append(batch)
+            names = [c for c in rows_.schema.names if c != "_n"]
+            yield pa.RecordBatch.from_arrays([*(rows_.column(rows_.schema.get_field_index(c)) for c in names), pa.array(numbers, pa.int32())], [*names, "batch"])
+
+    from pyspark.sql.types import IntegerType, StructType
+
+    schema = StructType([*df.schema.fields]).add("batch", IntegerType())
+    return rows.mapInArrow(number, schema)
+
+
 def latest_scores(df: DataFrame, *, item_col: str = "item_id", score_col: str = "score", instance_col: str = "instance", group_col: str = "group_name", run_col: str = "run_id") -> DataFrame:
     """instance, item_id, group_name, score: per instance and item the row of the greatest run with a usable score.
 

@@ -465,3 +465,87 @@ def length_bands(spark, d):
     return rows.groupBy(sample.length_bin(F.col("n_tokens")).alias("band")).agg(count("n"), r6(F.avg("n_tokens"), "mean_length"))
 
 
+
+
+# gate runs, groups, agreement, intervals, forecasts -------------------------------------------------------------------
+
+
+def _gated(where: str) -> str:
+    return f"""with {_GATE}, fl as (select l.instance, l.item_id, d.stratum, case when g.flipped then 1 - l.score else l.score end as score from latest l join gate g using (instance) join docs d on d.doc_id = l.item_id where l.group_name <> 'control' and {where}),
+rk as (select instance, score, row_number() over (partition by instance order by score) - 1 as i, count(*) over (partition by instance) as n from fl where stratum = 'S6'),
+th as (select instance, score as threshold from rk where i = ceil(round(0.95 * (n - 1), 9)))
+select instance, item_id, stratum, score, threshold, (score > threshold)::int as flagged from fl join th using (instance)"""
+
+
+def _gate_run(spark, d, gated):
+    own = frames.docs(spark, d, text=False).select(F.col("doc_id").alias("item_id"), "stratum")
+    return metrics.gate_run(frames.latest(spark, d), own, gated)
+
+
+@query(_gated("g.auroc >= 0.8"))
+def gated_flags(spark, d):
+    """Flags after the gates: flipped scores, failed instances dropped, thresholds of their own."""
+    return _gate_run(spark, d, True)
+
+
+@query(_gated("true"))
+def ungated_flags(spark, d):
+    """The exploratory rerun over all instances."""
+    return _gate_run(spark, d, False)
+
+
+_SPLIT_TEXT = "text"
+for _word in ("and", "but", "so", "yet"):
+    _SPLIT_TEXT = f"regexp_replace({_SPLIT_TEXT}, ', {_word} ([a-z])', '. {_word.capitalize()} \\1', 'g')"
+
+
+@query(f"""with {DOCS}, gr as (select doc_id as item_id, text, stratum as group_name from docs union all select doc_id::varchar, text, 'control' from documents union all select doc_id || '|T3|1.00', {_SPLIT_TEXT}, 'variants' from docs where stratum = 'S6'),
+p as (select item_id, group_name, text, {pieces('text')} as w from gr)
+select item_id, group_name, round(1 / (1 + exp(-(-4.0 + 0.8 * coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / greatest(len(w), 1) + 6.0 * length(regexp_replace(text, '[^,.;:!?]', '', 'g')) / greatest(length(text), 1) - 1.5 * len(list_distinct(w)) / greatest(len(w), 1)))), 6) as score from p""")
+def scored_groups(spark, d):
+    """A surface score of the strata, of texts in the place of generated ones, and of edited texts."""
+    docs = frames.docs(spark, d)
+    variants = edits.edited(docs.filter(F.col("stratum") == config.CALIBRATION), "T3", (1.0,))
+    items = scoring.groups(docs, table(spark, d, "documents"), variants)
+    return scoring.surface(items, id_col="item_id", keep=["group_name"]).select(F.col("doc_id").alias("item_id"), "group_name", r6("score"))
+
+
+@query(f"""with {LATEST}, xy as (select a.score as x, b.score as y from latest a join latest b using (item_id) where a.instance = 'D1@R1' and b.instance = 'D1@R2'),
+rk as (select x, y, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2 as ry from xy)
+select count(*) as n, round(max(abs(x - y)) / stddev_samp(x), 6) as max_diff_sd, round(corr(rx, ry), 6) as spearman from rk""")
+def score_agreement(spark, d):
+    own = lambda i: frames.latest(spark, d).filter(F.col("instance") == i).select(F.col("item_id").alias("doc_id"), "score")
+    return _whole(scoring.agreement(own("D1@R1"), own("D1@R2")), "max_diff_sd", "spearman")
+
+
+@query(f"with {LATEST} select round(quantile_cont(score, 0.025), 6) as low, round(quantile_cont(score, 0.975), 6) as high from latest where instance = 'D4'")
+def score_interval(spark, d):
+    return _whole(resample.interval(frames.latest(spark, d).filter("instance = 'D4'"), "score"), "low", "high")
+
+
+_COEFFICIENTS = {"Intercept": 0.4, "log_ppl_indep": -0.05, "length": 0.0005, "instance=D4": 0.02, "instance=D1@R2": -0.01}
+_FORECAST = f"""with {CELLS}, t as (select stratum, avg(log_ppl_indep) as x, avg(length) as l from cells where stratum in ('S10', 'S11', 'S12') group by 1), i as (select distinct instance from cells),
+g as (select stratum, instance, round(greatest(0, least(1, {_COEFFICIENTS['Intercept']} + {_COEFFICIENTS['log_ppl_indep']} * x + {_COEFFICIENTS['length']} * l + case instance when 'D4' then {_COEFFICIENTS['instance=D4']} when 'D1@R2' then {_COEFFICIENTS['instance=D1@R2']} else 0 end)), 4) as fpr_pred from t, i),
+e as (select stratum, instance, fpr_pred, fpr, abs(fpr_pred - fpr) as abs_error from g join cells using (stratum, instance))"""
+
+
+def _forecast(spark, d):
+    """Errors of a forecast with given coefficients."""
+    import numpy as np
+
+    from siftwell.operators import linear
+
+    cells = Scratch(spark, "forecast").keep(frames.cell_table(spark, d), "cells")
+    fit = linear.Fit(list(_COEFFICIENTS), np.array(list(_COEFFICIENTS.values())), np.eye(len(_COEFFICIENTS)), 0)
+    target = cells.filter(F.col("stratum").isin(*config.FORECAST)).groupBy("stratum").agg(F.avg("log_ppl_indep").alias("log_ppl_indep"), F.avg("length").alias("length"))
+    return report.forecast_errors(report.forecast_grid(target, [r[0] for r in cells.select("instance").distinct().collect()], fit), cells)
+
+
+@query(f"{_FORECAST} select stratum, instance, fpr_pred, round(fpr, 6) as fpr, round(abs_error, 6) as abs_error from e")
+def given_forecast(spark, d):
+    return _whole(_forecast(spark, d), "fpr", "abs_error")
+
+
+@query(f"{_FORECAST} select case when split_part(instance, '@', 1) in ('D3', 'D4', 'D5') then 'trained' else 'zero_shot' end as family, count(*) as n, round(avg(abs_error), 6) as mae from e group by 1")
+def forecast_by_family(spark, d):
+    return _whole(report.errors_by_family(_forecast(spark, d)), "mae")

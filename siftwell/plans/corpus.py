@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell import config
@@ -10,7 +9,7 @@ from siftwell.functions.columns import plain_marks, repair_c1, ruler, token_coun
 from siftwell.operators import dedup, edits, sample, segment, texts
 from siftwell.plans import frames
 from siftwell.plans.registry import register
-from siftwell.plans.sqltext import DOCS, SIGNATURES, cleaned, fold as sql_fold, n_blank, tokens
+from siftwell.plans.sqltext import DOCS, SIGNATURES, cleaned, fold as sql_fold, n_blank, strip, tokens
 from siftwell.runtime import Scratch, table
 
 QUERIES: dict = {}
@@ -245,8 +244,7 @@ def length_bins(spark, d):
 select stratum, doc_id from (select *, row_number() over (partition by stratum, bin order by md5('42:' || doc_id), doc_id) as p from b) where p <= 5""")
 def length_quota(spark, d):
     rows = frames.docs(spark, d, text=False).filter(sample.in_length(F.col("n_tokens"))).withColumn("bin", sample.length_bin(F.col("n_tokens")))
-    place = F.row_number().over(Window.partitionBy("stratum", "bin").orderBy(segment.hash_order("doc_id"), "doc_id"))
-    return rows.withColumn("p", place).filter("p <= 5").select("stratum", "doc_id")
+    return sample.reservoir(rows.select("stratum", "bin", "doc_id"), ["stratum", "bin"], 5, "doc_id").select("stratum", "doc_id")
 
 
 @query()
@@ -262,7 +260,8 @@ _CELL = "greatest(0, least(4, floor((n_tokens - 150) * 5 / 251)))::int as bin, c
 def pair_cells(spark, d):
     rows = frames.docs(spark, d, text=False).filter(F.col("stratum").isin("S5", "S6"))
     field = F.coalesce(F.split_part("source_doc_id", F.lit(":"), F.lit(1)), F.lit("?"))
-    return rows.groupBy("stratum", sample.length_bin(F.col("n_tokens")).alias("bin"), field.alias("field")).agg(count("n"))
+    parts = [sample.cell_counts(rows.filter(F.col("stratum") == s), field).withColumn("stratum", F.lit(s)) for s in ("S5", "S6")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"""with {DOCS}, c as (select stratum, {_CELL}, count(*) as n from docs where stratum in ('S5', 'S6') group by all), a as (select * from c where stratum = 'S5'), b as (select * from c where stratum = 'S6')
@@ -283,7 +282,7 @@ def reservoir_sample(spark, d):
 
 @query(r"select doc_id, len(regexp_extract_all(text, ', (and|but|so|yet) [a-z]')) as n_sites from documents")
 def split_sites(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(", (and|but|so|yet) (?=[a-z])")).alias("n_sites"))
+    return edits.site_counts(table(spark, d, "documents"), ("T3",)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_sites").cast("long").alias("n_sites"))
 
 
 _SPLIT_ALL = "text"
@@ -293,10 +292,17 @@ for _word in ("and", "but", "so", "yet"):
 
 @query(f"select doc_id, md5({_SPLIT_ALL}) as digest from documents")
 def split_texts(spark, d):
-    out = F.col("text")
-    for word in ("and", "but", "so", "yet"):
-        out = F.regexp_replace(out, f", {word} (?=[a-z])", f". {word.capitalize()} ")
-    return table(spark, d, "documents").select("doc_id", F.md5(out).alias("digest"))
+    out = edits.edited(table(spark, d, "documents"), "T3", (1.0,))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
+
+
+_CLAUSES = rf"(?i)\b({'|'.join(edits.CLAUSE_VERBS)}) ((?:{'|'.join(edits.SUBJECTS)})\b)"
+
+
+@query(rf"select doc_id, md5(regexp_replace(text, '{_CLAUSES}', '\1 that \2', 'g')) as digest, len(regexp_extract_all(text, '{_CLAUSES}'))::int as n_sites from documents")
+def clause_texts(spark, d):
+    out = edits.edited(table(spark, d, "documents"), "T6", (1.0,))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), F.col("n_sites_applied").alias("n_sites"))
 
 
 @query(r"""with s as (select doc_id, unnest(regexp_extract_all(text, '[.!?] ([A-Z][a-z]+)', 1)) as w from documents)
@@ -308,8 +314,8 @@ def opener_sites(spark, d):
 
 @query(r"select doc_id, p as intensity, ceil(p * len(regexp_extract_all(text, ', (and|but|so|yet) [a-z]')) - 1e-9)::bigint as k from documents, (values (0.25::double), (0.5::double), (1.0::double)) v(p)")
 def edit_budgets(spark, d):
-    rows = split_sites(spark, d).select("doc_id", "n_sites", F.explode(F.array(*(F.lit(p) for p in config.INTENSITIES))).alias("intensity"))
-    return rows.select("doc_id", "intensity", F.ceil(F.col("intensity") * F.col("n_sites") - 1e-9).alias("k"))
+    out = edits.edited(table(spark, d, "documents"), "T3")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "intensity", F.col("n_sites_applied").cast("long").alias("k"))
 
 
 @query(rf"""with {DOCS}, n as (select doc_id, len(regexp_extract_all(text, ', (and|but|so|yet) [a-z]')) as n from docs where stratum = 'S6')
@@ -342,3 +348,53 @@ def ledger_groups(spark, d):
     rows = table(spark, d, "ledger").filter("model is not null").select("stage", "model", F.coalesce("group_name", F.lit("?")).alias("group_name")).distinct()
     return rows.groupBy("stage", "model").agg(count("groups"))
 
+
+
+# further texts and samples --------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, md5(chr(10) || text || chr(10)) as digest from documents where text is not null")
+def book_bodies(spark, d):
+    rows = table(spark, d, "documents").filter("text is not null")
+    wrapped = F.concat(F.lit("Title\n*** START OF THE PROJECT BOOK ***\n"), "text", F.lit("\n*** END OF THE PROJECT BOOK ***\nlicence"))
+    return rows.select("doc_id", F.md5(texts.book_body(wrapped)).alias("digest"))
+
+
+@query(f"""with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n+|[ \t\n\f\r]{{3,}}'), lambda x: {strip('x')}), lambda x: x <> '') as ps from documents)
+select doc_id, len(ps)::int as parts, md5(array_to_string(ps, chr(10))) as digest from p""")
+def blank_runs(spark, d):
+    return table(spark, d, "documents").select("doc_id", texts.blank_runs(F.col("text")).alias("ps")).select("doc_id", F.size("ps").alias("parts"), F.md5(F.array_join("ps", "\n")).alias("digest"))
+
+
+@query("""select p_partkey, case when p_type = upper(p_type) and p_type <> lower(p_type) and length(p_type) > 1 then upper(p_name)
+when left(p_type, 1) = upper(left(p_type, 1)) and left(p_type, 1) <> lower(left(p_type, 1)) then upper(left(p_name, 1)) || substr(p_name, 2) else p_name end as of_type,
+case when p_brand = upper(p_brand) and p_brand <> lower(p_brand) and length(p_brand) > 1 then upper(p_name)
+when left(p_brand, 1) = upper(left(p_brand, 1)) and left(p_brand, 1) <> lower(left(p_brand, 1)) then upper(left(p_name, 1)) || substr(p_name, 2) else p_name end as of_brand from part""")
+def case_transfer(spark, d):
+    return table(spark, d, "part").select("p_partkey", texts.match_case(F.col("p_type"), F.col("p_name")).alias("of_type"), texts.match_case(F.col("p_brand"), F.col("p_name")).alias("of_brand"))
+
+
+@query("""with c as (select c_custkey, case when c_custkey % 7 = 0 then 'ENS' else upper(substr(c_mktsegment, 1, 3)) end as region, c_custkey % 3 as task, c_custkey % 50 as student, case c_custkey % 4 when 0 then 'A2' when 1 then 'B1' when 2 then 'B2' else 'C1' end as level from customer)
+select c_custkey, region || '_' || student as writer, region, level from c where region <> 'ENS'""")
+def essay_names(spark, d):
+    rows = table(spark, d, "customer").withColumn("region", F.when(F.col("c_custkey") % 7 == 0, "ENS").otherwise(F.upper(F.substring("c_mktsegment", 1, 3))))
+    level = F.element_at(F.array(*map(F.lit, ("A2", "B1", "B2", "C1"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    name = F.concat_ws("_", F.lit("WE"), "region", (F.col("c_custkey") % 3).cast("string"), (F.col("c_custkey") % 50).cast("string"), F.concat(level, F.lit("_0")), F.lit("1.txt"))
+    read = rows.select("c_custkey", texts.essay_name(name).alias("e")).filter("e is not null")
+    return read.select("c_custkey", "e.writer", "e.region", "e.level")
+
+
+@query(f"""with {DOCS} select doc_id from (select *, row_number() over (partition by source, source_doc_id order by md5('42:' || doc_id), doc_id) as p from docs) where p <= case source when 'pelic' then 4 when 'ami' then 8 else 3 end""")
+def capped_by_source(spark, d):
+    return sample.source_caps(frames.docs(spark, d, text=False).select("doc_id", "source", "source_doc_id")).select("doc_id")
+
+
+@query(f"with {DOCS} select source_doc_id, row_number() over (order by md5('42:' || source_doc_id), source_doc_id) - 1 as place from (select distinct source_doc_id from docs where source_doc_id is not null)")
+def shuffled_sources(spark, d):
+    rows = frames.docs(spark, d, text=False).filter("source_doc_id is not null")
+    return sample.shuffled_groups(rows, "source_doc_id", Scratch(spark, "shuffled"))
+
+
+@query(f"with {DOCS} select source_doc_id, doc_id from (select *, row_number() over (partition by source_doc_id order by md5('42:' || doc_id), doc_id) as p from docs where source_doc_id is not null) where p = 1")
+def one_per_source(spark, d):
+    return sample.one_of_each(frames.docs(spark, d, text=False), "source_doc_id", "doc_id")
