@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.plans import analysis, corpus, relational
+from siftwell.plans import analysis, corpus, files, relational
 
-QUERIES: dict = corpus.QUERIES | analysis.QUERIES | relational.QUERIES
-SQL: dict[str, str] = corpus.SQL | analysis.SQL | relational.SQL
+QUERIES: dict = corpus.QUERIES | analysis.QUERIES | relational.QUERIES | files.QUERIES
+SQL: dict[str, str] = corpus.SQL | analysis.SQL | relational.SQL | files.SQL

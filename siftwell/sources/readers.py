@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import lzma
 import re
 import struct
@@ -21,9 +20,12 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     return df.select(*columns) if columns else df
 
 
-def csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", encoding: str = "UTF-8", columns: list[str] | None = None) -> DataFrame:
-    """Delimited text with a header; quoted fields may hold line breaks. Without a schema all columns are strings."""
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True).option("escape", '"')
+def csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", encoding: str = "UTF-8", columns: list[str] | None = None, line_breaks: bool = True) -> DataFrame:
+    """Delimited text with a header. Without a schema all columns are strings.
+
+    Quoted fields may hold line breaks; a file is one task then. Where none do, `line_breaks` = False lets large files be split.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", line_breaks).option("escape", '"')
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.select(*columns) if columns else df
 
@@ -58,7 +60,7 @@ def texts(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
 def post_rows(spark: SparkSession, path: str, year_from: int, year_to: int, last_edit: str = "9999", words: tuple[int, int] = (80, 700)) -> DataFrame:
     """Answers of a forum dump: rows of type 2 of an XML file with one element per post, by year, edit date and length."""
     schema = "_Id string, _PostTypeId string, _CreationDate string, _LastEditDate string, _CommunityOwnedDate string, _OwnerUserId string, _Body string"
-    rows = spark.read.format("xml").option("rowTag", "row").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", "row").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
     year = F.substring("_CreationDate", 1, 4).cast("int")
     count = F.regexp_count("_Body", F.lit(r"\S+"))
     kept = rows.filter((F.col("_PostTypeId") == "2") & F.col("_CommunityOwnedDate").isNull() & year.between(year_from, year_to) & (F.substring(F.coalesce("_LastEditDate", F.lit("")), 1, 10) <= last_edit) & count.between(*words))
@@ -76,23 +78,61 @@ def messages_tsv(spark: SparkSession, path: str, least: float = 0.8) -> DataFram
     return rows.filter(F.col("at").isNotNull() & F.col("author").isNotNull() & F.col("text").isNotNull() & ~F.isnan("score") & (F.col("score") >= least) & ~F.col("text").startswith("RT @"))
 
 
-def _unpacked(batches):
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            reader, chunk = lzma.LZMAFile(io.BytesIO(content)), []
-            for line in reader:
-                chunk.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
-                if len(chunk) == 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(chunk)), pa.array(chunk)], ["path", "value"])
+def _opened(path: str):
+    """A seekable file of the shared storage, opened in a worker: nothing is read but what is asked for."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _paths(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a path, one task each at most; their content is not read here."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(max(1, min(files.count(), 10_000)))
+
+
+def _unpacked(most: int | None):
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with _opened(path) as raw, lzma.open(raw) as lines:
                     chunk = []
-            if chunk:
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(chunk)), pa.array(chunk)], ["path", "value"])
+                    for k, line in enumerate(lines):
+                        if k == most:
+                            break
+                        chunk.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+                        if len(chunk) == 5000:
+                            yield pa.RecordBatch.from_arrays([pa.array([path] * len(chunk)), pa.array(chunk)], ["path", "value"])
+                            chunk = []
+                    if chunk:
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(chunk)), pa.array(chunk)], ["path", "value"])
 
+    return run
 
-def xz_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, value of each line of xz files; a file is one task, decompressed as a stream."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_unpacked, "path string, value string")
+
+def xz_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """path, value of each line of xz files, or of the first `most` of each, after which a file is read no further; a file
+    is one task, decompressed as a stream from the shared storage, whatever its size."""
+    return _paths(spark, path).mapInArrow(_unpacked(most), "path string, value string")
+
+
+def _members(name: str):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                with _opened(path) as raw, zipfile.ZipFile(raw) as archive:
+                    rows += [(path, archive.read(m)) for m in archive.namelist() if m == name]
+            columns = [*zip(*rows, strict=True)] or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary())], ["path", "content"])
+
+    return run
+
+
+def zip_members(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """path, content of one member of each zip archive; only the directory and the member are read."""
+    return _paths(spark, path).mapInArrow(_members(name), "path string, content binary")
 
 
 def zip_member(archive: bytes, name: str) -> bytes | None:
@@ -121,8 +161,8 @@ def zip_member(archive: bytes, name: str) -> bytes | None:
 def _words(batches):
     for batch in batches:
         rows = []
-        for content in batch.column(0).to_pylist():
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for path in batch.column(0).to_pylist():
+            with _opened(path) as raw, zipfile.ZipFile(raw) as archive:
                 for name in archive.namelist():
                     found = re.search(r"words/([A-Z]{2}\d+[a-z])\.([A-Z])\.words\.xml$", name)
                     if not found:
@@ -138,7 +178,7 @@ def _words(batches):
 
 def transcript_words(spark: SparkSession, path: str) -> DataFrame:
     """meeting, speaker, start, stop, token, punctuation from zip archives of per-speaker word files."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_words, "meeting string, speaker string, start double, stop double, token string, punctuation boolean")
+    return _paths(spark, path).mapInArrow(_words, "meeting string, speaker string, start double, stop double, token string, punctuation boolean")
 
 
 def book_catalogue(spark: SparkSession, path: str, prefixes: tuple[str, ...] = ("PR", "PS")) -> DataFrame:
@@ -160,6 +200,17 @@ def lifespan(authors):
     return F.when((F.size(parts) == 1) & one.rlike(years), life)
 
 
+def api_entries(spark: SparkSession, path: str, entry: str = "entry") -> DataFrame:
+    """entry_id, title, summary, published, updated, category of the entries of landed answers (Atom XML) of a paper archive, each
+    entry once, from its last update; answers may overlap, as those to windows of time do."""
+    schema = "id string, title string, summary string, published string, updated string, category array<struct<_term:string>>"
+    rows = spark.read.format("xml").option("rowTag", entry).schema(schema).load(path)
+    flat = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+    own = rows.select(F.trim("id").alias("entry_id"), flat("title").alias("title"), flat("summary").alias("summary"), "published", F.coalesce("updated", "published").alias("updated"), F.get("category", F.lit(0))["_term"].alias("category"))
+    last = own.filter("entry_id is not null").groupBy("entry_id").agg(F.max(F.struct("updated", "title", "summary", "published", "category")).alias("r"))
+    return last.select("entry_id", "r.title", "r.summary", "r.published", "r.updated", "r.category")
+
+
 def date_proxy(born):
     """The year an author was about 35, held to 1900..1921."""
     return F.greatest(F.lit(1900), F.least(F.lit(1921), born + 35))
@@ -167,7 +218,7 @@ def date_proxy(born):
 
 REGISTRY = {
     "parquet": parquet, "csv": csv, "jsonl": jsonl, "json": json_document, "texts": texts, "files": whole_texts, "posts": post_rows,
-    "messages": messages_tsv, "xz": xz_lines, "transcripts": transcript_words, "catalogue": book_catalogue,
+    "messages": messages_tsv, "xz": xz_lines, "zip": zip_members, "api": api_entries, "transcripts": transcript_words, "catalogue": book_catalogue,
 }
 
 
