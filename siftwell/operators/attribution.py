@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.config import CALIBRATION, TARGET_FPR
 from siftwell.operators.metrics import higher_quantile
-from siftwell.operators.resample import bootstrap_counts
+from siftwell.operators.resample import bootstrap_counts, profile_shift
 
 
 def components(stats: DataFrame) -> DataFrame:
@@ -96,6 +96,17 @@ def share_intervals(shares: DataFrame, lead: str | None = None) -> DataFrame:
     return shares.filter(~F.isnan("share")).groupBy("component").agg(q.alias("q")).select("component", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def precondition(flags: DataFrame, column: str = "reference", alpha: float = 0.05, replicates: int = 2000) -> dict:
+    """Whether there is a shift to attribute at all: the permutation test of profiles over `column` must reject."""
+    shift = profile_shift(flags, column, replicates)
+    return shift | {"estimable": shift["p"] is not None and shift["p"] < alpha}
+
+
+def guarded(shift: dict, verdict: str) -> str:
+    """A follow-up's verdict, or that it could not be estimated."""
+    return verdict if shift["estimable"] else "NOT ESTIMABLE"
+
+
 def leading_verdict(share: float, leads: dict[str, tuple[float, float]], equal: float = 0.25) -> str:
     """Confirmed above one half with every lead above zero, rejected at or below an equal split."""
     if share > 0.5 and all(low > 0 for low, _ in leads.values()):

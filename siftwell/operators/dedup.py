@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.pairs import block_sides
+
 PRIME = 2147483647
 SLOTS, BANDS = 64, 16
 
@@ -36,13 +38,26 @@ def signatures(hashes: DataFrame, slots: int = SLOTS) -> DataFrame:
     return hashes.groupBy("doc_id").agg(*least).select("doc_id", F.array(*(f"m{i}" for i in range(slots))).alias("sig"))
 
 
-def candidate_pairs(sigs: DataFrame, bands: int = BANDS, slots: int = SLOTS) -> DataFrame:
-    """doc_a, doc_b (doc_a < doc_b): documents that agree in all rows of a band."""
+def signature_classes(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(representatives, members): one document of each distinct signature (doc_id, sig), the smallest, and doc_id, class_id of all."""
+    heads = sigs.groupBy("sig").agg(F.min("doc_id").alias("class_id"))
+    return heads.select(F.col("class_id").alias("doc_id"), "sig"), sigs.join(heads, "sig").select("doc_id", "class_id")
+
+
+def candidate_pairs(sigs: DataFrame, bands: int = BANDS, slots: int = SLOTS, block: int = 256) -> DataFrame:
+    """doc_a, doc_b (doc_a < doc_b): documents that agree in all rows of a band.
+
+    Give it the representatives of signature_classes(): copies then make no pairs. A bucket of whatever size is met in pairs
+    of blocks.
+    """
     rows = slots // bands
     band = F.posexplode(F.array(*(F.concat_ws(",", F.slice("sig", i * rows + 1, rows)) for i in range(bands))))
-    keyed = sigs.select("doc_id", band.alias("band", "key"))
-    other = keyed.select(F.col("doc_id").alias("doc_b"), "band", "key")
-    return keyed.withColumnRenamed("doc_id", "doc_a").join(other, ["band", "key"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    keyed = sigs.select("doc_id", band.alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"), "band", "key")
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    left, right = block_sides(keyed.join(sizes, "bucket"), "doc_id", "n", block)
+    on = ["bucket", "low", "high", "band", "key"]
+    met = left.select(*on, F.col("doc_id").alias("a")).join(right.select(*on, F.col("doc_id").alias("b")), on).filter("low < high or a < b")
+    return met.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
 
 
 def similar_pairs(sigs: DataFrame, pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -52,9 +67,13 @@ def similar_pairs(sigs: DataFrame, pairs: DataFrame, threshold: float = 0.8) ->
     return pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", (same / F.size("sig_a")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def keep_smallest(df: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows without a similar row of smaller id: the scalable rule, without order of visits."""
-    return df.join(pairs.select(F.col("doc_b").alias(id_col)).distinct(), id_col, "left_anti")
+def keep_smallest(df: DataFrame, pairs: DataFrame, id_col: str = "doc_id", members: DataFrame | None = None) -> DataFrame:
+    """Rows without a similar row of smaller id: the scalable rule, without order of visits. With the members of
+    signature_classes(), pairs of representatives are enough."""
+    gone = pairs.select(F.col("doc_b").alias(id_col))
+    if members is not None:
+        gone = gone.unionByName(members.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)))
+    return df.join(gone.distinct(), id_col, "left_anti")
 
 
 def keep_first(ids: list[str], sigs: dict[str, list[int]], threshold: float = 0.8, bands: int = BANDS) -> list[str]:

@@ -200,31 +200,35 @@ def held_out_errors(cells: DataFrame, y: str, numeric: list[str], categories: li
 
 
 def mixed_model(y: np.ndarray, x: np.ndarray, z: np.ndarray, groups: np.ndarray, reml: bool = True) -> dict:
-    """Linear mixed model with random effects z per group, for tables of cells: coef, cov, random covariance, scale, loglik.
+    """Linear mixed model with random effects z per group, for tables of cells: coef, cov, random covariance, scale, loglik."""
+    whole = np.column_stack([x, z, y])
+    return mixed_model_of_sums([whole[groups == g].T @ whole[groups == g] for g in np.unique(groups)], x.shape[1], z.shape[1], len(y), reml)
 
-    The profiled likelihood is minimised over the Cholesky factor of the relative covariance by the simplex method.
+
+def mixed_model_of_sums(grams: list[np.ndarray], k: int, q: int, n: int, reml: bool = True) -> dict:
+    """The model from each group's sums of products of (x, z, y), so that the rows themselves may stay where they are.
+
+    The profiled likelihood is minimised over the Cholesky factor F of the relative covariance by the simplex method. The
+    inverse of I + Z F F'Z' is I - Z F (I + F'Z'Z F)^-1 F'Z', so only matrices of the random effects' size are solved.
     """
-    q, n, k = z.shape[1], *x.shape
     index = np.tril_indices(q)
-    parts = [(x[groups == g], y[groups == g], z[groups == g]) for g in np.unique(groups)]
+    fixed = [*range(k), k + q]  # x and y
 
     def system(theta):
         factor = np.zeros((q, q))
         factor[index] = theta
-        psi = factor @ factor.T
-        xx, xy, yy, logdet = np.zeros((k, k)), np.zeros(k), 0.0, 0.0
-        for xg, yg, zg in parts:
-            v = np.eye(len(yg)) + zg @ psi @ zg.T
-            vx = np.linalg.solve(v, xg)
-            xx += xg.T @ vx
-            xy += vx.T @ yg
-            yy += yg @ np.linalg.solve(v, yg)
-            logdet += np.linalg.slogdet(v)[1]
+        total, logdet = np.zeros((k + 1, k + 1)), 0.0
+        for gram in grams:
+            inner = np.eye(q) + factor.T @ gram[k : k + q, k : k + q] @ factor
+            side = factor.T @ gram[np.ix_(range(k, k + q), fixed)]
+            total += gram[np.ix_(fixed, fixed)] - side.T @ np.linalg.solve(inner, side)
+            logdet += np.linalg.slogdet(inner)[1]
+        xx, xy, yy = total[:k, :k], total[:k, k], total[k, k]
         beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
         rss = max(yy - beta @ xy, 1e-300)
         m = n - k if reml else n
         loss = m * math.log(rss / m) + logdet + (np.linalg.slogdet(xx)[1] if reml else 0.0)
-        return loss, beta, xx, rss / m, psi
+        return loss, beta, xx, rss / m, factor @ factor.T
 
     start = np.eye(q)[index] * 0.5
     best = simplex(lambda t: system(t)[0], start)

@@ -268,6 +268,17 @@ def score_reproduction(spark, d):
     return again.select("n", (F.col("max_diff") < 1e-6).alias("same"))
 
 
+@query(f"""with {_LM1}, c as (select doc_id, avg(ce) as nll, avg(xent) as xent from m1stats group by 1), s as (select doc_id, -avg(ce) / greatest(avg(xent), 1e-8) as score from m1stats group by 1)
+select count(*) as n, max(abs(-nll / greatest(xent, 1e-8) - score)) < 1e-6 as same from c join s using (doc_id)""")
+def ratio_reproduction(spark, d):
+    from siftwell.operators import lm
+
+    lists, models = frames.language_models(spark, d)
+    stats_ = Scratch(spark, "stats").keep(lm.pair_stats(frames.scored_by(lists, 1), models), "pair-stats")
+    again = attribution.reproduction(attribution.pair_components(stats_), scoring.ratio(stats_), attribution.ratio_score, ["nll", "xent"])
+    return again.select("n", (F.col("max_diff") < 1e-6).alias("same"))
+
+
 _NAMES = ["nll", "entropy", "var"]
 _WEIGHTS = ", ".join(f"('{_NAMES[i]}', {mask}, {w!r}::double, {int(mask == 1 << i)})" for i, mask, w in attribution.weights(3))
 _SHAPLEY = f"""{_LM2}, {_COMPONENTS.format('m1')}, {_COMPONENTS.format('m2')}, al as (select a.doc_id, l.stratum, a.n, a.nll as b0, a.entropy as b1, a.var as b2, b.nll as t0, b.entropy as t1, b.var as t2 from m1comp a join m2comp b using (doc_id) join lists l using (doc_id)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell import config
-from siftwell.functions.columns import plain_marks, repair_c1, ruler, token_count
+from siftwell.functions.columns import SPACE, plain_marks, repair_c1, ruler, token_count
 from siftwell.operators import dedup, edits, sample, segment, texts
 from siftwell.plans import frames
 from siftwell.plans.registry import register
@@ -53,9 +53,17 @@ def repaired_marks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(plain).alias("digest"))
 
 
-@query()
+_ABBREVIATED = "|".join(a.replace(".", r"\.") for a in texts.ABBREVIATIONS)
+
+
+_CUT = rf"""regexp_replace(text, '([.!?]["'')\]]?)[{SPACE}]+(["''(\[]?[A-Z0-9])', '\1' || chr(30) || '\2', 'g')"""
+
+
+@query(rf"""with c as (select doc_id, {strip(_CUT)} as t from documents),
+j as (select doc_id, regexp_replace(t, '((?:^|[({SPACE}])(?:{_ABBREVIATED})\.)\x1e', '\1 ', 'g') as t from c)
+select doc_id, case when t = '' then 0 else len(string_split(t, chr(30))) end::int as sentences, md5(t) as digest from j""")
 def sentence_counts(spark, d):
-    return texts.sentences(table(spark, d, "documents")).select(F.col("id").cast("long").alias("doc_id"), F.size("value").alias("sentences"))
+    return texts.sentences(table(spark, d, "documents")).select(F.col("id").cast("long").alias("doc_id"), F.size("value").alias("sentences"), F.md5(F.array_join("value", "\x1e")).alias("digest"))
 
 
 @query()
@@ -181,7 +189,7 @@ def shingle_hashes(spark, d):
 
 _SIGS = f"""{DOCS}, {SIGNATURES},
 sig as (select doc_id, [{', '.join(f'min(({a} * (h % {dedup.PRIME}) + {b}) % {dedup.PRIME})' for a, b in dedup.coefficients())}] as sig from g group by doc_id),
-bands as (select doc_id, unnest(range(0, 16)) as band, sig from sig),
+heads as (select min(doc_id) as doc_id, sig from sig group by sig), bands as (select doc_id, unnest(range(0, 16)) as band, sig from heads),
 keyed as (select doc_id, band, array_to_string(sig[band * 4 + 1:band * 4 + 4], ',') as key from bands),
 pairs as (select distinct a.doc_id as doc_a, b.doc_id as doc_b from keyed a join keyed b on a.band = b.band and a.key = b.key and a.doc_id < b.doc_id),
 near as (select doc_a, doc_b, len(list_filter(list_zip(a.sig, b.sig), lambda x: x[1] = x[2])) / 64 as similarity from pairs join sig a on a.doc_id = doc_a join sig b on b.doc_id = doc_b)"""
@@ -196,21 +204,28 @@ def minhash_signatures(spark, d):
     return dedup.signatures(dedup.shingle_hashes(frames.docs(spark, d))).select("doc_id", F.md5(F.concat_ws(",", "sig")).alias("digest"))
 
 
+# Pairs are those of the representatives of equal signatures; signature_members names the rest.
 @query(f"with {_SIGS} select doc_a, doc_b from pairs")
 def band_pairs(spark, d):
-    return dedup.candidate_pairs(_signatures(spark, d))
+    return dedup.candidate_pairs(dedup.signature_classes(_signatures(spark, d))[0])
+
+
+@query(f"with {_SIGS} select sig.doc_id, heads.doc_id as class_id from sig join heads using (sig)")
+def signature_members(spark, d):
+    return dedup.signature_classes(_signatures(spark, d))[1]
 
 
 @query(f"with {_SIGS} select doc_a, doc_b, similarity from near where similarity >= 0.8")
 def similar_pairs(spark, d):
-    sigs = _signatures(spark, d)
-    return dedup.similar_pairs(sigs, dedup.candidate_pairs(sigs))
+    heads, _ = dedup.signature_classes(_signatures(spark, d))
+    return dedup.similar_pairs(heads, dedup.candidate_pairs(heads))
 
 
-@query(f"with {_SIGS} select doc_id from docs where doc_id not in (select doc_b from near where similarity >= 0.8)")
+@query(f"with {_SIGS} select doc_id from heads where doc_id not in (select doc_b from near where similarity >= 0.8)")
 def similar_removed(spark, d):
     sigs = _signatures(spark, d)
-    return dedup.keep_smallest(sigs.select("doc_id"), dedup.similar_pairs(sigs, dedup.candidate_pairs(sigs)))
+    heads, members = dedup.signature_classes(sigs)
+    return dedup.keep_smallest(sigs.select("doc_id"), dedup.similar_pairs(heads, dedup.candidate_pairs(heads)), members=members)
 
 
 # sampling -------------------------------------------------------------------------------------------------------------
