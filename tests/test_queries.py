@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from siftwell.plans import catalog
 from tests.compare import compare, duck
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,9 +18,9 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, con, name):
-    fine, said = compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql()[name])
+    fine, said = compare(spark, con, FOLDER, name, catalog.QUERIES[name], catalog.SQL[name])
     assert fine, said
 
 
