@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.hashing import WordHasher, mix, shingles
 from siftwell.functions.text import words
+from siftwell.operators.pairs import block_sides
 from siftwell.runtime import Scratch
 
 SLOTS = 64
@@ -110,15 +111,6 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], floor: int, ratio:
     return met.select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"), F.col("run_a").alias("run"))
 
 
-def _in_blocks(rows: DataFrame, key: str, count: str, block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of all pairs of blocks (low <= high) into which rows of large groups are cut: each row is in one block."""
-    blocks = F.ceil(F.col(count) / block)
-    own = rows.withColumn("own", F.pmod(F.xxhash64(key), blocks))
-    left = own.withColumn("low", F.col("own")).withColumn("high", F.explode(F.sequence(F.col("own"), blocks - 1)))
-    right = own.withColumn("high", F.col("own")).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))))
-    return left.drop("own"), right.drop("own")
-
-
 def near_duplicates(
     df: DataFrame,
     *,
@@ -213,7 +205,7 @@ def _run_trees(scratch, classes, roots, floor, ratio, bucket_limit, max_depth, s
         if large.isEmpty():
             break
         if depth == max_depth:
-            out.append(_meet_in_blocks(large, floor, ratio, block))
+            out.append(_meetblock_sides(large, floor, ratio, block))
             break
         limit = int((2**32) / (split * SLOTS))
         slot = F.posexplode("slots")
@@ -230,9 +222,9 @@ def _run_trees(scratch, classes, roots, floor, ratio, bucket_limit, max_depth, s
     return pairs
 
 
-def _meet_in_blocks(rows: DataFrame, floor: int, ratio: Fraction, block: int) -> DataFrame:
+def _meetblock_sides(rows: DataFrame, floor: int, ratio: Fraction, block: int) -> DataFrame:
     """All pairs of each node, spread over pairs of blocks: no task holds more than two blocks of a node."""
-    left, right = _in_blocks(rows, "cid", "count", block)
+    left, right = block_sides(rows, "cid", "count", block)
     return _meet(left, right, ["node", "low", "high"], floor, ratio, "low < high")
 
 
@@ -312,7 +304,7 @@ def duplicate_pairs(members: DataFrame, links: DataFrame, block: int = 256) -> D
     pairs of blocks are spread over the cluster.
     """
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    left, right = _in_blocks(members.select("doc_id", "class_id").join(sizes, "class_id"), "doc_id", "size", block)
+    left, right = block_sides(members.select("doc_id", "class_id").join(sizes, "class_id"), "doc_id", "size", block)
     keys = ["class_id", "low", "high"]
     a, b = left.select(*keys, F.col("doc_id").alias("a")), right.select(*keys, F.col("doc_id").alias("b"))
     inside = a.join(b, keys).filter("low < high or a < b").select("a", "b")
