@@ -90,8 +90,10 @@ def capped(
     A contributor's records are kept from the highest score down, unrated ones last, ties by smaller id, until `limit`,
     or, with `max_share`, that share of the part's records (rounded down, at least one) is reached; with both, the
     smaller of the two holds. A null or blank contributor is not limited. Null ids are left out, repeated ids count once,
-    NaN scores count as unrated, scores has (doc_id, score) with one row per id, and an empty table gives an empty result.
+    A call with neither limit nor share is refused. NaN scores count as unrated, scores has (doc_id, score) with one row per id, and an empty table gives an empty result.
     """
+    if limit is None and max_share is None:
+        raise ValueError("a cap needs a limit or a share")
     scratch = Scratch(df.sparkSession, "caps")
     rows = scratch.keep(contributor_rows(df, scores, id_col=id_col, part_col=part_col, contributor_col=contributor_col), "rows")
     held = rows.filter("contributor is not null")

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,6 +79,8 @@ def test_caps(spark):
     share = {r.doc_id for r in caps.capped(df, scores, limit=None, max_share=0.02).collect() if r.kept}
     assert share == {d for (p, _), g in groups.items() for *_, d in sorted(g)[: max(1, int(n[p] * 0.02))]} | free
     assert caps.capped(df.limit(0), scores).count() == 0
+    with pytest.raises(ValueError):
+        caps.capped(df, scores, limit=None)
 
 
 def test_cutoffs(spark):
