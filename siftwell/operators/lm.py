@@ -61,7 +61,7 @@ def train(corpus: DataFrame, training: DataFrame, scratch: Scratch, weight: floa
     own = F.log("p0")
     floors = {r.fold: (r.s, r.q) for r in unigrams.groupBy("fold").agg(F.sum(F.col("p0") * own).alias("s"), F.sum(F.col("p0") * own * own).alias("q")).collect()} or {0: (0.0, 0.0)}
     s0, q0 = _of_fold({f: s for f, (s, _) in floors.items()}), _of_fold({f: q for f, (_, q) in floors.items()})
-    pairs = token_pairs(training).groupBy("fold", "u", "v").agg(F.count(F.lit(1)).alias("c"))
+    pairs = scratch.keep(token_pairs(training).groupBy("fold", "u", "v").agg(F.count(F.lit(1)).alias("c")), "pairs")
     before = pairs.groupBy("fold", "u").agg(F.sum("c").alias("n"))
     rest = 1 - weight
     seen = scratch.keep(pairs.join(before, ["fold", "u"]).join(unigrams, ["fold", "v"]).select("fold", "u", "v", "p0", (F.lit(weight) * F.col("c") / F.col("n") + F.lit(rest) * F.col("p0")).alias("p")), "seen")
@@ -76,22 +76,21 @@ def train(corpus: DataFrame, training: DataFrame, scratch: Scratch, weight: floa
     return Bigrams(unigrams, seen.select("fold", "u", "v", "p"), contexts, {f: (s, q - s * s) for f, (s, q) in floors.items()})
 
 
-def _known(tokens: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Tokens with what is known of their kind: one join of all tokens, on a key of two words, which no word alone makes hot."""
-    return tokens.join(kinds, ["fold", "u", "v"])
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With a number for the fold and both words, by which a join sorts faster than by the words; the words are compared as well."""
+    return rows.withColumn("k", F.xxhash64("fold", "u", "v"))
 
 
 def token_stats(lists: DataFrame, model: Bigrams) -> DataFrame:
     """doc_id, token_idx, logp, mu, var of the tokens of `lists`, whose words the model's vocabulary holds.
 
-    `fold`, where lists have it, names the model that scores a document.
+    `fold`, where lists have it, names the model that scores a document. The tables joined by one word have a row per word:
+    Spark sends them to all tasks where they are small enough, and else splits the tokens of a frequent word over tasks.
     """
-    tokens = token_pairs(_folded(lists))
-    kinds = tokens.select("fold", "u", "v").distinct().join(model.unigrams, ["fold", "v"]).join(model.seen, ["fold", "u", "v"], "left").join(model.contexts, ["fold", "u"], "left")
+    rows = _keyed(token_pairs(_folded(lists))).join(_keyed(model.seen), ["k", "fold", "u", "v"], "left").join(model.unigrams, ["fold", "v"]).join(model.contexts, ["fold", "u"], "left")
     p = F.coalesce("p", F.when(F.col("mu").isNotNull(), F.lit(1 - WEIGHT) * F.col("p0")).otherwise(F.col("p0")))
     mu, var = (_of_fold({f: both[i] for f, both in model.floor.items()}) for i in (0, 1))
-    kinds = kinds.select("fold", "u", "v", F.log(p).alias("logp"), F.coalesce("mu", mu).alias("mu"), F.greatest(F.coalesce("var", var), F.lit(0.0)).alias("var"))
-    return _known(tokens, kinds).select("doc_id", "token_idx", "logp", "mu", "var")
+    return rows.select("doc_id", "token_idx", F.log(p).alias("logp"), F.coalesce("mu", mu).alias("mu"), F.greatest(F.coalesce("var", var), F.lit(0.0)).alias("var"))
 
 
 def pair_stats(lists: DataFrame, model: Bigrams) -> DataFrame:
@@ -100,6 +99,5 @@ def pair_stats(lists: DataFrame, model: Bigrams) -> DataFrame:
     logs = model.unigrams.select("fold", "v", "p0", F.log("p0").alias("l0"))
     per_context = model.seen.join(logs, ["fold", "v"]).groupBy("fold", "u").agg(F.sum(F.col("p") * F.col("l0")).alias("a"), F.sum(F.col("p0") * F.col("l0")).alias("s"))
     cross = per_context.select("fold", "u", (-(F.col("a") + F.lit(1 - WEIGHT) * (s0 - F.col("s")))).alias("xent"))
-    tokens = token_pairs(_folded(lists))
-    kinds = tokens.select("fold", "u", "v").distinct().join(logs, ["fold", "v"]).join(cross, ["fold", "u"], "left").select("fold", "u", "v", (-F.col("l0")).alias("ce"), F.coalesce("xent", -s0).alias("xent"))
-    return _known(tokens, kinds).select("doc_id", "token_idx", "ce", "xent")
+    rows = token_pairs(_folded(lists)).join(logs, ["fold", "v"]).join(cross, ["fold", "u"], "left")
+    return rows.select("doc_id", "token_idx", (-F.col("l0")).alias("ce"), F.coalesce("xent", -s0).alias("xent"))
