@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.columns import fold, ruler
 from siftwell.operators import lm, scoring, tables
 from siftwell.operators.metrics import flag
-from siftwell.runtime import Scratch, table
+from siftwell.runtime import Scratch, spread, table
 
 
 def docs(spark: SparkSession, d: str, text: bool = True) -> DataFrame:
@@ -30,7 +30,7 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
 
 def predictor(spark: SparkSession, d: str) -> DataFrame:
     """item_id, log_ppl_indep: log perplexity of records under an add-one unigram model of all documents."""
-    training = lm.token_lists(table(spark, d, "documents")).select(F.explode("w").alias("v"))
+    training = lm.token_lists(spread(table(spark, d, "documents").select("doc_id", "text"))).select(F.explode("w").alias("v"))
     counts = training.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     own = lm.token_lists(docs(spark, d)).select("doc_id", F.explode("w").alias("v")).groupBy("doc_id", "v").agg(F.count(F.lit(1)).alias("t"))
     scratch = Scratch(spark, "predictor")
@@ -63,7 +63,7 @@ FOLDS = 3
 def language_models(spark: SparkSession, d: str) -> tuple[DataFrame, lm.Bigrams]:
     """(token lists of all documents, models by fold): each model is trained on a third of the documents."""
     scratch = Scratch(spark, "models")
-    lists = scratch.keep(lm.token_lists(table(spark, d, "documents")).withColumn("fold", F.pmod("doc_id", F.lit(FOLDS)).cast("int")), "lists")
+    lists = scratch.keep(lm.token_lists(spread(table(spark, d, "documents").select("doc_id", "text"))).withColumn("fold", F.pmod("doc_id", F.lit(FOLDS)).cast("int")), "lists")
     return lists, lm.train(lists, lists, scratch)
 
 
