@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from math import factorial
+from math import ceil, factorial, inf, sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.config import CALIBRATION, TARGET_FPR
 from siftwell.operators.metrics import higher_quantile
-from siftwell.operators.resample import bootstrap_counts, profile_shift
+from siftwell.operators.resample import profile_shift
+from siftwell.runtime import Scratch
 
 
 def components(stats: DataFrame) -> DataFrame:
@@ -80,11 +82,94 @@ def shapley(profiles: DataFrame, names: list[str], by: list[str] = ()) -> DataFr
     return sums.select(*by, "component", (F.col("phi") / whole).alias("share"), (F.col("single") / whole).alias("single_share"), "total")
 
 
+def mixed_scores(rows: DataFrame, names: list[str], score) -> DataFrame:
+    """stratum, s0, s1, ..: a document's score under every mixture, by its mask; NaN, which Spark sorts last, as inf."""
+    taken = lambda mask: {c: F.col(f"{'t' if mask >> i & 1 else 'b'}_{c}") for i, c in enumerate(names)}
+    return rows.select("stratum", *(F.nanvl(score(taken(mask)).cast("double"), F.lit(inf)).alias(f"s{mask}") for mask in range(1 << len(names))))
+
+
+def score_vectors(mixed: DataFrame, ends: dict[str, tuple[float, float]]) -> DataFrame:
+    """stratum, the scores, n: how many documents share them all, once a score beyond its mixture's ends is -inf or inf.
+
+    Nearly all documents lie beyond the ends in every mixture and are a few rows; of n, about the root of n keep a row of their own.
+    """
+    cut = [F.when(F.col(c) < low, F.lit(-inf)).when(F.col(c) > high, F.lit(inf)).otherwise(F.col(c)).alias(c) for c, (low, high) in ends.items()]
+    return mixed.select("stratum", *cut).groupBy("stratum", *ends).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _draws(pdf, columns: list[str], replicates: int, seed: list[int]):
+    """(scores, per replicate how often each row is drawn): as many draws with replacement as there are documents, counted by row."""
+    pdf = pdf.sort_values(["n", *columns])  # the most frequent last: it gets what the other rows leave
+    n, rng = pdf["n"].to_numpy(), np.random.default_rng(seed)
+    return pdf[columns].to_numpy(float), (rng.multinomial(n.sum(), n / n.sum()) for _ in range(replicates))
+
+
+SIGMAS, ACCURACY = 8, 10_000
+
+
+def bootstrap_thresholds(mixed: DataFrame, calibration: str, fpr: float, replicates: int, seed: int = 0, sigmas: float = SIGMAS) -> np.ndarray:
+    """replicates x mixtures: each replicate's thresholds, all from one draw of the calibration documents; NaN where none has a score.
+
+    A drawn quantile lies within a few standard deviations of its rank, so only scores about there are told apart. Should a
+    threshold lie outside, all are drawn again with ends twice as far apart, at last with none.
+    """
+    q, columns = 1 - fpr, [c for c in mixed.columns if c != "stratum"]
+    own = mixed.filter(F.col("stratum") == calibration)
+
+    def draw(pdf):
+        import pandas as pd
+
+        values, draws = _draws(pdf, columns, replicates, [seed])
+        sorted_ = [(order := np.argsort(v, kind="stable")[: np.count_nonzero(~np.isnan(v))], v[order]) for v in values.T]
+        out = np.full((replicates, len(columns)), np.nan)
+        for b, times in enumerate(draws):
+            for m, (order, v) in enumerate(sorted_):
+                upto = times[order].cumsum()
+                if len(upto) and upto[-1]:
+                    out[b, m] = v[np.searchsorted(upto, ceil(round(q * (upto[-1] - 1), 9)), side="right")]
+        return pd.DataFrame(out, columns=columns).assign(b=range(replicates))
+
+    counts = own.agg(*(F.count(c).alias(c) for c in columns)).first()
+    while True:
+        levels = {c: (q - w, q + w) for c in columns if counts[c] and (w := sigmas * sqrt(q * fpr / counts[c]) + 1 / counts[c] + 2 / ACCURACY)}
+        cuts = own.agg(*(F.percentile_approx(c, [max(0.0, low), min(1.0, high)], ACCURACY).alias(c) for c, (low, high) in levels.items())).first() if levels else {}
+        ends = {c: (cuts[c][0] if levels[c][0] > 0 else -inf, cuts[c][1] if levels[c][1] < 1 else inf) if c in levels else (-inf, inf) for c in columns}
+        drawn = score_vectors(own, ends).groupBy("stratum").applyInPandas(draw, ", ".join(f"{c} double" for c in columns) + ", b int")
+        out = np.array([[r[c] for c in columns] for r in drawn.orderBy("b").collect()], float).reshape(-1, len(columns))
+        low, high = (np.array([ends[c][i] for c in columns]) for i in (0, 1))
+        if not (((out == -inf) & (low > -inf)) | ((out == inf) & (high < inf))).any():
+            return out
+        sigmas *= 2
+
+
+def bootstrap_profiles(rows: DataFrame, names: list[str], score, replicates: int, seed: int = 0, calibration: str = CALIBRATION, fpr: float = TARGET_FPR) -> DataFrame:
+    """b, mask, stratum, rate: what mixture_profiles gives for documents, a row each, drawn with replacement within their strata.
+
+    No table has a row per replicate and document. Documents whose scores lie on the same sides of all replicates' thresholds
+    are drawn as one row with their number, which leaves the joint distribution of the rates as it is. The driver holds one
+    threshold per replicate and mixture.
+    """
+    mixed = mixed_scores(rows, names, score)
+    thresholds = bootstrap_thresholds(mixed, calibration, fpr, replicates, seed)
+    columns = [c for c in mixed.columns if c != "stratum"]
+    ends = {c: (float(np.nanmin(own)), float(np.nanmax(own))) if (own := thresholds[:, m]).size and not np.isnan(own).all() else (-inf, inf) for m, c in enumerate(columns)}
+
+    def draw(key, pdf):
+        import pandas as pd
+
+        values, draws = _draws(pdf, columns, replicates if len(thresholds) else 0, [seed, *key[0].encode()])
+        rates = [times @ (values > own) / times.sum() for times, own in zip(draws, thresholds, strict=False)]
+        out = pd.DataFrame([(b, m, key[0], r) for b, each in enumerate(rates) for m, r in enumerate(each)], columns=["b", "mask", "stratum", "rate"])
+        return out[~np.isnan(thresholds[out["b"].to_numpy(int), out["mask"].to_numpy(int)])] if len(out) else out
+
+    others = score_vectors(mixed.filter(F.col("stratum") != calibration), ends)
+    return others.groupBy("stratum").applyInPandas(draw, "b int, mask int, stratum string, rate double")
+
+
 def bootstrap_shares(rows: DataFrame, names: list[str], score, replicates: int, seed: int = 0) -> DataFrame:
     """b, component, share: shares over documents drawn again within each stratum, base and target alike."""
-    counts = bootstrap_counts(rows.select("doc_id", "stratum"), replicates, "doc_id", "stratum", seed)
-    profiles = mixture_profiles(rows.join(counts.hint("merge"), "doc_id"), names, score, by=["b"], weight="times")
-    return shapley(profiles, names, ["b"]).select("b", "component", "share")
+    profiles = bootstrap_profiles(rows, names, score, replicates, seed)
+    return shapley(Scratch(rows.sparkSession, "shares").keep(profiles, "profiles"), names, ["b"]).select("b", "component", "share")
 
 
 def share_intervals(shares: DataFrame, lead: str | None = None) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.hashing import WordHasher, mix
 from siftwell.runtime import Scratch
 
 WEIGHT = 0.5
@@ -101,3 +103,149 @@ def pair_stats(lists: DataFrame, model: Bigrams) -> DataFrame:
     cross = per_context.select("fold", "u", (-(F.col("a") + F.lit(1 - WEIGHT) * (s0 - F.col("s")))).alias("xent"))
     rows = token_pairs(_folded(lists)).join(logs, ["fold", "v"]).join(cross, ["fold", "u"], "left")
     return rows.select("doc_id", "token_idx", (-F.col("l0")).alias("ce"), F.coalesce("xent", -s0).alias("xent"))
+
+
+def _coded(batch):
+    """(words, number of each token's word, of its document) of a batch of doc_id, fold and text in lower case, as token_lists has them."""
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern_regex(batch.column(2), r"[ \t\n\f\r]+")
+    coded = lists.flatten().dictionary_encode()
+    words, codes, docs = coded.dictionary.to_pylist(), coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    if "" in words:
+        docs, codes = docs[(own := codes != words.index(""))], codes[own]
+    return words, codes, docs
+
+
+def _word_counts(batches):
+    """v, again, fold, c: two hashes of each word and how often a batch's documents of the fold have it."""
+    import pyarrow as pa
+
+    first, second = WordHasher(b"word"), WordHasher(b"again")
+    for batch in batches:
+        words, codes, docs = _coded(batch)
+        v, again = (h(words).view(np.int64) for h in (first, second))
+        folds = batch.column(1).to_numpy()[docs]
+        for fold in np.unique(folds):
+            c = np.bincount(codes[folds == fold], minlength=len(words))
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(again[at]), pa.array(np.full(len(at), fold, np.int32)), pa.array(c[at].astype(np.int64))], ["v", "again", "fold", "c"])
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays compressed, those of numbers not below 0 in as few bytes as the largest needs."""
+    import pickle
+
+    import pyarrow as pa
+
+    raw = pickle.dumps([a.astype(np.min_scalar_type(int(a.max()))) if len(a) and a.min() >= 0 else a for a in arrays], protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpacked(blob: bytes) -> list:
+    import pickle
+
+    import pyarrow as pa
+
+    return pickle.loads(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
+
+
+def _postings(batches, words: np.ndarray, parts: int):
+    """part, ids, blob: a batch's pairs of words, each with its documents and how often they have it, by part of the first word."""
+    import pyarrow as pa
+
+    hasher, size = WordHasher(b"word"), len(words)
+    for batch in batches:
+        own, codes, docs = _coded(batch)
+        ids, folds, n = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.num_rows
+        if size * size * n >= 1 << 63:
+            raise ValueError(f"{size} words and {n} documents a batch do not fit one number")
+        w = np.searchsorted(words, hasher(own).view(np.int64))[codes].astype(np.int64)
+        follows = docs[1:] == docs[:-1]
+        triples = ((w[:-1] * size + w[1:]) * n + docs[1:])[follows]
+        triples.sort()
+        at = np.flatnonzero(np.diff(triples, prepend=-1))
+        times, pairs, docs = np.diff(at, append=len(triples)), triples[at] // n, triples[at] % n
+        part = (mix((pairs // size).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        rows = []
+        for k in np.unique(part):
+            mine = np.flatnonzero(part == k)
+            starts = np.flatnonzero(np.diff(pairs[mine], prepend=-1))
+            rows.append((int(k), _packed(np.diff(pairs[mine][starts], prepend=0), np.diff(starts, append=len(mine)), docs[mine], times[mine])))
+        if rows:
+            about = _packed(np.diff(ids, prepend=0), folds)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([about] * len(rows), pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["part", "ids", "blob"])
+
+
+def _sums(pdf, counts: np.ndarray, sizes: np.ndarray, floor: np.ndarray, references: list[int], weight: float):
+    """doc_id, n and each reference's sums over the pairs of a part; all pairs of their first words are here, so the model of these is as well.
+
+    counts: folds x words, how often the fold has the word; floor: s0 and q0 of each fold, as train() has them."""
+    import pandas as pd
+
+    folds, size = counts.shape
+
+    def blocks():
+        """ids, folds, pairs, documents of each pair, and these with their times: unpacked anew, so one block at a time is held."""
+        for i, b in zip(pdf["ids"], pdf["blob"], strict=True):
+            ids, own, keys, *rest_ = _unpacked(i) + _unpacked(b)
+            yield np.cumsum(ids.astype(np.int64)), own.astype(np.int64), np.cumsum(keys.astype(np.int64)), *rest_
+
+    pairs = np.unique(np.concatenate([keys for _, _, keys, *_ in blocks()]))
+    c = np.zeros((folds, len(pairs)))
+    for _, own, keys, runs, docs, times in blocks():
+        local = own[docs] * len(keys) + np.repeat(np.arange(len(keys)), runs)
+        c[:, np.searchsorted(pairs, keys)] += np.bincount(local, times, folds * len(keys)).reshape(folds, -1)
+    starts = np.flatnonzero(np.diff(pairs // size, prepend=-1))
+    context = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(pairs)))
+    total, rest = lambda x: np.add.reduceat(x, starts), 1 - weight
+    logp, mu, var = np.empty(c.shape), np.empty((folds, len(starts))), np.empty((folds, len(starts)))
+    for f in range(folds):
+        n, seen, p0, (s0, q0), k = total(c[f]), c[f] > 0, (counts[f, pairs % size] + 1) / sizes[f], floor[:, f], np.log(rest)
+        known = n > 0
+        p = np.where(seen, weight * c[f] / np.maximum(n, 1)[context] + rest * p0, np.where(known[context], rest * p0, p0))
+        logp[f], l0 = np.log(p), np.log(p0)
+        a, b, s, r, m = (total(np.where(seen, x, 0.0)) for x in (p * logp[f], p * logp[f] ** 2, p0 * l0, p0 * l0 * l0, p0))
+        mean = a + rest * ((s0 - s) + k * (1 - m))
+        spread = b + rest * ((q0 - r) + 2 * k * (s0 - s) + k * k * (1 - m)) - mean * mean
+        mu[f], var[f] = np.where(known, mean, s0), np.maximum(np.where(known, spread, q0 - s0 * s0), 0.0)
+    out = []
+    for ids, own, keys, runs, docs, times in blocks():
+        pair, docs, times = np.repeat(np.searchsorted(pairs, keys), runs), docs.astype(np.int64), times.astype(float)
+        add = lambda x: np.bincount(docs, x, len(own))  # noqa: E731, B023
+        columns = {"doc_id": ids, "n": add(times)}
+        for ref in references:
+            fold = ((own + ref) % folds)[docs]
+            columns |= {f"logp{ref}": add(times * logp[fold, pair]), f"mu{ref}": add(times * mu[fold, context[pair]]), f"var{ref}": add(times * var[fold, context[pair]])}
+        out.append(pd.DataFrame(columns)[columns["n"] > 0])
+    return pd.concat(out)
+
+
+TOKENS_A_PART = 16_000_000
+
+
+def document_sums(df: DataFrame, folds: int, references: list[int], weight: float = WEIGHT) -> DataFrame:
+    """doc_id, n and logp<k>, mu<k>, var<k>: the sums of token_stats over each document of `df` (doc_id, text), scored as reference k
+    by the model of fold (doc_id + k) modulo `folds`; documents of two tokens or more for which all these folds have documents.
+
+    Tokens move once, as compressed postings of word pairs by first word, and a part of them holds all that the model of its
+    words needs, so no table has a row per token. The words with their counts per fold are known to the driver and all tasks.
+    """
+    fold = F.pmod("doc_id", F.lit(folds)).cast("int")
+    rows = df.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), F.lower("text").alias("text"))
+    own = rows.mapInArrow(_word_counts, "v long, again long, fold int, c long").groupBy("v", "again", "fold").agg(F.sum("c").alias("c")).toPandas()
+    words = np.unique(own["v"].to_numpy(np.int64))
+    if len(own.drop_duplicates(["v", "again"])) != len(words):
+        raise ValueError("two words share a hash")
+    counts = np.zeros((folds, len(words)))
+    counts[own["fold"].to_numpy(int), np.searchsorted(words, own["v"].to_numpy(np.int64))] = own["c"]
+    totals = counts.sum(1)
+    sizes = np.maximum(totals + len(words), 1)
+    p0 = (counts + 1) / sizes[:, None]
+    floor = np.stack([(p0 * np.log(p0)).sum(1), (p0 * np.log(p0) ** 2).sum(1)])
+    parts = int(max(2 * df.sparkSession.sparkContext.defaultParallelism, totals.sum() // TOKENS_A_PART))
+    columns = ["n", *(f"{c}{k}" for k in references for c in ("logp", "mu", "var"))]
+    there = [r for r in range(folds) if all(totals[(r + k) % folds] for k in references)]
+    blobs = rows.mapInArrow(lambda batches: _postings(batches, words, parts), "part int, ids binary, blob binary")
+    sums = blobs.groupBy("part").applyInPandas(lambda pdf: _sums(pdf, counts, sizes, floor, references, weight), "doc_id long, " + ", ".join(f"{c} double" for c in columns))
+    return sums.filter(F.pmod("doc_id", F.lit(folds)).isin(there)).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in columns))

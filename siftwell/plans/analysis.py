@@ -13,7 +13,7 @@ from siftwell.operators import attribution, edits, hypotheses, metrics, report,
 from siftwell.plans import frames
 from siftwell.plans.registry import register
 from siftwell.plans.sqltext import CELLS, DOC_TABLE, DOCS, FLAGS, LATEST, LISTS, MODELS, PPL, RATES, n_blank, pieces, stats
-from siftwell.runtime import Scratch, table
+from siftwell.runtime import Scratch, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -303,8 +303,12 @@ def shapley_shares(spark, d):
 @query()
 def share_intervals(spark, d):
     """Shares over resampled documents."""
-    base, target = _components(spark, d, [1, 2])
-    rows = attribution.aligned(base, target, table(spark, d, "documents"), _NAMES).join(base.select("doc_id", "n"), "doc_id")
+    from siftwell.operators import lm
+
+    documents = table(spark, d, "documents")
+    sums = lm.document_sums(spread(documents.select("doc_id", "text")), frames.FOLDS, [1, 2])
+    parts = [(f"{s}_{c}", sign * F.col(f"{of}{k}") / F.col("n")) for s, k in (("b", 1), ("t", 2)) for c, of, sign in zip(_NAMES, ("logp", "mu", "var"), (-1, -1, 1), strict=True)]
+    rows = sums.join(documents.select("doc_id", "stratum"), "doc_id").select("doc_id", "stratum", "n", *(column.alias(c) for c, column in parts))
     rows = Scratch(spark, "aligned").keep(rows, "aligned")
     return attribution.share_intervals(attribution.bootstrap_shares(rows, _NAMES, lambda c: attribution.contrast_score(c | {"n": F.col("n")}), 1000))
 
